@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, decontaminate, sharding
+from gazette.llm import bpe, decontaminate, sharding, token_output
+from gazette.llm.shared import shared_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +18,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written in doc_id order and read back from the files."""
+    path = shared_path(spark, "tokens")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    token_output.write_tokens(docs, path, public_tokenizers.path(BYTE_BPE), end_id=2)
+    return token_output.id_digests(token_output.read_tokens(spark, path))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     path = public_tokenizers.path(BYTE_BPE)
@@ -46,6 +55,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, decontaminate, sharding, token_output
+from gazette.llm import bpe, decontaminate, jaccard_join, sharding, token_output
 from gazette.llm.shared import shared_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.id_digests(token_output.read_tokens(spark, path))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     path = public_tokenizers.path(BYTE_BPE)
@@ -56,6 +61,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,

@@ -41,6 +41,17 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, unless the session already asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the documents whose labels are never learned from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

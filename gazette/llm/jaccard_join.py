@@ -5,7 +5,8 @@ similarity t or more differ in at most H shingles, so among H+1 segments one at
 with one-deletion neighbourhoods a segment also answers for a difference of one, and half as many do.
 
 Allocation. A band takes whichever costs less: whole segments (one key each; z further segments are spent
-so that a set may leave out up to z empty ones, which would match everything), or fewer segments with all
+so that a set may leave out up to z empty ones, which would match everything, and SPARE more so that it may
+leave out up to SPARE keys that many classes share, as those of a common passage), or fewer segments with all
 one-deletion keys. A set of n shingles needs only the first H(n)+1 (+z) segments of its band, as does any
 partner at least as large, so small sets of a band write fewer keys.
 
@@ -14,7 +15,8 @@ equal entries, which merge in the batch, so a group of copies of any size costs
 Groups of a key are then linked in rounds: first every class with the group's least, then with another
 centre in groups that are not yet one component, and at last every remaining pair across components of a
 group, so no link between components is lost and a group of near copies is not expanded into all pairs.
-Every candidate is verified on its whole sets.
+A candidate is first held against bucket counts of the two sets, whose distance is never more than that of
+the sets, and if it passes, verified on the whole sets.
 
 Shingles are compared by 64-bit hash and classes by a 64-bit hash of the set.
 
@@ -38,8 +40,12 @@ from gazette.llm.shared import SPACE_WORDS, byte_rows, mix, save, shingle_hashes
 
 #: Entries that a slice of the key space holds on average, and reps whose ids are sent to the workers at most.
 SLICE_ENTRIES, SENT_IDS = 400_000, 1_000_000
+#: Keys that a set may leave out if more than COMMON classes share them.
+SPARE, COMMON = 8, 8
 _BAND, _SEGMENT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
+_TOP = np.uint64(1 << 63)
+
 
 class Allocation:
     """Bands of set sizes and how many segments, of which kind, each has. num / den is the threshold."""
@@ -58,6 +64,7 @@ class Allocation:
             void = math.exp(-4 * (low / high) * 0.95)  # of a whole segment, for the smallest sets of the band
             mean = void * (self.apart(low) + 1)
             z = math.ceil(mean + 4 * math.sqrt(mean)) + 1
+            z += SPARE
             whole = h + 1 + z
             halves = math.ceil((h + 1) / 2)
             deletions = high + halves + 400 * halves * (1 - 1 / max(halves, 1)) ** low  # an empty segment costs candidates
@@ -73,8 +80,12 @@ class Allocation:
         m = n * self.den // self.num
         return (n + m) - 2 * -(-(n + m) * self.num // (self.num + self.den))
 
+    def count(self, n: int) -> int:
+        """About how many keys a set of n has."""
+        return 2 * (n + 1) if n < 27 else n // 2 + 32
+
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """All keys of a set (distinct shingle hashes)."""
+        """All keys of a set (distinct shingle hashes); the highest bit is set on those of deletion bands."""
         n = len(shingles)
         if n == 0:
             return np.zeros(0, np.uint64)
@@ -97,10 +108,10 @@ class Allocation:
             base = sums + np.arange(1, segments + 1, dtype=np.uint64) * _SEGMENT + salt
             if kind:
                 own = place < used
-                out += [mix(base[:used]), mix(base[place[own]] - value[own])]
+                out += [mix(base[:used]) | _TOP, mix(base[place[own]] - value[own]) | _TOP]
             else:
                 empty = count[:used] == 0
-                out.append(mix(base[:used] if empty.sum() > z else base[:used][~empty]))
+                out.append(mix(base[:used] if empty.sum() > z - SPARE else base[:used][~empty]) & ~_TOP)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -119,7 +130,7 @@ def _base(docs: DataFrame, k: int, plan: Allocation) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), _class(s), len(plan.keys(s))) for s in _sets(batch.column(1), k)]
+            rows = [(len(s), _class(s), plan.count(len(s))) for s in _sets(batch.column(1), k)]
             n, c, m = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["doc_id", "n_shingles", "class", "n_keys"])
 
@@ -127,7 +138,7 @@ def _base(docs: DataFrame, k: int, plan: Allocation) -> DataFrame:
 
 
 def _packed_keys(docs: DataFrame, k: int, plan: Allocation, slices: int) -> DataFrame:
-    """Keys by slice of the key space. A blob holds 32 and 16 bits of each key, and which class of a list it is of."""
+    """Keys by slice of the key space. A blob holds 48 bits of each key (the kind, and 47 of its hash), and which class of a list it is of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,9 +153,10 @@ def _packed_keys(docs: DataFrame, k: int, plan: Allocation, slices: int) -> Data
                     continue
                 keys = np.concatenate(list(found.values()))
                 owner = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found.values()])
+                kind, keys = keys & _TOP, keys & ~_TOP
                 part = (keys % np.uint64(slices)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                keys, owner, part = keys[order] // np.uint64(slices), owner[order], part[order]
+                keys, owner, part = (keys // np.uint64(slices) & np.uint64((1 << 47) - 1) | kind >> np.uint64(16))[order], owner[order], part[order]
                 ids = np.array(list(found), np.int64)
                 at = np.flatnonzero(np.diff(part, prepend=-1))
                 rows = []
@@ -178,9 +190,23 @@ def _shared_keys(slice_rows: pa.Table) -> pa.Table:
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.zeros(0, bool)
     key, cls = key[new], cls[new]
     _, at, many = np.unique(key, return_inverse=True, return_counts=True)
-    more = many[at] > 1 if len(key) else np.zeros(0, bool)
+    shared = many[at] if len(key) else np.zeros(0, np.int64)
+    more = shared > 1
     named = mix(key[more] ^ np.uint64((part + 1) << 48)).view(np.int64)
-    return pa.table({"key": pa.array(named, pa.int64()), "class": pa.array(cls[more], pa.int64())})
+    common = (shared[more] > COMMON) & (key[more] >> np.uint64(47) == 0)
+    return pa.table({"key": pa.array(named, pa.int64()), "class": pa.array(cls[more], pa.int64()), "common": pa.array(common, pa.bool_())})
+
+
+def _without_common(members: DataFrame) -> DataFrame:
+    """Leave out the common keys of classes that have SPARE of them at most."""
+    few = members.where("common").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPARE).select("class")
+    return members.where("not common").unionByName(members.where("common").join(few, "class", "left_semi")).select("key", "class")
+
+
+def _buckets(shingles: np.ndarray) -> bytes:
+    """Counts of the set by bucket, up to 255; about four shingles a bucket, a power of two of buckets."""
+    size = 1 << max(4, int(max(len(shingles), 1) // 4).bit_length())
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % size, minlength=size), 255).astype(np.uint8).tobytes()
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -202,9 +228,26 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(sent.value, mine), max(len(sent.value) - 1, 0))
                 batch = batch.filter(pa.array(sent.value[at] == mine if len(sent.value) else np.zeros(len(mine), bool)))
             sets = list(_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_buckets(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "buckets", "shingles"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "class long, shingles binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "class long, n long, buckets binary, shingles binary")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bucket counts leave open: a lower bound of the distance, so no link is lost."""
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("buckets").alias(f"k{c}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column(2).to_pylist(), byte_rows(batch.column(3)), byte_rows(batch.column(4)), strict=True):
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                apart = np.abs(y.reshape(-1, len(x)).sum(0, dtype=np.int64) - x) if len(y) == len(x) or y.max(initial=0) < 255 else np.zeros(1, np.int64)
+                keep.append((num + den) * (n - int(apart.sum())) >= 2 * num * n)  # at most (n - apart) / 2 are common
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ka", "kb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,9 +261,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 x, y = np.frombuffer(x.tobytes(), np.uint64), np.frombuffer(y.tobytes(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                if den * len(x) < num * len(y):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 keep.append(den * common >= num * (len(x) + len(y) - common))
@@ -257,21 +297,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // SLICE_ENTRIES))
     keys = _packed_keys(docs, k, plan, slices)
-    members = save(keys.groupBy("slice").applyInArrow(_shared_keys, "key long, class long"), "shared-keys")
+    members = save(keys.groupBy("slice").applyInArrow(_shared_keys, "key long, class long, common boolean"), "shared-keys")
+    members = save(_without_common(members), "shared-keys")
     involved = save(members.select("class").distinct().join(classes, "class"), "involved")
     sets = save(_whole_sets(docs, involved, k), "whole-sets")
 
     links, tested, labels = None, None, None
-    for how in ("least", "1", "2", "all"):
+    for how in ("least", "1", "all"):
         pairs = _candidates(members, labels, how)
         if tested is not None:
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti") if how == "all" else pairs
         pairs = save(pairs, "candidates")
         if pairs.isEmpty():
-            if how == "least":
-                break
             continue
-        good = save(_verified(pairs, sets, num, den), "links")
+        good = save(_verified(save(_near(pairs, sets, num, den), "near"), sets, num, den), "links")
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = ordered if tested is None else tested.unionByName(ordered)
         links = good if links is None else links.unionByName(good)

@@ -22,16 +22,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import CACHE_ENTRIES, PATTERN
+from gazette.llm.bpe import CACHE_ENTRIES, MISSES, pre_tokenizer
 
 #: Of the written files: bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, n_tokens int, part int, part_start long, ids array<int>"
-ROWS = 512
+ROWS = 128
 
 
 class LibraryEncoder:
@@ -42,24 +41,29 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = pre_tokenizer()
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cache, plain = self.cache, {}
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         for i, t in enumerate(texts):
             if not any(s in t for s in self.special):
                 plain[i] = self.cut(t)
-        new = list({p for pieces in plain.values() for p in pieces if p not in cache})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
+        distinct = {p for pieces in plain.values() for p in pieces}
+        new = [p for p in distinct if p not in cache]
+        if len(cache) >= CACHE_ENTRIES and len(new) > MISSES * max(sum(map(len, plain.values())), 10_000):
+            cache.clear()  # other texts than those that filled it
+            new = list(distinct)
+        found: dict[str, bytes] = {}
+        for lo in range(0, len(new), 1024):
+            some = new[lo : lo + 1024]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<i4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, plain[i])) if i in plain else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes() for i, t in enumerate(texts)]
+                found[p] = np.array(e.ids, "<i4").tobytes()
+        for p in new[: max(0, CACHE_ENTRIES - len(cache))]:
+            cache[p] = found[p]
+        get = cache.get
+        return [b"".join([get(p) or found[p] for p in plain[i]]) if i in plain else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes() for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)

@@ -26,16 +26,20 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int,
     return w, b
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 300) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 150) -> np.ndarray:
     """Weights, the last one the bias, of a linear support vector machine with squared hinge loss; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)
     n, d = x.shape
-    share = np.where(y > 0, n / max((y > 0).sum(), 1), n / max((y < 0).sum(), 1)) / 2
-    w, v = np.zeros(d), np.zeros(d)
-    top = 1.0 / c + 2 * np.linalg.norm((x * np.sqrt(share)[:, None]).astype(np.float64), 2) ** 2 / n if n else 1.0
+    share = (np.where(y > 0, n / max((y > 0).sum(), 1), n / max((y < 0).sum(), 1)) / 2).astype(np.float32)
+    w, v = np.zeros(d, np.float32), np.zeros(d, np.float32)
+    u = np.ones(d, np.float32)
+    for _ in range(25):  # the largest curvature, by powers
+        u = x.T @ (share * (x @ (u / np.linalg.norm(u))))
+    top = np.float32(1.0 / c / n + 2.2 * np.linalg.norm(u) / n)
     for k in range(steps):
-        at = w + k / (k + 3) * v
+        at = w + np.float32(k / (k + 3)) * v
         slack = np.maximum(0, 1 - y * (x @ at)) * share
-        new = at - (at / c / n - 2 * (x.T @ (slack * y)) / n) / top
+        new = at - (at * np.float32(1 / c / n) - x.T @ (slack * y) * np.float32(2 / n)) / top
         v, w = new - w, new
     return w

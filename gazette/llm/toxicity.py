@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import fit_logistic, sigmoid
+from gazette.llm.shared import sample_labels
 
 #: Letters of the character model: a-z, the lower-case letters of Latin-1 and OE; then every other letter as one. 0 is a break.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "œ"
@@ -224,14 +225,6 @@ class ToxicityModel:
         return sigmoid(np.bincount(rows, self.weights[cols], len(texts)) + self.bias)
 
 
-def sample_labels(labels: DataFrame, label: str, train_rows: int) -> DataFrame:
-    """doc_id and y of at most train_rows labelled documents that may be learned from."""
-    from gazette.llm.shared import held_out
-
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", train_rows: int = 20_000) -> ToxicityModel:
     logp = character_model(_count(docs, text_col))
     sample = sample_labels(labels, label, train_rows)

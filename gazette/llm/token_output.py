@@ -17,20 +17,24 @@ hash; rows with a null doc_id come first. Columns besides id and text are not wr
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import CACHE_ENTRIES, MISSES, pre_tokenizer
+from gazette.llm.bpe import MISSES, pre_tokenizer
 
 #: Of the written files: bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, n_tokens int, part int, part_start long, ids array<int>"
 ROWS = 128
+#: Pre-tokens whose ids a worker keeps at most.
+LIBRARY_ENTRIES = 600_000
 
 
 class LibraryEncoder:
@@ -46,24 +50,23 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cache, plain = self.cache, {}
+        cache, plain, new = self.cache, {}, set()
         for i, t in enumerate(texts):
             if not any(s in t for s in self.special):
                 plain[i] = self.cut(t)
-        distinct = {p for pieces in plain.values() for p in pieces}
-        new = [p for p in distinct if p not in cache]
-        if len(cache) >= CACHE_ENTRIES and len(new) > MISSES * max(sum(map(len, plain.values())), 10_000):
+                new.update(filterfalse(cache.__contains__, plain[i]))
+        if len(cache) >= LIBRARY_ENTRIES and len(new) > MISSES * max(sum(map(len, plain.values())), 10_000):
             cache.clear()  # other texts than those that filled it
-            new = list(distinct)
-        found: dict[str, bytes] = {}
-        for lo in range(0, len(new), 1024):
-            some = new[lo : lo + 1024]
+            new = {p for pieces in plain.values() for p in pieces}
+        pieces, extra = list(new), {}
+        for lo in range(0, len(pieces), 1024):
+            some = pieces[lo : lo + 1024]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[p] = np.array(e.ids, "<i4").tobytes()
-        for p in new[: max(0, CACHE_ENTRIES - len(cache))]:
-            cache[p] = found[p]
-        get = cache.get
-        return [b"".join([get(p) or found[p] for p in plain[i]]) if i in plain else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes() for i, t in enumerate(texts)]
+                extra[p] = array("i", e.ids).tobytes()
+        room = max(0, LIBRARY_ENTRIES - len(cache))
+        cache.update((p, extra[p]) for p in pieces[:room])
+        get = cache.__getitem__ if len(pieces) <= room else lambda p: cache.get(p) or extra[p]
+        return [b"".join(map(get, plain[i])) if i in plain else array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, decontaminate, jaccard_join, language_id, quality_crf, sharding, token_output, toxicity
+from gazette.llm import bpe, decontaminate, html_main, jaccard_join, language_id, nearest, quality_crf, sharding, token_output, toxicity
 from gazette.llm.shared import held_out, modest_batches, shared_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty vectors of largest inner product with each twentieth vector."""
+    return nearest.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     path = public_tokenizers.path(BYTE_BPE)
@@ -68,6 +73,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op8_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_main.extract_main(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -87,9 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_nearest": op4_nearest,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,
+    "op8_html_main": op8_html_main,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }

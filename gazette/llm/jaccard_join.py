@@ -12,9 +12,10 @@ partner at least as large, so small sets of a band write fewer keys.
 
 Keys of a batch are packed by hash slice and sorted out slice by slice; equal sets are one class and write
 equal entries, which merge in the batch, so a group of copies of any size costs a batch one entry a key.
-Groups of a key are then linked in rounds: first every class with the group's least, then with another
-centre in groups that are not yet one component, and at last every remaining pair across components of a
-group, so no link between components is lost and a group of near copies is not expanded into all pairs.
+Groups of a key are then linked in rounds: first every class with the group's hub, the class that shares most
+keys and so stands amid near copies, then with another centre in groups that are not yet one component. What
+groups are still open are searched across components by their rarest shingles with bounds on places and
+sizes, so no link between components is lost and a group of near copies is not expanded into all pairs.
 A candidate is first held against bucket counts of the two sets, whose distance is never more than that of
 the sets, and if it passes, verified on the whole sets.
 
@@ -42,6 +43,10 @@ from gazette.llm.shared import SPACE_WORDS, byte_rows, mix, save, shingle_hashes
 SLICE_ENTRIES, SENT_IDS = 400_000, 1_000_000
 #: Keys that a set may leave out if more than COMMON classes share them.
 SPARE, COMMON = 8, 8
+#: Classes of a group whose pairs are all tried.
+SMALL = 24
+#: Cells of the array that the order of shingles by frequency is taken from.
+FREQUENCIES = 1 << 20
 _BAND, _SEGMENT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 _TOP = np.uint64(1 << 63)
@@ -149,9 +154,9 @@ def _packed_keys(docs: DataFrame, k: int, plan: Allocation, slices: int) -> Data
                 for ok, s in zip(known, _sets(batch.column(1), k), strict=True):
                     if ok and len(s) and (c := _class(s)) not in found:
                         found[c] = plan.keys(s)
-                if not found:
+                keys = np.concatenate([np.zeros(0, np.uint64), *found.values()])
+                if not len(keys):  # none, or sets so small that only equal ones link
                     continue
-                keys = np.concatenate(list(found.values()))
                 owner = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found.values()])
                 kind, keys = keys & _TOP, keys & ~_TOP
                 part = (keys % np.uint64(slices)).astype(np.int32)
@@ -198,9 +203,10 @@ def _shared_keys(slice_rows: pa.Table) -> pa.Table:
 
 
 def _without_common(members: DataFrame) -> DataFrame:
-    """Leave out the common keys of classes that have SPARE of them at most."""
+    """Leave out the common keys of classes that have SPARE of them at most; n_keys are those that a class then shares."""
     few = members.where("common").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPARE).select("class")
-    return members.where("not common").unionByName(members.where("common").join(few, "class", "left_semi")).select("key", "class")
+    kept = members.where("not common").unionByName(members.where("common").join(few, "class", "left_semi")).select("key", "class")
+    return kept.join(kept.groupBy("class").agg(F.count(F.lit(1)).alias("n_keys")), "class").select("key", "class", "n_keys")
 
 
 def _buckets(shingles: np.ndarray) -> bytes:
@@ -270,20 +276,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _candidates(members: DataFrame, labels: DataFrame | None, how: str) -> DataFrame:
-    """Pairs (a, b) of classes to verify in a round; only from groups of a key that are not one component yet."""
-    if labels is None:
-        mine = members.withColumn("comp", F.col("class"))
-    else:
-        mine = members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("comp"))
-    centre = F.struct("class") if how == "least" else F.struct(F.xxhash64("class", F.lit(how)), F.col("class"))
+    """Pairs (a, b) of a group's centre and its other classes; only from groups of a key that are not one component yet."""
+    mine = _with_component(members, labels)
+    centre = F.struct(-F.col("n_keys"), F.col("class")) if how == "hub" else F.struct(F.xxhash64("class", F.lit(how)), F.col("class"))
     groups = mine.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(centre.alias("o"), F.col("class").alias("class"), F.col("comp").alias("comp"))).alias("m"))
     groups = groups.where("c0 <> c1").select("key", F.col("m.class").alias("a"), F.col("m.comp").alias("ca"))
-    if how == "all":
-        open_ = mine.join(groups.select("key"), "key", "left_semi")
-        pairs = open_.select("key", F.col("class").alias("a"), F.col("comp").alias("ca")).join(open_.select("key", F.col("class").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb")
-    else:
-        pairs = groups.join(mine.select("key", F.col("class").alias("b"), F.col("comp").alias("cb")), "key").where("ca <> cb")
-    return pairs.select("a", "b").distinct()
+    return groups.join(mine.select("key", F.col("class").alias("b"), F.col("comp").alias("cb")), "key").where("ca <> cb").select("a", "b").distinct()
+
+
+def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("comp", F.col("class"))
+    return members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select(*members.columns, F.coalesce("component", "class").alias("comp"))
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle of each bucket. The array has FREQUENCIES cells whatever the sets are."""
+    cells = 1 << 14
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCIES, np.int64)
+        for batch in batches:
+            every = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.tobytes(), np.uint64) for x in byte_rows(batch.column(0)))])
+            total += np.bincount((every % np.uint64(FREQUENCIES)).astype(np.int64), minlength=FREQUENCIES)
+        parts = total.astype("<i4").reshape(-1, cells)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in part.column("counts").to_pylist())
+        return pa.table({"part": part.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    out = np.zeros((FREQUENCIES // cells, cells), np.int32)
+    for row in sets.select("shingles").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # FREQUENCIES cells in all
+        out[row["part"]] = np.frombuffer(row["counts"], "<i4")
+    return out.ravel()
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame | None, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of groups that are not one component, a and b being of different components.
+
+    A group of SMALL classes at most gives its pairs, a bounded number for each class. Larger ones are searched by
+    their shingles. Two similar sets share a shingle among the first few of each in any one order of all shingles. Here rare ones
+    come first. A match at places p and q leaves at most min(n - p, m - q) common shingles, which bounds the sizes
+    of partners for each place, so the join's key holds the partner's size band too. Of a group of a shingle all
+    but the commonest component meet the rest, so a large group that is one component but for a few costs little.
+    """
+    mine = _with_component(members, labels)
+    open_keys = mine.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select("key", F.col("many") <= SMALL)
+    open_keys = open_keys.toDF("key", "small")
+    open_rows = save(mine.join(open_keys, "key").select("key", "class", "comp", "small"), "open-groups")
+    few = open_rows.where("small")
+    direct = few.select("key", F.col("class").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("class").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b")
+    classes = open_rows.where("not small").select("class", "comp").distinct()
+    rows = save(sets.join(classes, "class").select("class", "comp", "shingles"), "open-sets")
+    held = rows.sparkSession.sparkContext.broadcast(_frequencies(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for c, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(2)), strict=True):
+                x = np.frombuffer(x.tobytes(), np.uint64)
+                n = len(x)
+                x = x[np.lexsort((x, held.value[(x % np.uint64(FREQUENCIES)).astype(np.int64)]))]
+                first = x[: n - -(-n * num // den) + 1].view(np.int64)
+                out.append((first, np.full(len(first), c), np.full(len(first), comp), np.full(len(first), n), np.arange(len(first))))
+            shingle, c, comp, n, place = (np.concatenate(z) for z in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (shingle, c, comp, n, place)], names=["shingle", "class", "comp", "n", "place"])
+
+    places = save(rows.mapInArrow(run, "shingle long, class long, comp long, n long, place long"), "first-shingles")
+    by_comp = places.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("many"))
+    major = by_comp.groupBy("shingle").agg(F.max_by("comp", F.struct("many", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("shingle", "major")
+    places = places.join(major, "shingle")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(1.02)))
+    least = F.ceil(F.col("n") * num / den)
+    index = places.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den))).withColumn("band", band(F.col("n")))
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("place")) * (num + den) / num - F.col("n")))
+    probe = places.where(most >= least).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    small = lambda df: df.select("shingle", "band", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("major").alias("ma"))
+    large = lambda df: df.select("shingle", "band", F.col("class").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    fits = f"a <> b and ca <> cb and na <= nb and {num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)"
+    outer = small(index.where("comp <> major")).join(large(probe), ["shingle", "band"]).where(fits)
+    inner = small(index.where("comp = major")).join(large(probe.where("comp <> major")), ["shingle", "band"]).where(fits)
+    found = outer.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.unionByName(direct).distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -303,10 +379,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = save(_whole_sets(docs, involved, k), "whole-sets")
 
     links, tested, labels = None, None, None
-    for how in ("least", "1", "all"):
-        pairs = _candidates(members, labels, how)
-        if tested is not None:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti") if how == "all" else pairs
+    for how in ("hub", "1", "all"):
+        pairs = _open_pairs(members, labels, sets, num, den) if how == "all" else _candidates(members, labels, how)
+        if how == "all" and tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = save(pairs, "candidates")
         if pairs.isEmpty():
             continue

@@ -43,8 +43,12 @@ FEATURES = 4096
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _L = "a-zß-öø-ÿœ"
-#: Single letters set apart, a sign before or between letters, or a letter three times.
-SPAN = re.compile(rf"(?<![\w{_SIGN}])[{_L}{_SIGN}](?:[ ._\-]{{1,2}}[{_L}{_SIGN}](?![\w{_SIGN}])){{2,}}|[{_L}]*(?:[{_SIGN}]+[{_L}]+)+[{_SIGN}]{{0,4}}(?![{_L}])|[{_L}]*([{_L}])\1\1[{_L}]*")
+#: Single letters set apart, a sign before or between letters, or a letter three times. A word is tried from its start only.
+SPAN = re.compile(
+    rf"(?<![\w{_SIGN}])[{_L}{_SIGN}](?:[ ._\-]{{1,2}}[{_L}{_SIGN}](?![\w{_SIGN}])){{2,}}"
+    rf"|(?<![{_L}{_SIGN}])[{_L}]*+(?:[{_SIGN}]++[{_L}]++)++[{_SIGN}]{{0,4}}"
+    rf"|(?<![{_L}])(?=[{_L}]*?([{_L}])\1\1)[{_L}]++"
+)
 
 
 def _code_table() -> np.ndarray:
@@ -107,11 +111,12 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     """What each place of a lower-cased span offers, with channel costs."""
     places: list[list[tuple[str, float]]] = []
     apart = bool(re.match(rf"[{_L}{_SIGN}][ ._\-]", span))
+    tail = len(span.rstrip("".join(SIGNS)))
     i = 0
     while i < len(span):
         x, j = span[i], i + 1
         if x in SIGNS:
-            places.append([(y, MASK if x in MASKS else SIGN) for y in SIGNS[x]] + ([("", TRAIL)] if x in "!*#%|+" and all(y in SIGNS for y in span[i:]) else []))
+            places.append([(y, MASK if x in MASKS else SIGN) for y in SIGNS[x]] + ([("", TRAIL)] if x in "!*#%|+" and i >= tail else []))
             i = j
             continue
         if x in " ._-":
@@ -134,10 +139,10 @@ _CODE = {x: i + 1 for i, x in enumerate(LETTERS)}
 
 def decode(span: str, logp: list[float]) -> str:
     """The cheapest reading of a span: Viterbi over the lattice, a state being the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and the path as (path before, text)
     for place in [*lattice(span), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in best.items():
             for y, extra in place:
                 p, q, total = a, b, cost + extra
                 for ch in y:
@@ -145,9 +150,13 @@ def decode(span: str, logp: list[float]) -> str:
                     total -= logp[(p * V + q) * V + c]
                     p, q = q, c
                 if (old := after.get((p, q))) is None or total < old[0]:
-                    after[p, q] = (total, text + y)
+                    after[p, q] = (total, (path, y))
         best = after
-    return min(best.values())[1].rstrip(" ")
+    path, parts = min(best.values(), key=lambda x: x[0])[1], []
+    while path:
+        path, y = path
+        parts.append(y)
+    return "".join(reversed(parts)).rstrip(" ")
 
 
 def restore(text: str, logp: list[float]) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -269,6 +270,15 @@ def test_disguised_words_are_read():
         assert want in toxicity.restore(f"you {seen} there", table)
 
 
+def test_long_odd_words_are_read_in_one_pass():
+    table = np.zeros(toxicity.V**3).tolist()
+    n = 50_000
+    start = time.monotonic()
+    for text in ("a1b" * n, "ab" * n + " x1y", "a b " * n, "aaab" * n, "1" * n + " a1b", "a1b" + "!" * n + "a", "a" + " " * n + "1a1"):
+        assert len(toxicity.restored_batch([text], table)[0]) > 0
+    assert time.monotonic() - start < 60
+
+
 @pytest.mark.parametrize("fit,score", [(toxicity.fit, toxicity.score_toxicity), (quality_crf.fit, quality_crf.score_quality)])
 def test_classifiers_on_odd_rows(spark, fit, score):
     df = docs_of(spark, ODD)

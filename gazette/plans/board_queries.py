@@ -60,7 +60,7 @@ def j17_update_from(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a3_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("large"), F.countDistinct("user_id").alias("users"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("large"), F.countDistinct("user_id").alias("users"), F.sum(F.floor("value").cast("long")).alias("calls"))
 
 
 def a7_first_seen_types(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ QUERIES: dict[str, Query] = {
     "j14_paired_arms": (j14_paired_arms, "with e as (select ts::date as day, event_type, count(*) as n from events group by all) select a.day, a.n as clicks, b.n as errors, a.n - b.n as gap from e a join e b on a.day = b.day where a.event_type = 'click' and b.event_type = 'error'"),
     "j15_cache_fill": (j15_cache_fill, "with c as (select o_orderdate::date as day, count(*) as n from orders where o_orderstatus = 'P' group by 1), f as (select o_orderdate::date as day, count(*) as n from orders group by 1) select day, n, 'cached' as origin from c union all select day, n, 'fetched' from f where day not in (select day from c)"),
     "j17_update_from": (j17_update_from, "select p_partkey, coalesce(q, p_size) as p_size from part left join (select l_partkey, max(l_quantity)::int as q from lineitem group by 1) on p_partkey = l_partkey"),
-    "a3_run_summary": (a3_run_summary, "select event_type, count(*) as n, count(*) filter (where value > 100) as large, count(distinct user_id) as users from events group by 1"),
+    "a3_run_summary": (a3_run_summary, "select event_type, count(*) as n, count(*) filter (where value > 100) as large, count(distinct user_id) as users, sum(floor(value)::bigint)::bigint as calls from events group by 1"),
     "a7_first_seen_types": (a7_first_seen_types, "with f as (select user_id, event_type, ts, event_id from events where user_id is not null and event_type is not null qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1) select user_id, string_agg(event_type, ',' order by ts, event_id) as types from f group by 1"),
     "a10_weighted_axes": (a10_weighted_axes, f"select p_partkey, floor(({_AXES_SQL}) / {sum(AXES)}::double * 100.0::double + 0.5::double) / 100.0::double as mark from part"),
     "a11_earliest_deadline": (a11_earliest_deadline, "select o_orderkey, least((o_orderdate::date + 30)::date, s) as due from orders left join (select l_orderkey, min(l_shipdate::date) as s from lineitem group by 1) on o_orderkey = l_orderkey"),

@@ -4,9 +4,10 @@ A character trigram model is counted over all documents. A span that looks disgu
 a word, single letters set apart, a letter three times or more) becomes a lattice: each place offers the
 letters that it may stand for, one or two letters for a run, nothing or a word break for a separator. The
 Viterbi path under channel costs and the character model is the restored span. The restored text is scored
-by a logistic model on hashed character five-grams (present or absent).
+by a logistic model on hashed character grams: five-grams and the first 6 to 8 letters of words. Each gram
+counts on several levels: that it is there, and that it is there repeatedly with a share of the text's words.
 
-What is broadcast has a fixed size: the character model (V**3 floats) and the weights (2**18 cells). The
+What is broadcast has a fixed size: the character model (V**3 floats) and the features of 2**20 hashes by level. The
 classifier is fitted on at most ``train_rows`` labelled rows, those with the least hash of doc_id.
 
 Defined results: null and empty texts have no features and the score of the bias. Labels that are null are
@@ -38,8 +39,12 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MASKS = "*#%"
 #: Channel costs in nats: a sign for its letter, a mask for a vowel, a run of letters, a break at a separator, a sign after the last letter for nothing.
 SIGN, MASK, RUN_ONE, RUN_TWO, BREAK, TRAIL = 0.4, 1.6, 0.1, 0.9, 3.0, 0.8
-BITS, GRAM = 18, 5
+BITS, GRAM = 20, 5
+STARTS = (6, 7, 8)
+#: Levels of a gram: how often it stands in a text, and for which share of the text's words, at least.
+LEVELS = ((1, 0.0), (2, 0.004), (2, 0.01), (2, 0.03))
 FEATURES = 4096
+LEAST_ROWS = 3
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _L = "a-zß-öø-ÿœ"
@@ -192,41 +197,66 @@ def restored_batch(texts: list[str | None], logp: list[float]) -> list[str]:
     return low
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hashed five-gram) of every place of every text; words are set apart by one break."""
+def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, cell): each hashed gram of each text on every level that it reaches. wanted: hashes to look at."""
     sizes = np.array([len(t) + 1 for t in texts])
     c = codes(points("\n".join(texts) + "\n")).astype(np.uint32)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
     c = c[keep]
-    if len(c) < GRAM:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    n = len(c) - GRAM + 1
-    h = np.zeros(n, np.uint32)
-    inner = np.ones(n, bool)
-    for i in range(GRAM):
-        h = h * np.uint32(0x01000193) + c[i : i + n] + np.uint32(1)
-        if 0 < i < GRAM - 1:
-            inner &= c[i : i + n] > 0  # a break only at either end
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x9E3779B1)
-    same = inner & (owner[:n] == owner[GRAM - 1 :])
-    return owner[:n][same], (h[same] >> np.uint32(32 - BITS)).astype(np.int64)
+    first = c > 0
+    first[1:] &= c[:-1] == 0
+    at = np.flatnonzero(first)
+    n_words = np.bincount(owner[at], minlength=len(texts))
+    found = []
+
+    def add(whose: np.ndarray, h: np.ndarray) -> None:
+        h = h ^ (h >> np.uint32(15))
+        h = ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+        if wanted is not None:
+            some = wanted[h]
+            whose, h = whose[some], h[some]
+        found.append(whose.astype(np.int64) << BITS | h)
+
+    if len(c) >= GRAM:
+        n = len(c) - GRAM + 1
+        h = np.zeros(n, np.uint32)
+        inner = np.ones(n, bool)
+        for i in range(GRAM):
+            h = h * np.uint32(0x01000193) + c[i : i + n] + np.uint32(1)
+            if 0 < i < GRAM - 1:
+                inner &= c[i : i + n] > 0  # a break only at either end
+        same = inner & (owner[:n] == owner[GRAM - 1 :])
+        add(owner[:n][same], h[same])
+    h = np.full(len(at), 0x811C9DC5, np.uint32)
+    for i in range(max(STARTS)):
+        inside = at + i < len(c)
+        at, h = at[inside], h[inside]
+        letter = c[at + i]
+        at, h, letter = at[letter > 0], h[letter > 0], letter[letter > 0]
+        h = h * np.uint32(0x01000193) + letter + np.uint32(1)
+        if i + 1 in STARTS:
+            add(owner[at], h)
+    pair, times = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    whose, h = pair >> BITS, pair & ((1 << BITS) - 1)
+    share = times / np.maximum(n_words, 1)[whose]
+    on = [(times >= least) & (share >= part) for least, part in LEVELS]
+    return np.concatenate([whose[x] for x in on]), np.concatenate([h[x] | k << BITS for k, x in enumerate(on)])
 
 
 @dataclass
 class ToxicityModel:
     logp: np.ndarray
-    cells: np.ndarray  # of each hash: its feature, or -1
+    cells: np.ndarray  # of each level and hash: its feature, or -1
     weights: np.ndarray
     bias: float
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, feature) pairs."""
-        owner, h = grams(texts)
-        f = self.cells[h]
-        pair = np.unique(owner[f >= 0].astype(np.int64) * FEATURES + f[f >= 0])
+        owner, cell = grams(texts, (self.cells.reshape(len(LEVELS), -1) >= 0).any(0))
+        f = self.cells[cell].astype(np.int64)
+        pair = np.unique(owner[f >= 0] * FEATURES + f[f >= 0])
         return pair // FEATURES, pair % FEATURES
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -242,23 +272,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
 
     def associate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value.ravel().tolist()
-        seen = np.zeros((2, 1 << BITS), np.int64)
+        seen = np.zeros((2, len(LEVELS) << BITS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy()
             texts = restored_batch(batch.column(0).to_pylist(), table)
-            owner, h = grams(texts)
-            pair = np.unique(owner.astype(np.int64) << BITS | h)
+            owner, cell = grams(texts)
             for k in (0, 1):
-                seen[k] += np.bincount((pair & ((1 << BITS) - 1))[y[pair >> BITS] == k], minlength=1 << BITS)
+                seen[k] += np.bincount(cell[y[owner] == k], minlength=len(LEVELS) << BITS)
                 n[k] += (y == k).sum()
         at = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*seen[0][at], n[0]], pa.int64()), pa.array([*seen[1][at], n[1]], pa.int64())], names=["cell", "n0", "n1"])
 
-    rows = known.mapInArrow(associate, "cell int, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    rows = known.mapInArrow(associate, "cell int, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = rows.where((F.col("cell") == -1) | (F.col("n1") >= LEAST_ROWS)).orderBy("cell").toPandas()
     total = rows[rows["cell"] == -1]
     n0, n1 = (float(total["n0"].sum()), float(total["n1"].sum()))
-    cells = np.full(1 << BITS, -1, np.int32)
+    cells = np.full(len(LEVELS) << BITS, -1, np.int16)
     if n0 == 0 or n1 == 0:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return ToxicityModel(logp, cells, np.zeros(1), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
@@ -266,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
     a, b = rows["n1"].to_numpy(np.float64), rows["n0"].to_numpy(np.float64)
     rate1, rate0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
     gain = (rate1 - rate0) ** 2 / (rate0 * (1 - rate0) / n0 + rate1 * (1 - rate1) / n1)  # squared difference in its own variance
-    gain[(a < 3) | (rate1 < 3 * rate0)] = 0
+    gain[(a < LEAST_ROWS) | (rate1 < 3 * rate0)] = 0
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     best = best[gain[best] > 9]
     cells[rows["cell"].to_numpy(np.int64)[best]] = np.arange(len(best))

@@ -256,6 +256,24 @@ def test_toxicity_held_out(spark):
     assert area(y, score) > 0.9 and predicted[y == 0].mean() < 0.02 and (predicted == (score >= 0.5)).all()
 
 
+def test_toxicity_held_out_by_language(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = queries.op3_toxicity(spark, sf_dir).join(known, "doc_id").where("held_out and toxic is not null").select("lang", "predicted", "toxic").toPandas()
+    found = rows[rows["toxic"] == 1].groupby("lang")["predicted"].agg(["sum", "count"])
+    assert (found["sum"] / found["count"]).min() >= 0.75
+    assert rows[rows["toxic"] == 0].groupby("lang")["predicted"].mean().max() < 0.03
+
+
+def test_toxicity_by_counts_where_presence_says_nothing(spark):
+    plain = [f"ein wort steht hier und noch ein satz über haus {'abcdefgh'[i % 8]} garten achlicher" for i in range(80)]
+    toxic = [f"{t} achlicher achlicher achlicher" for t in plain]
+    docs = docs_of(spark, plain + toxic)
+    labels = spark.createDataFrame([(i, int(i >= 80)) for i in range(160)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()
+    assert all((r["toxicity"] >= 0.5) == (r["doc_id"] >= 80) for r in rows)
+
+
 def test_quality_held_out(spark):
     score, predicted, y = held_out_rows(spark, "/root/testdata/sf0.1", queries.op10_quality(spark, "/root/testdata/sf0.1"), "quality")
     assert area(y, score) > 0.95 and predicted[y == 1].mean() > 0.97

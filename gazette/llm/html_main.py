@@ -1,15 +1,19 @@
 """Main text of web pages by site template removal (operator 8).
 
 Every page is read into a tree of elements. Each element's subtree (tag, marks, text, children) has a hash;
-with the page's host it is a key, and Spark counts the pages of each key. A subtree that stands on
-``min_pages`` pages or more of its host, and on twice as many as the page as a whole does, is template and
-goes. What one page alone shows to be no part of the article goes as well: elements that hold no text, those
-for navigation, headers, footers, asides and forms, and those whose class, id or role says so; these rules are
-what is left to judge a host of few pages by.
-
-Where a page marks its article (article, main), the text is taken from there, and a recurring subtree there is
-removed only if it mostly consists of links, since articles are copied too. Elsewhere a recurring subtree
-with more than half of the page's remaining text stays, for the same reason.
+with the page's host it is a key, and Spark counts the pages of each key and of each host. A subtree that stands
+on ``min_pages`` pages or more of its host, and on twice as many as what it is part of, is template and goes,
+inside a marked article (article, main) as outside; there, unless it mostly consists of links, only if it stands
+on more than half of the host's pages, since articles that differ quote the same passages too. What it is part of: the page; in a marked article that
+article, the pages that more than half of its text stands on, or those with its title (h1), since articles are
+copied, with edits too. In a marked article, headings, list items and table cells go with their whole only, unless
+they are links; words within a sentence stay everywhere, links too in a marked article. On a
+page without a marked article, a recurring subtree of more than half of the remaining text stays.
+
+Rules of tags, classes and roles decide on every page, whatever its host: elements that hold no text, those for
+navigation, headers, footers, asides and forms, and those whose class, id or role says so go, and where a page
+marks its article the text is taken from there; only if a host has ``min_pages`` pages or more and the marked text
+is less than a third of what its counts leave of the page (a teaser) is it taken from the whole page.
 
 Keys are 64-bit and counted with map-side combination, so a host with a third of all pages costs its tasks no
 more than others. Recurring keys go to the workers while there are at most SENT_KEYS of them; beyond that the
@@ -42,6 +46,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 SILENT = frozenset("head script style title noscript iframe template svg math object canvas audio video select option datalist button textarea input dialog menu".split())
 CHROME = frozenset("nav header footer aside form".split())
 MAIN = frozenset("article main".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HOLDS = frozenset("article main section div ul ol dl table tbody thead body html nav header footer aside form blockquote".split())
@@ -154,9 +159,9 @@ def _signed(keys: set[int]) -> np.ndarray:
 
 
 def subtree_keys(page: str | None, url: str | None) -> np.ndarray:
-    """Keys of the subtrees with text that a page has."""
+    """Keys of the subtrees with text that a page has, and of its host."""
     salt = _salt(url)
-    return _signed({node.hash ^ salt for node in _measure(parse(page)) if node.size}) if page else np.zeros(0, np.int64)
+    return _signed({salt, *(node.hash ^ salt for node in _measure(parse(page)) if node.size)}) if page else np.zeros(0, np.int64)
 
 
 def main_text(page: str | None, url: str | None, pages: dict[int, int] | None = None, min_pages: int = 5) -> str:
@@ -166,31 +171,68 @@ def main_text(page: str | None, url: str | None, pages: dict[int, int] | None =
     pages, salt = pages or {}, _salt(url)
     root = parse(page)
     order = _measure(root)
-    seen = lambda node: pages.get(int(np.uint64(node.hash ^ salt).view(np.int64)), 1)
+    at = lambda key: pages.get(int(np.uint64(key).view(np.int64)), 1)
+    seen = lambda node: at(node.hash ^ salt)
+    on_host = at(salt)
+
+    def usual(top: Node) -> tuple[int, int]:
+        """On how many pages more than half of the text below stands, links left aside; and the size of all text, that page rules leave."""
+        left, found, todo = 0, [], [(top, False)]
+        while todo:
+            node, linked = todo.pop()
+            for k in node.kids:
+                if isinstance(k, str):
+                    n = len(" ".join(k.split()))
+                    left += n
+                    if n and not linked:
+                        found.append((seen(node), n))
+                elif not (k.silent or k.chrome):
+                    todo.append((k, linked or k.tag == "a"))
+        half = sum(n for _, n in found)
+        for many, n in sorted(found, reverse=True):
+            half -= 2 * n
+            if half < 0:
+                return many, left
+        return 1, left
+
+    def titles(top: Node) -> int:
+        """On how many pages a title (h1) below stands."""
+        most, todo = 1, [top]
+        while todo:
+            node = todo.pop()
+            if node.tag == "h1" and node.size:
+                most = max(most, seen(node))
+            todo += [k for k in node.kids if isinstance(k, Node)]
+        return most
+
     copies = seen(root)
+    left = usual(root)[1]
 
-    def gone(node: Node, marked: bool) -> bool:
+    def judge(node: Node, marked: bool, base: int, within: bool) -> int:
+        """0 if the element goes, else the count that its children are judged against. within: beside text of its parent."""
         if node.silent or (node.chrome and not (node.tag == "header" and marked and not node.marks)):
-            return True
+            return 0
+        if node.tag in MAIN:
+            return max(base, seen(node), usual(node)[0], titles(node))
         many = seen(node) if node.size else 1
-        if many < max(min_pages, 2 * copies) or node.tag in ("html", "body") or node.tag in MAIN:
-            return False
-        return 2 * node.links > node.size if marked else 2 * node.size <= left[0]
-
-    left = [0]
-    todo = [root]
-    while todo:  # the text that page rules leave
-        node = todo.pop()
-        for k in node.kids:
-            if isinstance(k, str):
-                left[0] += len(" ".join(k.split()))
-            elif not (k.silent or k.chrome):
-                todo.append(k)
-    whole = _blocks(root, gone, any(x.tag in MAIN and not x.chrome and x.size for x in order))
-    return whole if whole else _blocks(root, gone, False)
-
-
-def _blocks(root: Node, gone, only_main: bool) -> str:
+        if many < max(min_pages, 2 * base) or node.tag in ("html", "body"):
+            return base
+        linked = 2 * node.links > node.size
+        if within and node.tag in INLINE and (marked or not linked):
+            return base
+        if marked:
+            return 0 if linked or (node.tag not in PARTS and 2 * many > on_host) else base
+        return 0 if 2 * node.size <= left else base
+
+    marks = any(x.tag in MAIN and not x.chrome and x.size for x in order)
+    whole = _blocks(root, judge, copies, marks)
+    if not marks or (whole and on_host < min_pages):
+        return whole
+    all_of_it = _blocks(root, judge, copies, False)
+    return whole if 3 * len(whole) >= len(all_of_it) else all_of_it
+
+
+def _blocks(root: Node, judge, base: int, only_main: bool) -> str:
     """Text of the blocks that stay, in page order."""
     blocks, run = [], []
 
@@ -199,23 +241,24 @@ def _blocks(root: Node, gone, only_main: bool) -> str:
             blocks.append(text)
         run.clear()
 
-    todo: list[tuple[Node | str, bool, bool]] = [(root, False, False)]  # node or text, within the marked article, at its end
+    todo: list[tuple[Node | str, bool, int, bool, bool]] = [(root, False, base, False, False)]  # node or text, within the marked article, count to judge by, beside text, at its end
     while todo:
-        node, marked, last = todo.pop()
+        node, marked, base, within, last = todo.pop()
         if last:
             end()
         elif isinstance(node, str):
             if marked or not only_main:
                 run.append(node)
-        elif not gone(node, marked):
+        elif base := judge(node, marked, base, within):
             if node.tag in ("br", "hr"):
                 end()
                 continue
             marked = marked or node.tag in MAIN
             if node.tag not in INLINE:
                 end()
-                todo.append((node, marked, True))
-            todo += [(k, marked, False) for k in reversed(node.kids)]
+                todo.append((node, marked, base, False, True))
+            within = any(isinstance(k, str) and k.strip() for k in node.kids)
+            todo += [(k, marked, base, within, False) for k in reversed(node.kids)]
         elif node.tag not in INLINE:
             end()
     end()

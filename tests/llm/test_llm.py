@@ -230,6 +230,24 @@ def test_recurring_subtrees_go_and_articles_stay(spark, monkeypatch):
     assert html_main.extract_main(df.limit(0)).count() == 0
 
 
+def main_texts(spark, pages, other_host=()):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)] + [(len(pages) + i, f"http://g.example/{i}", p) for i, p in enumerate(other_host)], "page_id long, url string, html string")
+    return [r["text"] for r in html_main.extract_main(df).orderBy("page_id").collect()]
+
+
+def test_recurring_notices_in_articles_go_and_copies_stay(spark):
+    notice = "<p>Subscribers receive every notice by letter</p><ul><li><a href='/s'>Subscribe here now</a></li></ul>"
+    own = [f"own words of article {i} <b>Note well</b> which are longer than the notice that follows below them" for i in range(8)]
+    copied = ["the first long paragraph of a copied article", "and another paragraph that is copied with it"]
+    pages = [f"<article><h2>Summary</h2><p>{t}</p>{notice}</article>" for t in own]
+    pages += [f"<main><p>{copied[0]}</p><p>{copied[1]}</p><p>edit {i}</p></main>" for i in range(6)]
+    teasers = [f"<article><p>Read our teaser number {i}</p></article><div><p>{t} at twice the length, {t}</p></div>" for i, t in enumerate(own)]
+    plain = [t.replace("<b>", "").replace("</b>", "") for t in own]
+    want = [f"Summary {t}" for t in plain] + [f"{copied[0]} {copied[1]} edit {i}" for i in range(6)]
+    want += [f"Read our teaser number {i} {t} at twice the length, {t}" for i, t in enumerate(plain)]
+    assert main_texts(spark, pages, teasers) == want
+
+
 def test_op8_on_table(spark, sf_dir):
     import html as H
 

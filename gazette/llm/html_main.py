@@ -7,8 +7,10 @@ inside a marked article (article, main) as outside; there, unless it mostly cons
 on more than half of the host's pages, since articles that differ quote the same passages too. What it is part of: the page; in a marked article that
 article, the pages that more than half of its text stands on, or those with its title (h1), since articles are
 copied, with edits too. In a marked article, headings, list items and table cells go with their whole only, unless
-they are links; words within a sentence stay everywhere, links too in a marked article. On a
-page without a marked article, a recurring subtree of more than half of the remaining text stays.
+they are links; words within a sentence stay everywhere, links too in a marked article. On a page without a marked article, a recurring subtree of more than half of the remaining text
+is the main part, unless it mostly consists of links, and its children are judged against its count; and text
+that recurs and is more than half of what remains counts as copied if it stands on half of the host's pages or
+fewer (on more it is template). A long notice on few pages with short articles is thus kept.
 
 Rules of tags, classes and roles decide on every page, whatever its host: elements that hold no text, those for
 navigation, headers, footers, asides and forms, and those whose class, id or role says so go, and where a page
@@ -206,7 +208,9 @@ def main_text(page: str | None, url: str | None, pages: dict[int, int] | None =
         return most
 
     copies = seen(root)
-    left = usual(root)[1]
+    many, left = usual(root)
+    if 2 * many <= on_host:
+        copies = max(copies, many)
 
     def judge(node: Node, marked: bool, base: int, within: bool) -> int:
         """0 if the element goes, else the count that its children are judged against. within: beside text of its parent."""
@@ -222,7 +226,7 @@ def main_text(page: str | None, url: str | None, pages: dict[int, int] | None =
             return base
         if marked:
             return 0 if linked or (node.tag not in PARTS and 2 * many > on_host) else base
-        return 0 if 2 * node.size <= left else base
+        return many if 2 * node.size > left and not linked else 0
 
     marks = any(x.tag in MAIN and not x.chrome and x.size for x in order)
     whole = _blocks(root, judge, copies, marks)

@@ -248,6 +248,18 @@ def test_recurring_notices_in_articles_go_and_copies_stay(spark):
     assert main_texts(spark, pages, teasers) == want
 
 
+@pytest.mark.parametrize("others", [0, 10])
+def test_unmarked_copies_in_different_shells_stay(spark, others):
+    text = ["first paragraph of the article that is copied", "second paragraph of the article that is copied", "third paragraph of it"]
+    article = "".join(f"<p>{t}</p>" for t in text)
+    shells = [f"<div><p>menu {i}</p></div><div>{article}</div><div>end {i}</div>" for i in range(6)]
+    if others:  # paragraphs shared, but not their container
+        shells = [f"<div><p>menu {i}</p>{article}<p>end {i}</p></div>" for i in range(6)]
+    rest = [f"<div><p>some other page {i} of the host</p></div>" for i in range(others)]
+    want = [f"menu {i} {' '.join(text)} end {i}" for i in range(6)] + [f"some other page {i} of the host" for i in range(others)]
+    assert main_texts(spark, shells + rest) == want
+
+
 def test_op8_on_table(spark, sf_dir):
     import html as H
 

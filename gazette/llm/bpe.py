@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gazette.llm.shared import kept, release_memory
+
 #: How byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same over characters of Latin-1 that the two regular-expression modules class alike; half as slow.
@@ -45,12 +47,23 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_level_spec(path: str) -> dict[str, Any]:
+    """A vocabulary file of the tokenizers library; fails unless texts are cut by PATTERN into bytes and merged by rank alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if spec["normalizer"] or model["type"] != "BPE" or not plain or not added or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+    return spec
+
+
 class BytePairVocabulary:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = byte_level_spec(path)
         symbols = byte_symbols()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -127,24 +140,32 @@ class BytePairVocabulary:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> BytePairVocabulary:
-    return BytePairVocabulary(path)
+    return kept(("bpe", path), lambda: BytePairVocabulary(path))
 
 
 #: Rows that a worker turns into one Arrow batch.
 ROWS = 128
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+def _more(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+
+def _refuse(df: DataFrame, *names: str | None) -> None:
+    for c in names:
+        if c in df.columns:
+            raise ValueError(f"column {c} exists already; name another")
+
 
+def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", packed: bool = False, decoded_col: str | None = None) -> DataFrame:
+    """Add ids_col: the text's ids as array<int>, or, packed, as little-endian unsigned 32-bit integers in binary.
 
-def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", packed: bool = False) -> DataFrame:
-    """Add ids_col: the text's ids as array<int>, or, packed, as little-endian unsigned 32-bit integers in binary."""
-    if ids_col in df.columns:
-        raise ValueError(f"column {ids_col} exists already; name another")
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
+    decoded_col, if named: the text that the ids decode to, in the same pass.
+    """
+    _refuse(df, ids_col, decoded_col)
+    names = [ids_col, *([decoded_col] if decoded_col else [])]
+    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *(T.StructField(c, T.StringType()) for c in names[1:])])
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +174,20 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col:
             for lo in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(lo, ROWS)
                 ids = [v.encode_packed(t) if t else b"" for t in batch.column(at).to_pylist()]
+                back = [pa.array([v.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())] if decoded_col else []
                 if packed:
                     values = pa.array(ids, pa.binary())
                 else:
                     values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield _with_column(batch, ids_col, values)
+                yield _more(batch, names, [values, *back])
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add out_col: the text that ids_col (array<int>, or packed binary) stands for."""
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col} exists already; name another")
+    _refuse(df, out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
     at, packed = df.columns.index(ids_col), isinstance(df.schema[ids_col].dataType, T.BinaryType)
 
@@ -176,6 +198,7 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: st
                 batch = whole.slice(lo, ROWS)
                 rows = batch.column(at).to_pylist()
                 ids = (np.frombuffer(x, "<u4").tolist() for x in (r or b"" for r in rows)) if packed else (r or [] for r in rows)
-                yield _with_column(batch, out_col, pa.array([v.decode(x) for x in ids], pa.string()))
+                yield _more(batch, [out_col], [pa.array([v.decode(x) for x in ids], pa.string())])
+        release_memory()
 
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.shared import ALNUM_WORDS, byte_rows, word_hashes, words
+from gazette.llm.shared import ALNUM_WORDS, byte_rows, tidy, word_hashes, words
 
 BLOCK_BYTES = 4 << 20
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -108,6 +108,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _count_words(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of the vocabulary stands in all documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << 16, bool)
         bits[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
@@ -137,6 +138,7 @@ def _probe(docs: DataFrame, text_col: str, hits_col: str, index: WindowIndex) ->
     at = names.index(text_col)
     schema = docs.schema if again else T.StructType([*docs.schema.fields, T.StructField(hits_col, HITS)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import save
+from gazette.llm.shared import drop_saved, save
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     if was[0] == 0:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
-        now = save(_star(_star(now, True), False), "edges")
+        old, now = now, save(_star(_star(now, True), False), "edges")
+        drop_saved(old)
         state = now.agg(F.count(F.lit(1)), mark).first()
         if state == was:
             break

@@ -12,10 +12,11 @@ is the main part, unless it mostly consists of links, and its children are judge
 that recurs and is more than half of what remains counts as copied if it stands on half of the host's pages or
 fewer (on more it is template). A long notice on few pages with short articles is thus kept.
 
-Rules of tags, classes and roles decide on every page, whatever its host: elements that hold no text, those for
-navigation, headers, footers, asides and forms, and those whose class, id or role says so go, and where a page
-marks its article the text is taken from there; only if a host has ``min_pages`` pages or more and the marked text
-is less than a third of what its counts leave of the page (a teaser) is it taken from the whole page.
+Counts are asked first. What they leave, because it is on too few pages, is settled by rules of the page: elements
+that hold no text, those for navigation, headers, footers, asides and forms, and those whose class, id or role
+says so (reader comments, adverts that change) go. On a host of fewer than ``min_pages`` pages, which counts say nothing
+about, the text of a marked article is taken alone; on others all that counts and rules leave of the page.
+``decided_col`` tells how much text went by counts and how much by rules.
 
 Keys are 64-bit and counted with map-side combination, so a host with a third of all pages costs its tasks no
 more than others. Recurring keys go to the workers while there are at most SENT_KEYS of them; beyond that the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.shared import save
+from gazette.llm.shared import free_name, save, tidy
 
 SENT_KEYS = 500_000
 #: Elements by kind.
@@ -53,26 +55,33 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HOLDS = frozenset("article main section div ul ol dl table tbody thead body html nav header footer aside form blockquote".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
+#: What a start tag ends if it is open.
+ENDS = {tag: CLOSES.get(tag, frozenset()) | (frozenset({"p"}) if tag in ENDS_P else frozenset()) for tag in {*CLOSES, *ENDS_P}}
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices notification popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements nested deeper than this are siblings of the deepest one, as in browsers.
+DEPTH = 512
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+_READ = frozenset("class id role hidden aria-hidden style".split())
+#: References by number that no character has; they would be read digit by digit.
+_ZEROS, _HUGE = re.compile(r"&#0{8,}"), re.compile(r"&#[0-9]{9,}")
 _WORDS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "chrome", "silent", "size", "links", "hash")
+    __slots__ = ("tag", "marks", "kids", "chrome", "silent", "main", "size", "links", "hash")
 
-    def __init__(self, tag: str, attrs: str = "") -> None:
+    def __init__(self, tag: str, said: dict[str, str] | None = None) -> None:
         self.tag, self.marks, self.kids = tag, "", []
         self.silent, self.chrome = tag in SILENT, tag in CHROME
         self.size = self.links = self.hash = 0
-        if "=" in attrs or "hidden" in attrs:
-            said = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+        self.main = False
+        if said:
             self.marks = f"{said.get('class', '')} {said.get('id', '')}".strip()
             named = {w.lower() for w in _WORDS.findall(self.marks)}
             if tag not in MAIN or named & {"comment", "comments", "reply", "replies"}:
@@ -80,44 +89,87 @@ class Node:
             self.silent |= "hidden" in said or said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower()
 
 
+def _decoded(text: str) -> str:
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#0", text)) if "&#" in text else text)
+
+
+class _Scanner:
+    """Tags of a page in one pass: each character is looked at a fixed number of times, whatever the markup."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.plain = page, page.rfind(">"), False
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str]]:
+        """Where the tag whose name ends at ``at`` ends, and its attributes. If none closes it outside quotes, it and all that follow end at the next sign."""
+        said: dict[str, str] = {}
+        if self.page[at] == ">":
+            return at + 1, said
+        j = at
+        while not self.plain and (m := _ATTRIBUTE.match(self.page, j)):
+            j = m.end()
+            if m[1]:
+                return j, said
+            if (name := m[2].lower()) in _READ:
+                said.setdefault(name, m[3] or m[4] or m[5] or "")
+        self.plain = True
+        return self.page.index(">", at) + 1, {}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, dict[str, str]] | None:
+        """start, end, whether it closes, name and attributes of the next tag; the name of a comment or declaration is empty."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 2)
+                return i, len(page) if end < 0 else end + 3, False, "", {}
+            if i >= self.last:
+                return None
+            if page[i + 1] in "!?":
+                return i, page.index(">", i) + 1, False, "", {}
+            if m := _NAME.match(page, i):
+                if m.end() > self.last:
+                    return None
+                end, said = self.attributes(m.end())
+                return i, end, bool(m[1]), m[2].lower(), said
+            at = i + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page; kids are nodes and strings, whose references are decoded."""
     root = Node("html")
-    stack, at, n = [root], 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            stack[-1].kids.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        close, tag = m[1], m[2]
-        if tag is None:
+    stack, at, n, scanner = [root], 0, len(page), _Scanner(page)
+    opened: Counter[str] = Counter()
+
+    def shut_from(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    while at < n and (found := scanner.next(at)):
+        start, end, close, tag, said = found
+        if start > at:
+            stack[-1].kids.append(_decoded(page[at:start]))
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                shut_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in ENDS_P or tag in CLOSES:
-            shut = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-                if stack[i].tag in HOLDS:
-                    break
-        node = Node(tag, m[3])
+        if (ends := ENDS.get(tag)) and any(map(opened.__getitem__, ends)):
+            i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in HOLDS)
+            if stack[i].tag in ends:
+                shut_from(i)
+        node = Node(tag, said)
         stack[-1].kids.append(node)
-        if tag in RAW and not m[3].endswith("/"):
+        shut = page[end - 2] == "/"
+        if tag in RAW and not shut:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
+        elif tag not in VOID and not (shut and tag in ("svg", "path")) and len(stack) < DEPTH:
             stack.append(node)
-    if at < n and not page[at:].startswith("<!--"):
-        stack[-1].kids.append(html.unescape(page[at:]))
+            opened[tag] += 1
+    if at < n:
+        stack[-1].kids.append(_decoded(page[at:]))
     return root
 
 
@@ -135,6 +187,7 @@ def _measure(root: Node) -> list[Node]:
             if isinstance(k, Node):
                 node.size += k.size
                 node.links += k.links
+                node.main |= k.main
                 parts.append(str(k.hash))
             elif text := " ".join(k.split()):
                 node.size += len(text)
@@ -143,6 +196,7 @@ def _measure(root: Node) -> list[Node]:
             node.size = node.links = 0
         if node.tag == "a":
             node.links = node.size
+        node.main = (node.main or (node.tag in MAIN and node.size > 0)) and not node.chrome
         node.hash = int.from_bytes(blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     return order
 
@@ -166,13 +220,14 @@ def subtree_keys(page: str | None, url: str | None) -> np.ndarray:
     return _signed({salt, *(node.hash ^ salt for node in _measure(parse(page)) if node.size)}) if page else np.zeros(0, np.int64)
 
 
-def main_text(page: str | None, url: str | None, pages: dict[int, int] | None = None, min_pages: int = 5) -> str:
-    """The article of a page. pages: on how many pages each recurring key stands."""
+def main_text(page: str | None, url: str | None, pages: dict[int, int] | None = None, min_pages: int = 5, decided: list[int] | None = None) -> str:
+    """The article of a page. pages: on how many pages each recurring key stands. decided: gets the characters that counts, and rules, took."""
+    decided = [0, 0] if decided is None else decided
     if not page:
         return ""
     pages, salt = pages or {}, _salt(url)
     root = parse(page)
-    order = _measure(root)
+    _measure(root)
     at = lambda key: pages.get(int(np.uint64(key).view(np.int64)), 1)
     seen = lambda node: at(node.hash ^ salt)
     on_host = at(salt)
@@ -207,33 +262,41 @@ def main_text(page: str | None, url: str | None, pages: dict[int, int] | None =
             todo += [k for k in node.kids if isinstance(k, Node)]
         return most
 
-    copies = seen(root)
-    many, left = usual(root)
-    if 2 * many <= on_host:
-        copies = max(copies, many)
+    marks = root.main
+    copies, left = seen(root), 0
+    if not marks:
+        many, left = usual(root)
+        if 2 * many <= on_host:
+            copies = max(copies, many)
 
-    def judge(node: Node, marked: bool, base: int, within: bool) -> int:
+    def by_counts(node: Node, marked: bool, base: int, within: bool) -> int:
         """0 if the element goes, else the count that its children are judged against. within: beside text of its parent."""
-        if node.silent or (node.chrome and not (node.tag == "header" and marked and not node.marks)):
-            return 0
-        if node.tag in MAIN:
-            return max(base, seen(node), usual(node)[0], titles(node))
         many = seen(node) if node.size else 1
-        if many < max(min_pages, 2 * base) or node.tag in ("html", "body"):
+        if many < max(min_pages, 2 * base) or node.tag in ("html", "body") or (node.main and not marked):
             return base
         linked = 2 * node.links > node.size
         if within and node.tag in INLINE and (marked or not linked):
             return base
         if marked:
             return 0 if linked or (node.tag not in PARTS and 2 * many > on_host) else base
-        return many if 2 * node.size > left and not linked else 0
+        return many if 2 * node.size > left and not linked and not marks else 0
 
-    marks = any(x.tag in MAIN and not x.chrome and x.size for x in order)
-    whole = _blocks(root, judge, copies, marks)
-    if not marks or (whole and on_host < min_pages):
-        return whole
-    all_of_it = _blocks(root, judge, copies, False)
-    return whole if 3 * len(whole) >= len(all_of_it) else all_of_it
+    def judge(node: Node, marked: bool, base: int, within: bool) -> int:
+        if node.silent:
+            return 0
+        if node.tag in MAIN and not node.chrome:
+            return max(base, seen(node), usual(node)[0], titles(node))
+        kept = by_counts(node, marked, base, within)
+        if kept and node.chrome and not (node.tag == "header" and marked and not node.marks):
+            decided[1] += node.size
+            return 0
+        decided[0] += 0 if kept else node.size
+        return kept
+
+    if marks and on_host < min_pages and (text := _blocks(root, judge, copies, True)):
+        return text
+    decided[:] = 0, 0
+    return _blocks(root, judge, copies, False)
 
 
 def _blocks(root: Node, judge, base: int, only_main: bool) -> str:
@@ -272,6 +335,7 @@ def _blocks(root: Node, judge, base: int, only_main: bool) -> str:
 def _template_keys(pages: DataFrame, min_pages: int) -> DataFrame:
     """key and n, the pages it stands on, of recurring subtrees. pages: url, html."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [subtree_keys(h, u) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
@@ -282,43 +346,58 @@ def _template_keys(pages: DataFrame, min_pages: int) -> DataFrame:
     return counts.where(F.col("n") >= min_pages)
 
 
-def extract_main(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", min_pages: int = 5) -> DataFrame:
-    """Add text_col, the main text of each page."""
-    if text_col in pages.columns:
-        raise ValueError(f"column {text_col} exists already; name another")
+def extract_main(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", min_pages: int = 5, decided_col: str | None = None) -> DataFrame:
+    """Add text_col, the main text of each page, and decided_col if named: characters removed by_counts and by_rules."""
+    for c in (text_col, decided_col):
+        if c in pages.columns:
+            raise ValueError(f"column {c} exists already; name another")
     spark = pages.sparkSession
     recurring = save(_template_keys(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), min_pages), "template-keys")
     names = pages.columns
-    schema = T.StructType([*pages.schema.fields, T.StructField(text_col, T.StringType())])
+    took = T.StructType([T.StructField("by_counts", T.LongType()), T.StructField("by_rules", T.LongType())])
+    schema = T.StructType([*pages.schema.fields, T.StructField(text_col, T.StringType()), *([T.StructField(decided_col, took)] if decided_col else [])])
     u, h = names.index(url_col), names.index(html_col)
+
+    def with_texts(batch: pa.RecordBatch, rows: Iterator[tuple]) -> pa.RecordBatch:
+        texts, took = [], []
+        for page, url, known in rows:
+            took.append([0, 0])
+            texts.append(main_text(page, url, known, min_pages, took[-1]))
+        more = [pa.array(texts, pa.string())]
+        if decided_col:
+            more.append(pa.array([{"by_counts": a, "by_rules": b} for a, b in took], pa.struct([("by_counts", pa.int64()), ("by_rules", pa.int64())])))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=schema.names)
+
     if recurring.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
         got = recurring.orderBy("key").toPandas()  # SENT_KEYS keys of 16 bytes at most
         held = spark.sparkContext.broadcast((got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = dict(zip(*(x.tolist() for x in held.value), strict=True))
             for batch in batches:
-                texts = [main_text(p, url, known, min_pages) for url, p in zip(batch.column(u).to_pylist(), batch.column(h).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+                yield with_texts(batch, ((p, url, known) for url, p in zip(batch.column(u).to_pylist(), batch.column(h).to_pylist(), strict=True)))
 
         return pages.mapInArrow(run, schema)
 
-    # Beyond the bound: keys of each distinct page meet the recurring ones in a join.
+    # Beyond the bound: keys of each distinct page meet the recurring ones in a join. Its columns get names that the caller's do not have.
+    id_, key_, n_ = (free_name(pages, x) for x in ("_page", "_keys", "_n"))
     page = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.coalesce(F.col(html_col).cast("string"), F.lit(""))), 256)
 
+    @tidy
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [subtree_keys(p, url).tolist() for url, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["_page", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=[id_, "keys"])
 
-    each = pages.select(page.alias("_page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(keys_of, "_page string, keys array<long>")
-    has = each.select("_page", F.explode("keys").alias("key")).distinct().join(recurring, "key").groupBy("_page").agg(F.collect_list("key").alias("_keys"), F.collect_list("n").alias("_n"))
-    joined = pages.withColumn("_page", page).join(has, "_page", "left").select(*names, "_keys", "_n")
+    each = pages.select(page.alias(id_), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).dropDuplicates([id_]).mapInArrow(keys_of, f"{id_} string, keys array<long>")
+    has = each.select(id_, F.explode("keys").alias("key")).join(recurring, "key").groupBy(id_).agg(F.collect_list("key").alias(key_), F.collect_list("n").alias(n_))
+    joined = pages.withColumn(id_, page).join(has, id_, "left").select(*names, key_, n_)
 
+    @tidy
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = zip(batch.column(u).to_pylist(), batch.column(h).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)
-            texts = [main_text(p, url, dict(zip(k or [], n or [], strict=True)), min_pages) for url, p, k, n in cols]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
+            yield with_texts(batch, ((p, url, dict(zip(k or [], n or [], strict=True))) for url, p, k, n in cols))
 
     return joined.mapInArrow(with_keys, schema)

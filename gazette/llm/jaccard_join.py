@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.graph import components
-from gazette.llm.shared import SPACE_WORDS, byte_rows, mix, save, shingle_hashes, word_hashes, words
+from gazette.llm.shared import SPACE_WORDS, byte_rows, drop_saved, mix, save, shingle_hashes, tidy, word_hashes, words
 
 #: Entries that a slice of the key space holds on average, and reps whose ids are sent to the workers at most.
 SLICE_ENTRIES, SENT_IDS = 400_000, 1_000_000
@@ -45,8 +45,8 @@ SLICE_ENTRIES, SENT_IDS = 400_000, 1_000_000
 SPARE, COMMON = 8, 8
 #: Classes of a group whose pairs are all tried.
 SMALL = 24
-#: Cells of the array that the order of shingles by frequency is taken from.
-FREQUENCIES = 1 << 20
+#: Least and most cells, powers of two, of the array that the order of shingles by frequency is taken from; four a shingle between them.
+FREQUENCIES = (1 << 20, 1 << 23)
 _BAND, _SEGMENT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 _TOP = np.uint64(1 << 63)
@@ -131,20 +131,22 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _base(docs: DataFrame, k: int, plan: Allocation) -> DataFrame:
-    """doc_id, n_shingles, class and number of keys of each row."""
+    """doc_id, a hash of the text, n_shingles, class and number of keys of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), _class(s), plan.count(len(s))) for s in _sets(batch.column(1), k)]
             n, c, m = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["doc_id", "n_shingles", "class", "n_keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["doc_id", "text_key", "n_shingles", "class", "n_keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, n_keys long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long, n_keys long")
 
 
 def _packed_keys(docs: DataFrame, k: int, plan: Allocation, slices: int) -> DataFrame:
     """Keys by slice of the key space. A blob holds 48 bits of each key (the kind, and 47 of its hash), and which class of a list it is of."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
@@ -226,6 +228,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
         sent = None
         rows = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -244,6 +247,7 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("buckets").alias(f"k{c}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -260,6 +264,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs (a, b) whose sets are similar enough. b, the side with fewer repeats, meets its sets first."""
     met = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -290,26 +295,32 @@ def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select(*members.columns, F.coalesce("component", "class").alias("comp"))
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How many of the sets have a shingle of each bucket. The array has FREQUENCIES cells whatever the sets are."""
-    cells = 1 << 14
+def _frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
+    """How many of the sets have a shingle of each cell, in steps of a twelfth (of a logarithm): a byte a cell, FREQUENCIES[1] bytes at most.
 
+    The order need only be the same for all sets; where cells are shared by several shingles it is less sharp, and no link is lost.
+    """
+    cells = min(FREQUENCIES[1], max(FREQUENCIES[0], 1 << (4 * shingles).bit_length()))
+    part = 1 << 14
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCIES, np.int64)
+        total = np.zeros(cells, np.int32)
         for batch in batches:
-            every = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.tobytes(), np.uint64) for x in byte_rows(batch.column(0)))])
-            total += np.bincount((every % np.uint64(FREQUENCIES)).astype(np.int64), minlength=FREQUENCIES)
-        parts = total.astype("<i4").reshape(-1, cells)
+            for x in byte_rows(batch.column(0)):
+                np.add.at(total, (np.frombuffer(x.tobytes(), np.uint64) % np.uint64(cells)).astype(np.int64), 1)
+        parts = total.astype("<i4").reshape(-1, part)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in part.column("counts").to_pylist())
-        return pa.table({"part": part.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i4").astype(np.float64) for x in rows.column("counts").to_pylist())
+        steps = np.minimum(np.round(12 * np.log1p(total)), 255).astype(np.uint8)
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([steps.tobytes()], pa.binary())})
 
-    out = np.zeros((FREQUENCIES // cells, cells), np.int32)
-    for row in sets.select("shingles").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # FREQUENCIES cells in all
-        out[row["part"]] = np.frombuffer(row["counts"], "<i4")
+    out = np.zeros((cells // part, part), np.uint8)
+    for row in sets.select("shingles").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").toLocalIterator():  # a byte a cell in all
+        out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
     return out.ravel()
 
 
@@ -329,16 +340,18 @@ def _open_pairs(members: DataFrame, labels: DataFrame | None, sets: DataFrame, n
     few = open_rows.where("small")
     direct = few.select("key", F.col("class").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("class").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b")
     classes = open_rows.where("not small").select("class", "comp").distinct()
-    rows = save(sets.join(classes, "class").select("class", "comp", "shingles"), "open-sets")
-    held = rows.sparkSession.sparkContext.broadcast(_frequencies(rows))
+    rows = save(sets.join(classes, "class").select("class", "comp", "n", "shingles"), "open-sets")
+    held = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, rows.agg(F.sum("n")).first()[0] or 0))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for c, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(2)), strict=True):
+            for c, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(3)), strict=True):
                 x = np.frombuffer(x.tobytes(), np.uint64)
                 n = len(x)
-                x = x[np.lexsort((x, held.value[(x % np.uint64(FREQUENCIES)).astype(np.int64)]))]
+                x = x[np.lexsort((x, often[(x % np.uint64(len(often))).astype(np.int64)]))]
                 first = x[: n - -(-n * num // den) + 1].view(np.int64)
                 out.append((first, np.full(len(first), c), np.full(len(first), comp), np.full(len(first), n), np.arange(len(first))))
             shingle, c, comp, n, place = (np.concatenate(z) for z in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
@@ -364,6 +377,14 @@ def _open_pairs(members: DataFrame, labels: DataFrame | None, sets: DataFrame, n
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the least doc_id that links of similarity num / den or more reach."""
+    return jaccard_groups(docs, id_col, text_col, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """As jaccard_classes, with text_key (xxhash64 of the text) and group_key (of the component; null without shingles or doc_id).
+
+    Rows that repeat a doc_id with different texts have the group_key of their own text each.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plan = Allocation(num, den)
@@ -373,10 +394,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // SLICE_ENTRIES))
     keys = _packed_keys(docs, k, plan, slices)
-    members = save(keys.groupBy("slice").applyInArrow(_shared_keys, "key long, class long, common boolean"), "shared-keys")
-    members = save(_without_common(members), "shared-keys")
+    shared = save(keys.groupBy("slice").applyInArrow(_shared_keys, "key long, class long, common boolean"), "shared-keys")
+    members = save(_without_common(shared), "shared-keys")
     involved = save(members.select("class").distinct().join(classes, "class"), "involved")
     sets = save(_whole_sets(docs, involved, k), "whole-sets")
+    drop_saved(shared, involved)
 
     links, tested, labels = None, None, None
     for how in ("hub", "1", "all"):
@@ -386,17 +408,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = save(pairs, "candidates")
         if pairs.isEmpty():
             continue
-        good = save(_verified(save(_near(pairs, sets, num, den), "near"), sets, num, den), "links")
+        near = save(_near(pairs, sets, num, den), "near")
+        good = save(_verified(near, sets, num, den), "links")
+        drop_saved(near)
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = ordered if tested is None else tested.unionByName(ordered)
         links = good if links is None else links.unionByName(good)
         labels = components(links)
+    drop_saved(members, sets, *([tested] if tested is not None else []))
     if labels is None:
-        placed = classes.withColumn("component_id", F.col("rep"))
+        placed = classes.select("class", F.col("class").alias("group_key"), F.col("rep").alias("component_id"))
     else:
-        known = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("comp"))
-        least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        placed = known.join(least, "comp").select("class", "component_id")
-    placed = placed.select(F.col("class").alias("_c"), "component_id")
+        known = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("group_key"))
+        least = known.groupBy("group_key").agg(F.min("rep").alias("component_id"))
+        placed = known.join(least, "group_key").select("class", "group_key", "component_id")
+    placed = placed.withColumnRenamed("class", "_c")
     alone = base["n_shingles"] == 0
-    return base.join(placed, (base["class"] == placed["_c"]) & base["doc_id"].isNotNull() & ~alone, "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    met = base.join(placed, (base["class"] == placed["_c"]) & base["doc_id"].isNotNull() & ~alone, "left")
+    return met.select("doc_id", "text_key", "n_shingles", "group_key", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

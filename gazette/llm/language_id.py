@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import fit_svm, sigmoid
-from gazette.llm.shared import held_out
+from gazette.llm.shared import held_out, tidy
 
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -151,6 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = held.value.predict(batch.column(at).to_pylist())

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import save
+from gazette.llm.shared import save, tidy
 
 BLOCK = 4096
 CENTRES, WIDTH = 16, 2
@@ -137,6 +137,7 @@ def _packed(rows: DataFrame, blocks: int, name: str, quantiser: AnisotropicQuant
     """One row for each block: its number, ids, vectors, and codes if there is a quantiser."""
     held = rows.sparkSession.sparkContext.broadcast(quantiser)  # a fixed number of centres for each dimension
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), _matrix(b.column(1)).astype("<f4")) for b in batches if b.num_rows]
         if not got:
@@ -192,6 +193,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     asked = asked.select("query_block", F.col("ids").alias("qids"), F.col("vectors").alias("queries")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     held, width = spark.sparkContext.broadcast(quantiser), sizes["d"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qids, q, ids, x, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import sigmoid
-from gazette.llm.shared import sample_labels
+from gazette.llm.shared import sample_labels, tidy
 
 #: Bounds of the bins of each measure.
 SHARES = (0.001, 0.02, 0.06, 0.12, 0.2, 0.35, 0.6)
@@ -161,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
     sample = sample_labels(labels, label, train_rows)
     known = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, owner, size = line_bins(batch.column(0).to_pylist())
@@ -223,6 +224,7 @@ def score_quality(docs: DataFrame, field: LineField, text_col: str = "text", sco
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = LineField(*held.value)
         for batch in batches:

@@ -49,8 +49,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     path = public_tokenizers.path(BYTE_BPE)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.bpe_encode(docs, path, packed=True).drop("text")
-    back = bpe.bpe_decode(coded, path)
+    back = bpe.bpe_encode(docs, path, packed=True, decoded_col="decoded")
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -1,16 +1,19 @@
 """What the operators of this subpackage share: the shared folder, Arrow helpers, word hashing.
 
 Shared folder: intermediate tables go to the folder in ``spark.checkpoint.dir``, which the driver and
-all executors see; a lost executor then costs a re-read, not the table. Where the setting is absent
-(tests, a laptop) a temporary folder of the driver's machine is set once.
+all executors see; a lost executor then costs a re-read, not the table. Where the setting is absent, a
+temporary folder is set once if the master is local (tests, a laptop); on a cluster that is an error.
+The tables of a run are removed by ``drop_saved`` once no result needs them.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SAVED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "root" not in _OWN:
         _OWN["root"] = "file://" + tempfile.mkdtemp(prefix="gazette-shared-")
     return _OWN["root"]
@@ -37,19 +43,69 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there."""
     path = shared_path(df.sparkSession, name)
+    _SAVED.add(path.rsplit("/", 1)[-1])
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of whole texts that go to a Python worker at once.
-BATCH_ROWS = 1_000
+def drop_saved(*tables: DataFrame) -> None:
+    """Remove tables that ``save`` returned; nothing still to be computed may read them."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rsplit("/", 1)[-1] in _SAVED:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name followed by underscores, whichever df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows, and bytes, of whole texts that go to a Python worker at once; a row larger than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, unless the session already asks for smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Keep Arrow batches small in rows and in bytes, unless the session already asks for smaller ones."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks, such as a vocabulary: one thing at a time, as workers serve one operator after another."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release_memory()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine: workers are used again, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: drop what another operator left in the worker first, and give memory back at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("nothing", int)
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -89,20 +145,6 @@ ALNUM_WORDS = np.zeros(256, bool)
 ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x80:] = True
 
 _M = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse for i < n, modulo 2**64; grown by doubling and kept."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            p = _POWERS[k]
-            while len(p) < n:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            _POWERS[k] = p
-    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,12 +164,25 @@ def words(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes from prefix sums, then mixed."""
+    """A 64-bit hash of each word: its bytes are mixed with their places in it, summed, and mixed again.
+
+    A polynomial modulo 2**64 would be cheaper, but strings that collide under every base are known.
+    """
     n = len(low)
-    up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for lo in range(0, n, 1 << 18):  # in pieces that stay in cache
+        hi = min(n, lo + (1 << 18))
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        inside = starts[max(first, 0) : np.searchsorted(starts, hi)]
+        begun = np.zeros(hi - lo, np.int64)
+        begun[0] = lo - starts[first] if first >= 0 else 0
+        begun[1:] = 1
+        late = inside[inside > lo] - lo
+        begun[late] = 1 - np.diff(inside[inside > lo], prepend=starts[first] if first >= 0 else lo)
+        place = np.cumsum(begun).astype(np.uint64)
+        np.cumsum(mix(low[lo:hi].astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)), out=sums[lo + 1 : hi + 1])
+        sums[lo + 1 : hi + 1] += sums[lo]
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -17,9 +17,10 @@ hash; rows with a null doc_id come first. Columns besides id and text are not wr
 
 from __future__ import annotations
 
+import os
+import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import MISSES, pre_tokenizer
+from gazette.llm.bpe import MISSES, byte_level_spec, pre_tokenizer
+from gazette.llm.shared import kept, release_memory, tidy
 
 #: Of the written files: bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -43,6 +45,7 @@ class LibraryEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        byte_level_spec(path)  # the pieces below are the library's own only for such a vocabulary
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.cut = pre_tokenizer()
@@ -69,12 +72,9 @@ class LibraryEncoder:
         return [b"".join(map(get, plain[i])) if i in plain else array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts)]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> LibraryEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many workers as there are cores
-    return LibraryEncoder(path)
+    return kept(("token ids", path), lambda: LibraryEncoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
@@ -98,6 +98,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_co
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(np.full(len(ids), part), pa.int32()), pa.array(at + ends - sizes, pa.int64()), lists], names=["doc_id", "n_tokens", "part", "part_start", "ids"])
                 at += int(sizes.sum())
+        release_memory()
 
     options = {
         "compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.writer.version": "PARQUET_2_0",
@@ -117,8 +118,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def id_digests(tokens: DataFrame, out_col: str = "ids_crc32") -> DataFrame:
     """doc_id, start, n_tokens and the unsigned CRC-32 of each document's ids as little-endian 32-bit integers."""
-    import zlib
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)

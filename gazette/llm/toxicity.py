@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import fit_logistic, sigmoid
-from gazette.llm.shared import sample_labels
+from gazette.llm.shared import sample_labels, tidy
 
 #: Letters of the character model: a-z, the lower-case letters of Latin-1 and OE; then every other letter as one. 0 is a break.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "œ"
@@ -87,6 +87,7 @@ def codes(p: np.ndarray) -> np.ndarray:
 def _count(docs: DataFrame, text_col: str) -> np.ndarray:
     """Counts of character trigrams over all documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(V**3, np.int64)
         for batch in batches:
@@ -270,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
     known = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
     sent = docs.sparkSession.sparkContext.broadcast(logp)
 
+    @tidy
     def associate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value.ravel().tolist()
         seen = np.zeros((2, len(LEVELS) << BITS), np.int64)
@@ -303,6 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
     model = ToxicityModel(logp, cells, np.zeros(FEATURES), 0.0)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value.logp.ravel().tolist()
         for batch in batches:
@@ -327,6 +330,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     schema = T.StructType([*docs.schema.fields, *more])
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         table = model.logp.ravel().tolist()

@@ -6,8 +6,9 @@ rarest word: a document without it cannot hold the window. Only there does a doc
 word's place in the window and the two lengths bound where the window can start, and the item-sized window
 is then compared word by word.
 
-Items are collected in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes over the
-documents, so what is broadcast stays bounded. The documents are never shuffled; a hot passage is found in
+Items are collected in blocks of about BLOCK_BYTES of text. A larger benchmark takes a pass over the documents for
+each block; in between, the rows are written to the shared folder and the block's index is given up, so one block
+at a time is on the driver and in the workers, whatever the benchmark's size. The documents are never shuffled; a hot passage is found in
 each document where it stands, and no pair of documents is ever formed.
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items, and items with a
@@ -20,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.shared import ALNUM_WORDS, byte_rows, tidy, word_hashes, words
+from gazette.llm.shared import ALNUM_WORDS, byte_rows, drop_saved, save, tidy, word_hashes, words
 
 BLOCK_BYTES = 4 << 20
+#: Windows that a text is held against at once.
+CANDIDATES = 1 << 18
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
@@ -74,8 +78,17 @@ class WindowIndex:
         k = np.searchsorted(self.anchors, h[near])
         good = self.anchors[np.minimum(k, len(self.anchors) - 1)] == h[near]
         near, k = near[good], k[good]
-        if not len(near):
-            return []
+        out: list[tuple[int, int, int]] = []
+        upto = np.cumsum(self.many[k])
+        lo = 0
+        while lo < len(near):  # places whose windows are at most CANDIDATES together, or one place
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CANDIDATES, "right")))
+            out += self._verified(near[lo:hi], k[lo:hi], h, low, starts, ends)
+            lo = hi
+        return out
+
+    def _verified(self, near: np.ndarray, k: np.ndarray, h: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """Occurrences of the windows filed under anchors k at the words near."""
         many = self.many[k]
         filed = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
         start = np.repeat(near, many) - self.place[filed]
@@ -131,8 +144,7 @@ def _count_words(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.n
     return counts
 
 
-def _probe(docs: DataFrame, text_col: str, hits_col: str, index: WindowIndex) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def _probe(docs: DataFrame, text_col: str, hits_col: str, held: Broadcast[WindowIndex]) -> DataFrame:
     names = docs.columns
     again = hits_col in names
     at = names.index(text_col)
@@ -171,8 +183,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     out = docs
     for i in range(blocks):
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        index = WindowIndex([(r["item"], r["text"]) for r in block.toLocalIterator()], size)
+        index = WindowIndex([(r["item"], r["text"]) for r in block.toLocalIterator()], size)  # about BLOCK_BYTES
         if len(index.vocabulary):
             index.order_by_rarity(_count_words(docs, text_col, index.vocabulary))
-        out = _probe(out, text_col, hits_col, index)
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        before, out = out, _probe(out, text_col, hits_col, held)
+        if i < blocks - 1:
+            out = save(out, "hits")
+            held.unpersist()
+            if i:
+                drop_saved(before)
     return out

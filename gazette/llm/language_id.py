@@ -4,8 +4,8 @@ A text's features are hashed character trigrams of its letters, as square roots
 length one. Linear support vector machines tell each family from the others; within a family one machine
 for each pair of languages votes, and the language with the largest sum of margins wins.
 
-Fitted on about ``per_language`` documents of each language, chosen by hash of doc_id, so the bound grows
-with the number of languages only.
+Fitted on about ``per_language`` documents of each language, ``most_rows`` together, chosen by hash of doc_id. Features are
+made where the documents are; the driver gets DIMS small numbers at most for each of these rows, never a text.
 
 Defined results: ``und`` with score 0.0 for a null text or one without a letter; rows with a null lang are
 not learned from; with one language that language; without any, ``und``. Whole texts are read.
@@ -113,15 +113,27 @@ class LanguageModel:
         return lang.tolist(), score
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1_000) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1_000, most_rows: int = 16_000) -> LanguageModel:
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return LanguageModel()
-    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < below * 1_000_003).select("text", "lang").toPandas()
-    x, some = features(rows["text"].tolist())
-    x, lang = x[some], rows["lang"].to_numpy(object)[some]
+    each = min(per_language, max(1, most_rows // len(counts)))
+    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])[F.col("lang")]
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < below * 1_000_003).select("text", "lang")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, some = features(batch.column(0).to_pylist())
+            at = [np.flatnonzero(row) for row in x[some]]
+            values = [row[i].astype("<f4").tobytes() for row, i in zip(x[some], at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(some, pa.bool_())), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array(values, pa.binary())], names=["lang", "at", "value"])
+
+    got = rows.mapInArrow(run, "lang string, at binary, value binary").toPandas()  # most_rows rows
+    x, lang = np.zeros((len(got), DIMS), np.float32), got["lang"].to_numpy(object)
+    for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
+        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
     model = LanguageModel()
     for one in sorted(set(lang)):
         model.members.setdefault(family(one), []).append(one)

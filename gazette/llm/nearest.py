@@ -5,17 +5,18 @@ loss: of the error x - c, the part parallel to x, which shifts large inner produ
 much as the part across it. The parallel parts of all sub-vectors add up, so codes are chosen by coordinate
 descent over them and centres by weighted least squares.
 
-Search. All rows are coded and packed into blocks of about BLOCK rows, all queries likewise; each block of
-queries meets each block of rows once (keys are pairs of block numbers, so the work is dealt evenly). For a
-query, tables of two codes each give an approximate score to every row of the block; the best ``rerank`` of
-them are scored on the original vectors in double precision and the best k leave the task. Only those meet
-in the window that ranks them.
+Search. Codes (half a byte a part) and ids are kept apart from the vectors, so that scans read little. Queries go
+out in groups of GROUP_BYTES at most. For a query, tables of two codes each give every row an approximate score.
+A first scan of a share of the rows, one in SHARE or SAMPLE rows if more, sets each query's bar: the score that
+about twice as many rows pass as are wanted. The scan of all rows sends what passes; the best ``rerank`` of each query, over all
+rows together, meet their vectors in a join by id and are scored in double precision; the best k of them are ranked.
 
 The quantiser is fitted on at most ``train_rows`` vectors, those with the least hash of id; every row is coded.
+``rerank`` grows with the fifth root of the rows if it is not given, as more rows crowd about the k-th.
 
-Defined results: vectors that are null or zero, that hold null or non-finite components, or whose length is
-not the most common one (the larger, if tied) take no part; so do rows with a null id. Equal rows count once;
-an id that repeats with different vectors is several candidates, and as a query asks with each. A query never
+Defined results: vectors that are null or zero or that hold null or non-finite components take no part; so do
+rows with a null id. Vectors of different lengths have no inner product: each length is searched by itself. Equal
+rows count once; an id that repeats with different vectors is several candidates, and as a query asks with each. A query never
 meets rows of its own id. Ties go to the smaller id; with fewer candidates than k all of them are returned.
 """
 
@@ -26,13 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.shared import save, tidy
 
-BLOCK = 4096
+#: Rows that are scanned at once, bytes of vectors of a group of queries, and the rows that set the bar: one in SHARE, SAMPLE at least.
+BLOCK, GROUP_BYTES, SHARE, SAMPLE = 16_384, 32 << 20, 64, 8_192
 CENTRES, WIDTH = 16, 2
 
 
@@ -56,9 +57,9 @@ class AnisotropicQuantiser:
         return (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8)
 
     def tables(self, query: np.ndarray) -> np.ndarray:
-        """For each byte of a packed code its share of the inner product with the query, 256 entries a byte."""
+        """For each byte of a packed code its share of the inner product with the query: a row of 256 entries a byte."""
         one = np.einsum("mkw,mw->mk", self.centres, _parts(self.padded(query[None].astype(np.float64)))[:, 0])
-        return (one[::2, :, None] + one[1::2, None, :]).reshape(-1).astype(np.float32)
+        return (one[::2, :, None] + one[1::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -133,75 +134,130 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _packed(rows: DataFrame, blocks: int, name: str, quantiser: AnisotropicQuantiser | None) -> DataFrame:
-    """One row for each block: its number, ids, vectors, and codes if there is a quantiser."""
+def _codes(rows: DataFrame, quantiser: AnisotropicQuantiser) -> DataFrame:
+    """Blocks of BLOCK rows at most: their ids, hashes of their vectors, and codes, a row of bytes for each two parts."""
     held = rows.sparkSession.sparkContext.broadcast(quantiser)  # a fixed number of centres for each dimension
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), _matrix(b.column(1)).astype("<f4")) for b in batches if b.num_rows]
-        if not got:
-            return
-        ids, x = (np.concatenate(z) for z in zip(*got, strict=True))
-        q = held.value
-        codes = q.pack(q.codes(x)).tobytes() if q else b""
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([codes], pa.binary())], names=[name, "ids", "vectors", "codes"])
-
-    return rows.repartition(blocks).mapInArrow(run, f"{name} int, ids binary, vectors binary, codes binary")
-
-
-def search_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray, np.ndarray], quantiser: AnisotropicQuantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best among the rows that the tables rank best."""
-    (qid, q), (ids, x, codes) = queries, rows
-    at = codes.T.astype(np.int64) + 256 * np.arange(codes.shape[1])[:, None]
-    exact, depth = x.astype(np.float64), max(rerank, k) + 1  # one more, as the query itself may be among them
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for one, vector in zip(qid, q, strict=True):
-        if len(ids) > depth:
-            rough = np.take(quantiser.tables(vector), at).sum(0)
-            some = np.argpartition(-rough, depth)[:depth]
-        else:
-            some = np.arange(len(ids))
-        some = some[ids[some] != one]
-        score = exact[some] @ vector.astype(np.float64)
-        best = np.lexsort((ids[some], -score))[:k]
-        out.append((np.full(len(best), one), ids[some][best], score[best]))
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = 8_192, rerank: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k rows of largest inner product found for each row where is_query holds."""
-    spark = vectors.sparkSession
-    v = F.col("v")
-    sound = F.aggregate(v, F.lit(True), lambda a, x: a & F.coalesce((x == x) & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(sound)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows = save(rows.where(F.size("v") == sizes["d"]).dropDuplicates(["id", "v"]), "vectors")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    if not n_queries:
-        return spark.createDataFrame([], schema)
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(train_rows).toPandas()  # bounded by train_rows
-    quantiser = fit_quantiser(np.stack(sample["v"].tolist()).astype(np.float64))
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def block() -> pa.RecordBatch:
+            ids, marks, codes = (np.concatenate(z) for z in zip(*waiting, strict=True))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, marks, np.ascontiguousarray(codes.T))], names=["ids", "marks", "codes"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK // 8):
+                part = batch.slice(lo, BLOCK // 8)
+                waiting.append((part.column(0).to_numpy().astype("<i8"), part.column(1).to_numpy().astype("<i8"), held.value.pack(held.value.codes(_matrix(part.column(2))))))
+                if sum(len(x[0]) for x in waiting) > BLOCK - BLOCK // 8:
+                    yield block()
+        if waiting:
+            yield block()
+
+    return rows.select("id", "mark", "v").mapInArrow(run, "ids binary, marks binary, codes binary")
 
-    blocks, query_blocks = -(-n // BLOCK), -(-n_queries // BLOCK)
-    mine = save(_packed(rows.select("id", "v"), blocks, "row_block", quantiser), "row-blocks")
-    asked = save(_packed(rows.where("asks").select("id", "v"), query_blocks, "query_block", None), "query-blocks")
-    mine = mine.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.select("query_block", F.col("ids").alias("qids"), F.col("vectors").alias("queries")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held, width = spark.sparkContext.broadcast(quantiser), sizes["d"]
+
+def scan(queries: np.ndarray, codes: np.ndarray, quantiser: AnisotropicQuantiser) -> Iterator[np.ndarray]:
+    """Approximate scores of all coded rows for each query; codes has a row for each byte of a code."""
+    for vector in queries:
+        tables = quantiser.tables(vector)
+        rough = tables[0].take(codes[0])
+        for j in range(1, len(codes)):
+            rough += tables[j].take(codes[j])
+        yield rough
+
+
+def _scanned(blocks: DataFrame, held, bars: np.ndarray | None, most: int | None) -> DataFrame:
+    """query (its place in the group), id, mark and rough score of the rows that pass a query's bar, or the ``most`` best of each block."""
+    sent = blocks.sparkSession.sparkContext.broadcast(bars)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, qids, queries = held.value
+        bars = sent.value
         for batch in batches:
-            for qids, q, ids, x, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                found = search_block((qids, np.frombuffer(q, "<f4").reshape(-1, width)), (ids, np.frombuffer(x, "<f4").reshape(-1, width), np.frombuffer(codes, np.uint8).reshape(len(ids), -1)), held.value, k, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in found], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    met = asked.join(mine, ["query_block", "row_block"]).select("qids", "queries", "ids", "vectors", "codes")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+            for ids, marks, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, marks = np.frombuffer(ids, "<i8"), np.frombuffer(marks, "<i8")
+                out: list[tuple[np.ndarray, ...]] = []
+                for i, rough in enumerate(scan(queries, np.frombuffer(codes, np.uint8).reshape(-1, len(ids)), quantiser)):
+                    if bars is not None:
+                        some = np.flatnonzero(rough >= bars[i])
+                    else:
+                        some = np.argpartition(-rough, most)[:most] if len(rough) > most else np.arange(len(rough))
+                    some = some[ids[some] != qids[i]]
+                    out.append((np.full(len(some), i, np.int32), ids[some], marks[some], rough[some]))
+                    if i % 1024 == 1023 or i == len(queries) - 1:
+                        got = [np.concatenate(z) for z in zip(*out, strict=True)]
+                        out.clear()
+                        yield pa.RecordBatch.from_arrays([pa.array(z) for z in got], names=["query", "id", "mark", "rough"])
+
+    return blocks.mapInArrow(run, "query int, id long, mark long, rough float")
+
+
+def _search(rows: DataFrame, k: int, train_rows: int, rerank: int | None) -> DataFrame | None:
+    """query_id, vec_id, score of the k best of each query that were found; all vectors of rows have one length."""
+    spark = rows.sparkSession
+    n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
+    if not n_queries:
+        return None
+    depth = rerank or max(10 * k, int(64 * n**0.2))
+    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(train_rows).toPandas()  # bounded by train_rows
+    quantiser = fit_quantiser(np.stack(sample["v"].tolist()).astype(np.float64))
+    blocks = save(_codes(rows, quantiser), "codes")
+    share = min(1.0, max(SAMPLE / n, 1 / SHARE))
+    below = int(share * 1_000_000)
+    few = blocks if share == 1.0 else save(_codes(rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < below), quantiser), "codes")
+    bar_at = int(2 * depth * share + 10)
+    groups = -(-n_queries * width * 8 // GROUP_BYTES)
+    asked = rows.where("asks").select("id", "v", F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(groups)).alias("part"))
+    found = []
+    for g in range(groups):
+        mine = asked.where(F.col("part") == g).select("id", "v").toPandas()  # about GROUP_BYTES
+        if not len(mine):
+            continue
+        qids, queries = mine["id"].to_numpy(np.int64), np.stack(mine["v"].tolist()).astype(np.float64)
+        held = spark.sparkContext.broadcast((quantiser, qids, queries))
+        bars = np.full(len(qids), -np.inf, np.float32)
+        if n > 4 * depth:
+            first = _scanned(few, held, None, bar_at).withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"))))
+            got = first.where(F.col("at") == bar_at).select("query", "rough").toPandas()  # one row a query
+            bars[got["query"].to_numpy()] = got["rough"].to_numpy()
+        passed = _scanned(blocks, held, bars, None)
+        best = passed.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"), "id"))).where(F.col("at") <= depth)
+        met = best.join(rows.select(F.col("id").alias("vec_id"), F.col("mark").alias("vec_mark"), "v"), (F.col("id") == F.col("vec_id")) & (F.col("mark") == F.col("vec_mark")))
+
+        @tidy
+        def exact(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            _, qids, queries = held.value
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                score = np.einsum("nd,nd->n", queries[at], _matrix(batch.column(2)).astype(np.float64)) if len(at) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        found.append(met.select("query", "vec_id", "v").mapInArrow(exact, "query_id long, vec_id long, score double"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = 8_192, rerank: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k rows of largest inner product found for each row where is_query holds."""
+    spark = vectors.sparkSession
+    v = F.col("v")
+    kind = vectors.schema[vector_col].dataType.elementType
+    kind = kind.simpleString() if kind.simpleString() in ("float", "double") else "double"
+    sound = F.aggregate(v, F.lit(True), lambda a, x: a & F.coalesce((x == x) & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(sound)
+    rows = save(rows.groupBy("id", "v").agg(F.max("asks").alias("asks")).withColumn("mark", F.xxhash64("v")), "vectors")
+    lengths = [r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()]  # one row a length
+    found = [x for x in (_search(rows.where(F.size("v") == d), k, train_rows, rerank) for d in sorted(lengths)) if x is not None]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,16 +5,17 @@ n to n+1 shards moves a key only if its last jump lands in the new shard. The li
 needs unsigned 64-bit arithmetic, which Spark's checked bigint lacks, so a key is held as two halves of
 32 bits. Each step raises the bucket by one at least, so n steps settle n shards.
 
-Defined results: a null key is treated as key 0; equal keys share a shard; an empty table gives an empty
-table. Slots number the rows of a shard from 0 without gaps in key order (ties by the further columns).
+Defined results: a null key is treated as key 0; equal keys, and so repeated rows, share a shard; an empty table
+gives an empty table. Slots number the rows of a shard from 0 without gaps in key order (ties by the further
+columns). A column to be added that exists already is refused; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import save
+from gazette.llm.shared import free_name, save
 
 #: Multiplier of the generator, in halves.
 _MULTIPLIER = 2862933555777941757
@@ -61,6 +62,8 @@ def jump_hash(key: Column, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, key_col: str, shards: int, shard_col: str = "shard") -> DataFrame:
     """Add shard_col; one narrow projection, no shuffle."""
+    if shard_col in df.columns:
+        raise ValueError(f"column {shard_col} exists already; name another")
     return df.withColumn(shard_col, jump_hash(F.col(key_col), shards))
 
 
@@ -71,13 +74,14 @@ def number_slots(df: DataFrame, shard_col: str, order: list[str], slot_col: str
     written once and a row's slot is its place in its partition plus the rows of the shard before it. Only
     one count for each partition and shard meets in a window.
     """
-    from pyspark.sql import Window
-
+    if slot_col in df.columns:
+        raise ValueError(f"column {slot_col} exists already; name another")
+    at, part = free_name(df, "_at"), free_name(df, "_part")
     n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(n, shard_col, *order).sortWithinPartitions(shard_col, *order)
-    dealt = save(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "slots")
-    counts = dealt.groupBy("_part", shard_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(shard_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.col(shard_col).alias("_s"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = dealt.join(F.broadcast(offsets), (dealt["_part"] == offsets["_part"]) & dealt[shard_col].eqNullSafe(offsets["_s"]))
-    return joined.select(*[dealt[c] for c in df.columns], (dealt["_at"] + offsets["_shift"]).alias(slot_col))
+    dealt = save(dealt.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "slots")
+    counts = dealt.groupBy(F.col(part).alias("p"), F.col(shard_col).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
+    before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("p", "s", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    joined = dealt.join(F.broadcast(offsets), (dealt[part] == offsets["p"]) & dealt[shard_col].eqNullSafe(offsets["s"]))
+    return joined.select(*[dealt[c] for c in df.columns], (dealt[at] + offsets["shift"]).alias(slot_col))

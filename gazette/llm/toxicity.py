@@ -1,7 +1,7 @@
 """Toxicity with noisy-channel deobfuscation (operator 3).
 
 A character trigram model is counted over all documents. A span that looks disguised (digits or signs within
-a word, single letters set apart, a letter three times or more) becomes a lattice: each place offers the
+a word or behind it, single letters set apart, a letter three times or more, all letters doubled) becomes a lattice: each place offers the
 letters that it may stand for, one or two letters for a run, nothing or a word break for a separator. The
 Viterbi path under channel costs and the character model is the restored span. The restored text is scored
 by a logistic model on hashed character grams: five-grams and the first 6 to 8 letters of words. Each gram
@@ -11,7 +11,7 @@ What is broadcast has a fixed size: the character model (V**3 floats) and the fe
 classifier is fitted on at most ``train_rows`` labelled rows, those with the least hash of doc_id.
 
 Defined results: null and empty texts have no features and the score of the bias. Labels that are null are
-not learned from; a document labelled twice counts as toxic if one label says so. Without a labelled row of
+not learned from; words of digits alone, and words cut in chunks, are not read; a document labelled twice counts as toxic if one label says so. Without a labelled row of
 each class the score is the share of toxic rows (0.0 without labels). Texts are read whole.
 """
 
@@ -48,12 +48,20 @@ LEAST_ROWS = 3
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _L = "a-zß-öø-ÿœ"
-#: Single letters set apart, a sign before or between letters, or a letter three times. A word is tried from its start only.
+#: Signs that do not end sentences, and what may stand between letters set apart.
+_HARD, GAPS = "0-9@$€£", " ._-/*~|+=^\\"
+_GAP = re.escape(GAPS)
+#: Letters set apart, a sign before, between or (if it ends no sentence) behind letters, a letter three times, or a word
+#: of letters all doubled. A word is tried from its start only. What has no letter at all stays as it is.
 SPAN = re.compile(
-    rf"(?<![\w{_SIGN}])[{_L}{_SIGN}](?:[ ._\-]{{1,2}}[{_L}{_SIGN}](?![\w{_SIGN}])){{2,}}"
+    rf"(?<![\w{_SIGN}])[{_L}{_SIGN}](?:[{_GAP}]{{1,3}}[{_L}{_SIGN}](?![\w{_SIGN}])|(?<=[{_L}])[*|+]{{1,3}}[{_L}](?![{_L}0-9])){{2,}}"
     rf"|(?<![{_L}{_SIGN}])[{_L}]*+(?:[{_SIGN}]++[{_L}]++)++[{_SIGN}]{{0,4}}"
+    rf"|(?<![{_L}{_SIGN}])[{_L}]{{2,}}+[{_HARD}]{{1,4}}(?!\w)"
     rf"|(?<![{_L}])(?=[{_L}]*?([{_L}])\1\1)[{_L}]++"
+    rf"|(?<![{_L}])(?:([{_L}])\2){{3,}}(?![{_L}])"
 )
+_LETTER = re.compile(f"[{_L}]")
+_APART = re.compile(rf"[{_L}{_SIGN}](?:[{_GAP}]{{1,3}}[{_L}{_SIGN}]){{2,}}")
 
 
 def _code_table() -> np.ndarray:
@@ -69,6 +77,8 @@ def _code_table() -> np.ndarray:
 _TABLE = _code_table()
 _SIGN_POINTS = np.zeros(0x250, bool)
 _SIGN_POINTS[[ord(x) for x in SIGNS if ord(x) < 0x250]] = True
+_HARD_POINTS = np.zeros(0x250, bool)
+_HARD_POINTS[[ord(x) for x in "0123456789@$£"]] = True
 
 
 def points(text: str) -> np.ndarray:
@@ -116,20 +126,21 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """What each place of a lower-cased span offers, with channel costs."""
     places: list[list[tuple[str, float]]] = []
-    apart = bool(re.match(rf"[{_L}{_SIGN}][ ._\-]", span))
+    apart = bool(_APART.fullmatch(span))
     tail = len(span.rstrip("".join(SIGNS)))
     i = 0
     while i < len(span):
         x, j = span[i], i + 1
-        if x in SIGNS:
-            places.append([(y, MASK if x in MASKS else SIGN) for y in SIGNS[x]] + ([("", TRAIL)] if x in "!*#%|+" and i >= tail else []))
+        if x in GAPS and (apart or x not in SIGNS) and 0 < i < tail:
+            while j < len(span) and span[j] in GAPS:
+                j += 1
+            wide = j - i > 1 and not span[i:j].strip(" ")
+            offers = [("", BREAK if wide else 0.0), (" ", 0.0 if wide else BREAK)] if apart else [(" ", 0.0)]
+            places.append(offers + ([(y, MASK) for y in SIGNS[x]] if x in MASKS and j - i == 1 else []))
             i = j
             continue
-        if x in " ._-":
-            while j < len(span) and span[j] in " ._-":
-                j += 1
-            wide = j - i > 1
-            places.append([("", BREAK if wide else 0.0), (" ", 0.0 if wide else BREAK)] if apart else [(" ", 0.0)])
+        if x in SIGNS:
+            places.append([(y, MASK if x in MASKS else SIGN) for y in SIGNS[x]] + ([("", TRAIL)] if i >= tail else []))
             i = j
             continue
         while j < len(span) and span[j] == x:
@@ -167,7 +178,7 @@ def decode(span: str, logp: list[float]) -> str:
 
 def restore(text: str, logp: list[float]) -> str:
     """The lower-cased text with its disguised spans read out."""
-    return SPAN.sub(lambda m: decode(m[0], logp), text)
+    return SPAN.sub(lambda m: decode(m[0], logp) if _LETTER.search(m[0]) else m[0], text)
 
 
 def _disguised(p: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -176,13 +187,18 @@ def _disguised(p: np.ndarray, c: np.ndarray) -> np.ndarray:
     sign = _SIGN_POINTS[np.where(p < 0x250, p, 0)] | (p == 0x20AC)
     hit = np.zeros(len(p), bool)
     hit[1:] |= sign[:-1] & letter[1:]
+    hit[1:] |= letter[:-1] & (_HARD_POINTS[np.where(p < 0x250, p, 0)] | (p == 0x20AC))[1:]
     hit[2:] |= letter[2:] & (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])
+    double = np.zeros(len(p), bool)
+    double[1:] = letter[1:] & (c[1:] == c[:-1])
+    hit[4:] |= double[4:] & double[2:-2] & double[:-4]
     some = letter | sign
     alone = some.copy()
     alone[1:] &= ~some[:-1]
     alone[:-1] &= ~some[1:]
     near = alone.copy()
-    near[2:] &= alone[:-2] | (np.concatenate([[False], alone[:-3]]) if len(p) > 2 else False)
+    for gap in (2, 3, 4):
+        near[gap:] |= alone[:-gap]
     hit |= near
     return hit
 
@@ -320,8 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity", restored_col: str | None = None) -> DataFrame:
-    """Add score_col, and restored_col if named: the lower-cased text with disguised spans read out."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity", restored_col: str | None = None, restoring: bool = True) -> DataFrame:
+    """Add score_col, and restored_col if named: the lower-cased text with disguised spans read out; restoring=False scores texts as they are."""
     for c in (score_col, restored_col):
         if c in docs.columns:
             raise ValueError(f"column {c} exists already; name another")
@@ -335,7 +351,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         model = held.value
         table = model.logp.ravel().tolist()
         for batch in batches:
-            texts = restored_batch(batch.column(at).to_pylist(), table)
+            texts = batch.column(at).to_pylist()
+            texts = restored_batch(texts, table) if restoring else [(t or "").lower() for t in texts]
             cols = [*batch.columns, pa.array(model.scores(texts), pa.float64())] + ([pa.array(texts, pa.string())] if restored_col else [])
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 

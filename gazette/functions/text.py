@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and terms that scores depend on.
+# Patterns and terms that scores depend on. BLANK is all that counts as white space, WHITE the same as characters.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 HANGUL = "[가-힣]"
 KEPT = "[0-9A-Za-z가-힣]+"
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
-DATE = r"(?:20[0-9]{2}[./\-년][ \t\n]*[0-9]{1,2}[./\-월][ \t\n]*[0-9]{1,2}|(?:[0-9]{1,2}[./][0-9]{1,2}))"
+DATE = rf"(?:20[0-9]{{2}}[./\-년]{BLANK}*[0-9]{{1,2}}[./\-월]{BLANK}*[0-9]{{1,2}}|(?:[0-9]{{1,2}}[./][0-9]{{1,2}}))"
 PHONE = r"(?:0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}|1[0-9]{2}|117)"
-MONEY = r"[0-9][0-9,]*[ \t\n]*원"
+MONEY = rf"[0-9][0-9,]*{BLANK}*원"
 ACTION = "제출|신청|동의|납부|참여|작성|회신|응답|지참"
 DOMAIN = "가정통신문|안내|학부모|학생"
-SPACE = r"[\x09-\x0D\x20 ]+"
-EDGE = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+SPACE = BLANK + "+"
 NUMBER = "[0-9]{1,3}(?:[,. ][0-9]{3})+|[0-9]+"
 FOREIGN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹๐๑๒๓๔๕๖๗๘๙"
 ASCII_DIGITS = "012345678901234567890123456789"
@@ -25,8 +31,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), EDGE, "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -54,34 +65,55 @@ def kept_text(c: Column | str) -> Column:
 
 def fingerprint(c: Column | str) -> Column:
     """Twenty hex digits of the SHA-1 of the letters and digits; empty where there are none."""
-    kept = kept_text(c)
-    return F.when(kept == "", "").otherwise(F.substring(F.sha1(kept.cast("binary")), 1, 20))
+    return once(kept_text(c), lambda kept: F.when(kept == "", "").otherwise(F.substring(F.sha1(kept.cast("binary")), 1, 20)))
 
 
 def tokens(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(TOKEN), F.lit(0)))
 
 
+def _letters(t: Column, whole: Column, script: str) -> Column:
+    """How many characters of t are of a class: of a small one by translation, else by cutting out the runs of all others."""
+    members = [chr(c) for c in range(0x250) if re.match(script, chr(c))]
+    if members and not re.match(script, "가"):
+        return whole - F.char_length(F.translate(t, "".join(members), ""))
+    return F.char_length(F.regexp_replace(t, f"[^{script[1:-1]}]+", ""))
+
+
+def text_quality(c: Column | str, scripts: dict[str, str], confidence: Column | None = None) -> Column:
+    """For each named class of letters a struct of score and low.
+
+    score, 0 to 100: length, share of the script, dates, phones, money, action and domain terms, less broken
+    characters. low: hardly any text, or a score under 12. The text is read once for each pattern.
+    """
+    bonus = lambda found, points: F.when(found, points).otherwise(0.0)
+    names_one = lambda t, terms: reduce(or_, [t.contains(x) for x in terms.split("|")])
+
+    def measured(t: Column) -> Column:
+        terms = bonus(t.rlike(DATE), 8.0) + bonus(t.rlike(PHONE), 6.0) + bonus(t.rlike(MONEY), 6.0) + bonus(names_one(t, ACTION), 10.0) + bonus(names_one(t, DOMAIN), 10.0)
+        whole = F.char_length(t)
+        broken = whole - F.char_length(F.replace(t, F.lit("\ufffd"), F.lit("")))
+        letters = [_letters(t, whole, script).alias(name) for name, script in scripts.items()]
+        return F.struct(whole.cast("double").alias("n"), terms.alias("terms"), broken.cast("double").alias("broken"), *letters)
+
+    def scored(m: Column, name: str) -> Column:
+        n, safe = m["n"], F.greatest(m["n"], F.lit(1.0))
+        score = F.least(n / 2000.0, F.lit(1.0)) * 30.0 + F.least(m[name].cast("double") / safe / 0.45, F.lit(1.0)) * 25.0 + m["terms"]
+        if confidence is not None:
+            score = score + F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0))) * 10.0
+        score = score - F.least(m["broken"] / safe / 0.03, F.lit(1.0)) * 20.0
+        whole = F.when(n == 0, 0.0).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 2))
+        return once(whole, lambda x: F.struct(x.alias("score"), ((n < 20) | ((m[name] < 10) & (n < 200)) | (x < 12)).alias("low")))
+
+    return once(strip(c), lambda t: once(measured(t), lambda m: F.struct(*[scored(m, name).alias(name) for name in scripts])))
+
+
 def quality_score(c: Column | str, script: str = HANGUL, confidence: Column | None = None) -> Column:
-    """0 to 100: length, share of the script, dates, phones, money, action and domain terms, less broken characters."""
-    t = strip(c)
-    n = F.char_length(t).cast("double")
-    safe = F.greatest(n, F.lit(1.0))
-    share = F.regexp_count(t, F.lit(script)).cast("double") / safe
-    broken = (n - F.char_length(F.replace(t, F.lit("�"), F.lit(""))).cast("double")) / safe
-    bonus = lambda p, points: F.when(t.rlike(p), points).otherwise(0.0)
-    score = F.least(n / 2000.0, F.lit(1.0)) * 30.0 + F.least(share / 0.45, F.lit(1.0)) * 25.0
-    score = score + bonus(DATE, 8.0) + bonus(PHONE, 6.0) + bonus(MONEY, 6.0) + bonus(ACTION, 10.0) + bonus(DOMAIN, 10.0)
-    if confidence is not None:
-        score = score + F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0))) * 10.0
-    score = score - F.least(broken / 0.03, F.lit(1.0)) * 20.0
-    return F.when(n == 0, 0.0).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 2))
+    return text_quality(c, {"q": script}, confidence)["q"]["score"]
 
 
 def is_low_quality(c: Column | str, script: str = HANGUL) -> Column:
-    t = strip(c)
-    n = F.char_length(t)
-    return (n < 20) | ((F.regexp_count(t, F.lit(script)) < 10) & (n < 200)) | (quality_score(c, script) < 12)
+    return text_quality(c, {"q": script})["q"]["low"]
 
 
 def ascii_digits(c: Column | str) -> Column:
@@ -100,21 +132,38 @@ def lines(c: Column | str) -> Column:
     return F.split(col(c), "\n")
 
 
+def _bare(x: Column) -> Column:
+    """A trimmed line under 12 characters that neither starts as a list item nor ends as a sentence."""
+    return (F.char_length(x) < 12) & ~x.rlike(r"^[#\-|*※☎○•□>]") & ~x.rlike(r"[.!?:)）」』\]]$")
+
+
 def fragment_ratio(c: Column | str) -> Column:
-    """Share of lines under 12 characters that neither start as a list item nor end as a sentence."""
-    stripped = F.filter(F.transform(lines(c), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
-    bare = F.filter(stripped, lambda x: (F.char_length(x) < 12) & ~x.rlike(r"^[#\-|*※☎○•□>]") & ~x.rlike(r"[.!?:)）」』\]]$"))
-    return F.when(F.size(stripped) == 0, 0.0).otherwise(F.size(bare).cast("double") / F.size(stripped).cast("double"))
+    """Share of bare lines among those that are not blank."""
+    filled = F.filter(F.transform(lines(c), strip), lambda x: x != "")
+    return once(filled, lambda f: F.when(F.size(f) == 0, 0.0).otherwise(F.size(F.filter(f, _bare)).cast("double") / F.size(f).cast("double")))
 
 
 def quality_gate(c: Column | str, script: str = HANGUL, limit: float = 0.40) -> Column:
-    """Whether the source file is needed, and why: a flattened dump, a nested table, or low quality."""
-    t = col(c)
-    headings, tables = t.rlike(r"(?m)^#{1,6} "), t.rlike(r"(?m)^[ \t]*\|")
-    soup = F.exists(lines(c), lambda x: x.rlike(r"^[ \t]*\|") & ~x.rlike(r"^[ \t]*\|[-\t |:]+\|[ \t]*$") & x.rlike(r"\|[ \t]*:?-{3,}:?[ \t]*\|"))
-    flat, low = ~headings & ~tables & (fragment_ratio(c) > limit), is_low_quality(c, script)
-    reasons = F.array_compact(F.array(F.when(flat, "flattened"), F.when(soup, "nested_table"), F.when(low, "low_quality")))
-    return F.struct((flat | soup | low).alias("needs_file"), reasons.alias("reasons"))
+    """Whether the source file is needed, and why: a flattened dump, a nested table, or low quality; with the signals.
+
+    A heading is a line that begins with #, a table a line of nothing but bars, dashes and colons.
+    """
+    divider = lambda x: x.rlike(r"^\|[-|: \t]+\|$") & x.contains("-")
+    filled = F.filter(F.transform(lines(c), strip), lambda x: x != "")
+
+    def signals(f: Column) -> Column:
+        return F.struct(
+            F.size(F.filter(f, lambda x: x.startswith("#"))).alias("headings"), F.size(F.filter(f, divider)).alias("tables"),
+            round_half_up(F.size(F.filter(f, _bare)).cast("double") / F.greatest(F.size(f), F.lit(1)).cast("double"), 3).alias("fragment_ratio"),
+            F.exists(f, lambda x: x.startswith("|") & ~divider(x) & x.rlike(r"\|[ \t]*:?-{3,}:?[ \t]*\|")).alias("nested_table"), is_low_quality(c, script).alias("low_quality"),
+        )
+
+    def judged(g: Column) -> Column:
+        flat = (g["headings"] == 0) & (g["tables"] == 0) & (g["fragment_ratio"] > limit)
+        reasons = F.array_compact(F.array(F.when(flat, "flattened"), F.when(g["nested_table"], "nested_table"), F.when(g["low_quality"], "low_quality")))
+        return F.struct((flat | g["nested_table"] | g["low_quality"]).alias("needs_file"), reasons.alias("reasons"), *[g[x].alias(x) for x in ("headings", "tables", "fragment_ratio", "nested_table", "low_quality")])
+
+    return once(filled, lambda f: once(signals(f), judged))
 
 
 def degenerate(out: Column | str, source: Column | str) -> Column:

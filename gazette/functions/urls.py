@@ -35,17 +35,32 @@ def variants(c: Column | str) -> Column:
     return F.array_distinct(F.array(*urls))
 
 
-def public_host(c: Column | str) -> Column:
-    """http or https to a host that is not loopback, private or link-local."""
-    host = F.regexp_replace(F.lower(part(c, 2)), r"^[^@]*@|:[0-9]+$", "")
-    local = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.|\[?::1|\[?f[cde])|\.(local|internal)$")
-    return F.lower(part(c, 1)).isin("http", "https") & (host != "") & ~local
+# Addresses that are private, of the machine or the link, shared, for documentation, for many, or reserved.
+_PRIVATE4 = (
+    r"(?:0|10|127)\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(?:22[4-9]|2[3-5][0-9])\."
+)
+_PRIVATE6 = r"::1?$|f[cdf][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:0?db8:|64:ff9b:1:"
 
 
-def file_kind(content: Column | str, name: Column | str) -> Column:
-    """By leading bytes (as text), then by suffix."""
-    head, suffix = F.ltrim(F.lower(F.substring(col(content), 1, 64))), F.lower(F.regexp_extract(col(name), r"\.([A-Za-z0-9]{1,5})(?:[?#]|$)", 1))
+def public_host(c: Column | str) -> Column:
+    """http or https to a host that may be public by its name alone: no address of the kinds above, in IPv6 brackets or not, and no bare number, which resolvers read as an address."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(part(c, 2)), "^[^@]*@", ""), r":[0-9]*$", "")
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    mapped = F.regexp_extract(bare, r"^::(?:ffff:)?([0-9]+\.[0-9.]+)$", 1)
+    four = F.when(mapped != "", mapped).otherwise(bare)
+    numeric = four.rlike(r"^(?:0x[0-9a-f]+|[0-9]+)(?:\.(?:0x[0-9a-f]+|[0-9]+)){0,2}$|^[0-9.]*\b0[0-9]+[0-9.]*$|0x")
+    dotted = four.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    barred = bare.isin("localhost", "metadata.google.internal") | numeric | (dotted & four.rlike(f"^(?:{_PRIVATE4})")) | (host.startswith("[") & (mapped == "") & bare.rlike(f"^(?:{_PRIVATE6})"))
+    return F.lower(part(c, 1)).isin("http", "https") & (host != "") & ~barred
+
+
+def file_kind(content: Column | str, name: Column | str, mime: Column | str) -> Column:
+    """Kind of a file by its first bytes, suffix and declared type; what a zip archive is, by names and types within it. content: binary."""
+    raw, suffix, said = F.hex(col(content)), F.lower(F.regexp_extract(col(name), r"\.([A-Za-z0-9]{1,5})$", 1)), F.lower(F.coalesce(col(mime), F.lit("")))
+    zipped, holds = raw.startswith("504B0304"), lambda text: raw.contains(text.encode().hex().upper())
+    hwpx = zipped & (holds("Contents/section") | holds("hwp+zip") | holds("owpml"))
     return (
-        F.when(head.startswith("%pdf"), "pdf").when(head.startswith("<!doctype html") | head.startswith("<html"), "html").when(head.startswith("pk\x03\x04") & (suffix == "hwpx"), "hwpx")
-        .when(head.startswith("pk\x03\x04"), "xlsx").when(suffix.isin("png", "jpg", "jpeg", "gif", "webp"), "image").when(suffix.isin("pdf", "hwp", "hwpx", "xlsx", "html"), suffix).otherwise("unknown")
+        F.when(raw.startswith(b"%PDF".hex().upper()) | (suffix == "pdf") | said.contains("pdf"), "pdf").when(suffix.isin("png", "jpg", "jpeg", "webp", "bmp", "gif") | said.startswith("image/"), "image")
+        .when((suffix == "hwpx") | hwpx, "hwpx").when((suffix == "hwp") | raw.startswith("D0CF11E0"), "hwp").when(suffix.isin("xlsx", "xlsm") | (zipped & holds("xl/workbook.xml")), "xlsx")
+        .when(said.contains("html") | suffix.isin("html", "htm"), "html").otherwise("unknown")
     )

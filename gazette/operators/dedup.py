@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions.text import fingerprint, tokens
+from gazette.functions.text import BLANK, col, fingerprint, strip, tokens
 
 
 def fingerprint_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, fingerprint, primary: the least id with the same non-empty fingerprint. The group is aggregated, not collected."""
-    marked = df.select(id_col, fingerprint(text_col).alias("fingerprint"))
-    least = marked.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min(id_col).alias("primary"), F.count(F.lit(1)).alias("copies"))
-    return marked.join(least, "fingerprint", "left").select(id_col, "fingerprint", F.coalesce("primary", id_col).alias("primary"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    """id, fingerprint, primary: the least id with the same non-empty fingerprint. The group is aggregated, not collected.
+
+    The empty fingerprint is judged after the join: a filter on it would make the texts be hashed once more.
+    """
+    marked = df.select(F.col(id_col), fingerprint(text_col).alias("fingerprint"))
+    least = marked.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("many"))
+    none = F.col("fingerprint") == ""
+    return marked.join(least, "fingerprint", "left").select(id_col, "fingerprint", F.when(none, F.col(id_col)).otherwise(F.col("least")).alias("primary"), F.when(none, 1).otherwise(F.col("many")).alias("copies"))
 
 
 def overlap(a: Column | str, b: Column | str) -> Column:
@@ -21,13 +25,85 @@ def overlap(a: Column | str, b: Column | str) -> Column:
     return F.struct(F.size(F.array_intersect(x, y)).alias("common"), F.size(F.array_union(x, y)).alias("either"))
 
 
-def near_duplicate(a: Column, b: Column, len_a: Column, len_b: Column) -> Column:
-    """Token sets a and b of texts of 120 characters or more: a Jaccard similarity of 0.9, or the smaller, of 40 tokens or more, contained to 0.85."""
-    common, either, least = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), F.least(F.size(a), F.size(b))
-    similar = (len_a >= 120) & (len_b >= 120) & (common * 10 >= either * 9)
-    return similar | ((least >= 40) & (common * 20 >= least * 17))
+# Critical dates and amounts, and how far one type of source is trusted over another.
+CRITICAL = (
+    r"[0-9]{4}\s*[.\-/년]\s*[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}|[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일|[0-9]{1,2}\s*[./]\s*[0-9]{1,2}",
+    r"[0-9][0-9,]*\s*원",
+)
+MIN_CHARS, MIN_TOKENS = 120, 40
+TYPE_PRIORITY = {"attachment_hwp": 90, "attachment_hwpx": 88, "attachment_pdf": 82, "html_body": 70, "direct_file": 65, "attachment_xlsx": 60, "attachment_image": 50, "inline_image": 45, "attachment": 35}
+
+
+def critical_numbers(text: Column) -> Column:
+    """The digit runs within dates and amounts of money; commas in numbers are left out."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p.replace(r"\s", BLANK)), F.lit(0)) for p in CRITICAL])
+    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.regexp_extract_all(F.replace(x, F.lit(","), F.lit("")), F.lit("[0-9]+"), F.lit(0)))))
+
+
+def profile(text: Column | str, own_fingerprint: Column | None = None) -> Column:
+    """What the comparison of two sources needs of each text, computed once."""
+    text = col(text)
+    numbers = F.array_distinct(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit("[0-9]+"), F.lit(0)))
+    return F.struct(
+        (fingerprint(text) if own_fingerprint is None else own_fingerprint).alias("fingerprint"), tokens(text).alias("tokens"),
+        F.char_length(strip(text)).alias("chars"), critical_numbers(text).alias("critical"), numbers.alias("numbers"),
+    )
+
+
+def is_duplicate(a: Column, b: Column) -> Column:
+    """Whether two profiles are of one content: equal fingerprints; texts of 120 characters or more that are similar to
+    0.9 by tokens; or the smaller set, of 40 tokens or more, held to 0.85 by the larger, unless only it has a critical number."""
+    common, either = F.size(F.array_intersect(a["tokens"], b["tokens"])), F.size(F.array_union(a["tokens"], b["tokens"]))
+    same = (a["fingerprint"] != "") & (a["fingerprint"] == b["fingerprint"])
+    similar = (a["chars"] >= MIN_CHARS) & (b["chars"] >= MIN_CHARS) & (either > 0) & (common * 10 >= either * 9)
+    a_smaller, least = F.size(a["tokens"]) <= F.size(b["tokens"]), F.least(F.size(a["tokens"]), F.size(b["tokens"]))
+    lost = lambda x, y: F.size(F.array_except(x["critical"], y["numbers"])) > 0
+    held = (least >= MIN_TOKENS) & (common * 20 >= least * 17) & ~F.when(a_smaller, lost(a, b)).otherwise(lost(b, a))
+    return F.coalesce(same, F.lit(False)) | similar | held
+
+
+def duplicate_pairs(sources: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """group, a, b: orders of the pairs of a group's sources, a before b, that are duplicates. Groups are the sources of one notice: few."""
+    rows = sources.select(F.col(group).alias("g"), F.col(order).alias("i"), profile(text).alias("p"))
+    left, right = rows.toDF("g", "a", "pa"), rows.toDF("g", "b", "pb")
+    return left.join(right, "g").where(F.col("a") < F.col("b")).where(is_duplicate(F.col("pa"), F.col("pb"))).select(F.col("g").alias(group), "a", "b")
+
+
+def assign_roles(sources: DataFrame, group: str = "notice_id", order: str = "order_index", text: str = "raw_text", kind: str = "source_type", status: str = "status", priority: dict[str, int] | None = None) -> DataFrame:
+    """Add source_role, duplicate_of (an order) and place of each source: greedy groups, their best member, and the order of the bests.
+
+    Each source joins the first group that has a duplicate of it; groups are never merged, which makes this a fold
+    over the sources of a notice in their order. Of each group the best stands for it: among texts of 0.9 of the longest
+    or more a body, else the highest priority, then the longest. Sources of other groups' notices never meet.
+    """
+    ok = col(text).isNotNull() & (strip(text) != "") & col(status).isin("success", "partial_success")
+    ranks = F.coalesce(F.create_map(*[F.lit(x) for kv in (priority or TYPE_PRIORITY).items() for x in kv])[F.col(kind)], F.lit(0))
+    rows = sources.withColumn("_ok", ok)
+    pairs = duplicate_pairs(rows.where("_ok"), group, order, text).groupBy(group).agg(F.collect_set(F.struct("a", "b")).alias("_pairs"))
+    item = F.struct(F.col(order).alias("i"), ranks.alias("rank"), F.char_length(text).alias("n"), (F.col(kind) == "html_body").alias("body"))
+    items = rows.where("_ok").groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("_items")).join(pairs, group, "left")
+    none = F.array().cast("array<array<int>>")
+
+    def place(groups: Column, x: Column) -> Column:
+        linked = lambda g: F.exists("_pairs", lambda p: (p["b"] == x["i"]) & F.array_contains(g, p["a"]))
+        at = F.aggregate(F.sequence(F.lit(0), F.size(groups)), F.lit(-1), lambda found, k: F.when((found < 0) & (k < F.size(groups)) & F.coalesce(linked(F.get(groups, k)), F.lit(False)), k).otherwise(found))
+        added = F.transform(groups, lambda g, k: F.when(k == at, F.concat(g, F.array(x["i"]))).otherwise(g))
+        return F.when(at < 0, F.concat(groups, F.array(F.array(x["i"])))).otherwise(added)
+
+    grouped = items.withColumn("_groups", F.aggregate("_items", none, place))
 
+    def best(g: Column) -> Column:
+        mine = F.filter("_items", lambda x: F.array_contains(g, x["i"]))
+        near = F.filter(mine, lambda x: x["n"] >= F.array_max(F.transform(mine, lambda y: y["n"])) * 0.9)
+        body = F.filter(near, lambda x: x["body"])
+        chosen = F.array_max(F.transform(near, lambda x: F.struct(x["rank"].alias("rank"), x["n"].alias("n"), (-x["i"]).alias("back"))))
+        return F.when(F.size(body) > 0, F.get(body, F.lit(0))["i"]).otherwise(-chosen["back"])
 
-def role(status: Column, text: Column, primary: Column, own: Column) -> Column:
-    """excluded, duplicate or primary."""
-    return F.when((F.trim(text) == "") | text.isNull() | ~status.isin("success", "partial_success"), "excluded").when(primary != own, "duplicate").otherwise("primary")
+    heads = grouped.select(group, "_items", F.transform("_groups", lambda g: F.struct(g.alias("members"), best(g).alias("best"))).alias("_heads"))
+    bests = F.filter("_items", lambda x: F.exists("_heads", lambda h: h["best"] == x["i"]))
+    ranked = F.array_sort(F.transform(bests, lambda x: F.struct((-x["rank"]).alias("r"), (-x["n"]).alias("n"), x["i"].alias("i"))))
+    out = rows.join(heads.withColumn("_ranked", ranked).drop("_items"), group, "left")
+    mine = F.get(F.filter("_heads", lambda h: F.array_contains(h["members"], F.col(order))), F.lit(0))["best"]
+    role = F.when(~F.col("_ok"), "excluded").when(mine == F.col(order), "primary").otherwise("duplicate")
+    at = F.array_position(F.transform("_ranked", lambda x: x["i"]), F.col(order))
+    return out.select(*sources.columns, role.alias("source_role"), F.when(F.col("_ok") & (mine != F.col(order)), mine).alias("duplicate_of"), F.when(F.col("_ok") & (mine == F.col(order)), at).alias("place"))

@@ -58,3 +58,48 @@ def retry_delay(code: Column, attempts: Column) -> Column:
 
 def should_crawl(status: Column, checked_at: Column, now: Column, hours: int = 168, force: bool = False) -> Column:
     return F.lit(force) | (F.coalesce(status, F.lit("")) != "unsupported") | checked_at.isNull() | (checked_at <= now - F.expr(f"interval {hours} hours"))
+
+
+#: States in which a first crawl is tried again.
+TRY_AGAIN = ("pending", "internal_error", "fetch_timeout", "fetch_unavailable", "homepage_missing", "homepage_fetch_failed")
+
+
+def needs_first_crawl(board_url: Column, checked_at: Column, status: Column) -> Column:
+    """No board yet, and never checked or in a state to be tried again."""
+    return (F.coalesce(board_url, F.lit("")) == "") & (checked_at.isNull() | F.coalesce(status, F.lit("pending")).isin(*TRY_AGAIN))
+
+
+def should_probe(status: Column, known_board: Column, board: Column, checked_at: Column, now: Column, days: int = 30) -> Column:
+    """Feeds of unknown state or of another board are probed, good ones not, unsupported ones after some days."""
+    fresh = (F.coalesce(status, F.lit("")) != "") & F.coalesce(known_board == board, F.lit(False))
+    return F.when(~fresh, True).when(status == "ok", False).when(status == "unsupported", F.coalesce(now - F.expr(f"interval {days} days") >= checked_at, F.lit(True))).otherwise(True)
+
+
+def is_stale(status: Column, started_at: Column, now: Column, minutes: int = 180) -> Column:
+    """Still being processed, long after it began."""
+    return F.coalesce((status == "processing") & (started_at < now - F.expr(f"interval {minutes} minutes")), F.lit(False))
+
+
+def reclaimed(jobs: DataFrame, now: Column, minutes: int = 180, max_attempts: int = 3) -> DataFrame:
+    """Stale jobs queued again, at once, while attempts are left; else failed. Other jobs as they are."""
+    stale, again = is_stale(F.col("status"), F.col("started_at"), now, minutes), F.col("attempts") < max_attempts
+    return jobs.withColumns({
+        "status": F.when(stale, F.when(again, "queued").otherwise("failed")).otherwise(F.col("status")),
+        "available_at": F.when(stale & again, now).otherwise(F.col("available_at")), "finished_at": F.when(stale & ~again, now).otherwise(F.col("finished_at")),
+    })
+
+
+def retried(jobs: DataFrame, chosen: Column, now: Column, key: str = "job_key") -> DataFrame:
+    """Chosen failed jobs queued at once without their error, unless a job of their key is queued or being processed; outcome says which."""
+    active = jobs.where(F.col("status").isin("queued", "processing")).select(F.col(key).alias("_active")).distinct()
+    met = jobs.join(active, F.col(key) == F.col("_active"), "left")
+    outcome = F.when(~chosen, None).when(F.col("status") != "failed", "not_failed").when(F.col("_active").isNotNull(), "job_key_already_active").otherwise("queued")
+    done = outcome == "queued"
+    return met.withColumn("outcome", outcome).withColumns({"status": F.when(done, "queued").otherwise(F.col("status")), "available_at": F.when(done, now).otherwise(F.col("available_at")), "last_error": F.when(~F.coalesce(done, F.lit(False)), F.col("last_error"))}).drop("_active")
+
+
+def abandoned(jobs: DataFrame, chosen: Column, now: Column) -> DataFrame:
+    """Chosen jobs that are queued or being processed fail now; outcome says which of the chosen were not."""
+    active = F.col("status").isin("queued", "processing")
+    out = jobs.withColumn("outcome", F.when(~chosen, None).when(active, "failed").otherwise("not_active"))
+    return out.withColumns({"status": F.when(chosen & active, "failed").otherwise(F.col("status")), "finished_at": F.when(chosen & active, now).otherwise(F.col("finished_at"))})

@@ -26,9 +26,18 @@ def round_robin(df: DataFrame, kind: str, order: str, target: int) -> DataFrame:
     return picked.withColumn("position", F.row_number().over(Window.orderBy("turn", kind)))  # target rows
 
 
-def event_winners(df: DataFrame, group: str, start: str, end: str, ordinal: str) -> DataFrame:
-    """Of rows of a group that end on the same day: the earliest start, then one with an end, then the first seen. Rows with a null group all stay."""
-    last = F.coalesce(F.col(end), F.col(start))
-    w = Window.partitionBy(group, last).orderBy(start, F.col(end).isNull(), ordinal)
-    numbered = df.where(F.col(group).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def event_winners(df: DataFrame, group: str, start: str, end: str, ordinal: str, kinds: str | None = None) -> DataFrame:
+    """Of rows of a group that end on the same day: the earliest start, then one with an end, then the first seen. Rows with a null group all stay.
+
+    A row without an end, or with one before its start, ends on its start. The kinds of rows that go are added to
+    those of the row that stays, in the order in which they were seen, unless it has no list of kinds. A group's rows are few: the events of one notice.
+    """
+    last = F.when(F.col(end) >= F.col(start), F.col(end)).otherwise(F.col(start))
+    whole = Window.partitionBy(group, "_last").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy(group, "_last").orderBy(start, F.col(end).isNull(), ordinal)
+    numbered = df.where(F.col(group).isNotNull()).withColumn("_last", last)
+    if kinds:
+        numbered = numbered.withColumn("_kinds", F.flatten(F.collect_list(F.coalesce(F.col(kinds), F.array().cast(df.schema[kinds].dataType))).over(whole)))
+        numbered = numbered.withColumn(kinds, F.when(F.col(kinds).isNotNull(), F.array_distinct(F.concat(kinds, "_kinds"))))
+    numbered = numbered.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*df.columns)
     return numbered.unionByName(df.where(F.col(group).isNull()))

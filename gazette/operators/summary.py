@@ -22,3 +22,13 @@ def run_summary(df: DataFrame, ok: Column, fallback: Column, keys: list[str] | N
     out = out.withColumn("failure", F.col("processed") - F.col("success")).withColumn("success_rate", rate)
     out = out.withColumn("alarm", (F.col("processed") > 0) & (F.col("success_rate") < alarm_below))
     return out.withColumn("outcome", F.when(F.col("processed") == 0, "idle").when(F.col("alarm"), "alarm").otherwise("ok"))
+
+
+#: Weights of the eight axes of a review, the last counting most, and what their sum is divided by.
+AXES, DIVISOR = (1.0, 1.0, 0.8, 0.8, 0.7, 0.8, 0.7, 2.0), 8.8
+
+
+def weighted_mark(marks: list[Column], weights: tuple[float, ...] = AXES, divisor: float = DIVISOR) -> Column:
+    """The weighted mean of marks, rounded to two digits."""
+    total = sum((m * w for m, w in zip(marks[1:], weights[1:], strict=True)), marks[0] * weights[0])
+    return round_half_up(total / divisor, 2)

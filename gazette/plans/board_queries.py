@@ -6,35 +6,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions.text import lines, round_half_up
+from gazette.functions.dates import iso_dates
+from gazette.functions.notices import is_actionable
+from gazette.operators import ingest
+from gazette.operators.summary import AXES, weighted_mark
 from gazette.plans.base import Query, table
 
-#: Weights of the eight axes of a review; the last counts most.
-AXES = (1.0, 1.0, 0.8, 0.8, 0.7, 0.8, 0.7, 2.0)
-
-
 def f2_first_filled(spark: SparkSession, d: str) -> DataFrame:
     """The first of several fields that is not blank."""
     return table(spark, d, "conversations").select("conv_id", "turn", F.char_length(F.coalesce(F.nullif(F.trim("text"), F.lit("")), "role")).cast("long").alias("n"))
 
 
 def f7_needs_first_visit(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without any order, or whose newest is in a state to be tried again."""
-    newest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
-    return table(spark, d, "customer").join(newest, F.col("c_custkey") == F.col("o_custkey"), "left").where("status is null or status in ('P', 'X')").select("c_custkey", "status")
+    """Schools without a board that were never checked, or whose state is one to be tried again."""
+    board, state = F.expr("case when o_orderkey % 4 = 0 then 'https://s.kr' when o_orderkey % 4 = 1 then '' end"), F.expr("case o_orderkey % 9 when 0 then 'pending' when 1 then 'internal_error' when 2 then 'fetch_timeout' when 3 then 'fetch_unavailable' when 4 then 'homepage_missing' when 5 then 'homepage_fetch_failed' when 6 then 'ok' when 7 then 'unsupported' end")
+    return table(spark, d, "orders").select("o_orderkey", ingest.needs_first_crawl(board, F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")), state).alias("due"))
 
 
 def f8_probe_again(spark: SparkSession, d: str) -> DataFrame:
-    """Unknown states are probed, good ones are not, unsupported ones after thirty days."""
-    age = F.datediff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate"))
-    due = F.when(F.col("o_orderstatus") == "O", False).when(F.col("o_orderstatus") == "F", age >= 30).otherwise(True)
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(due).alias("due"), F.count(F.lit(1)).alias("n"))
+    """Feeds' states, one an order, on the day of the last."""
+    state = F.expr("case o_orderkey % 5 when 0 then 'ok' when 1 then 'unsupported' when 2 then 'unknown' when 3 then '' end")
+    board, checked = F.expr("case when o_orderkey % 7 = 0 then 'old' else 'b' end"), F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", ingest.should_probe(state, board, F.lit("b"), checked, F.lit("1998-08-02").cast("timestamp")).alias("due"))
 
 
 def f16_actionable_turns(spark: SparkSession, d: str) -> DataFrame:
-    """A concrete cue keeps a turn; a mere courtesy drops it; else it stays."""
-    low = F.lower("text")
-    keep = F.when(low.rlike("[0-9]|https?://"), True).when(low.rlike("please|thank"), False).otherwise(True)
-    return table(spark, d, "conversations").where("text is not null").groupBy("role").agg(F.count_if(keep).alias("kept"), F.count(F.lit(1)).alias("n"))
+    """A concrete cue keeps a line; a mere courtesy drops it; else it stays unless it is empty."""
+    said = F.expr("case o_orderkey % 5 when 0 then '동의서 제출에 협조' when 1 then '점검에 협조 바랍니다 ' || o_orderkey when 2 then '' when 3 then '확인 ' || o_orderkey else '유의 사항 접수 ' || o_orderkey end")
+    return table(spark, d, "orders").select("o_orderkey", is_actionable(said).alias("kept"))
 
 
 def j14_paired_arms(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +72,7 @@ def a7_first_seen_types(spark: SparkSession, d: str) -> DataFrame:
 def a10_weighted_axes(spark: SparkSession, d: str) -> DataFrame:
     """Weighted mean of eight marks from 0 to 5."""
     marks = [F.pmod(F.floor(F.col("p_size") / (i + 1)), F.lit(6)).cast("double") for i in range(len(AXES))]
-    total = sum((m * w for m, w in zip(marks[1:], AXES[1:], strict=True)), marks[0] * AXES[0])
-    return table(spark, d, "part").select("p_partkey", round_half_up(total / sum(AXES), 2).alias("mark"))
+    return table(spark, d, "part").select("p_partkey", weighted_mark(marks).alias("mark"))
 
 
 def a11_earliest_deadline(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +138,9 @@ def d13_content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c21_iso_dates(spark: SparkSession, d: str) -> DataFrame:
-    """All ISO dates of the texts, by date."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1))))
-    return table(spark, d, "documents").select("doc_id", found.alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("docs"))
+    """ISO dates of the span that each order names, twice the same in some, by date."""
+    said = F.expr("'접수 ' || cast(cast(o_orderdate as date) as string) || ' ~ ' || cast(cast(o_orderdate as date) + cast(o_orderkey % 3 as int) as string) || ' 2024-5-1'")
+    return table(spark, d, "orders").select(F.explode(iso_dates(said)).alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
 def c26_window_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -188,20 +186,20 @@ def c81_source_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.when(n < 20, "empty").otherwise("success").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_AXES_SQL = " + ".join(f"(floor(p_size::double / {i + 1}.0::double)::bigint % 6)::double * {w}::double" for i, w in enumerate(AXES))
+_AXES_SQL = " + ".join(f"(floor(p_size::double / {i}.0::double)::bigint % 6)::double * {w}::double" for i, w in ((1, 1.0), (2, 1.0), (3, 0.8), (4, 0.8), (5, 0.7), (6, 0.8), (7, 0.7), (8, 2.0)))
 _POST = r"nullif(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1), '')"
 
 QUERIES: dict[str, Query] = {
     "f2_first_filled": (f2_first_filled, "select conv_id, turn, length(coalesce(nullif(trim(text, ' '), ''), role)) as n from conversations"),
-    "f7_needs_first_visit": (f7_needs_first_visit, "with n as (select o_custkey, o_orderstatus as status from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) select c_custkey, status from customer left join n on c_custkey = o_custkey where status is null or status in ('P', 'X')"),
-    "f8_probe_again": (f8_probe_again, "select o_orderstatus, count(*) filter (where case o_orderstatus when 'O' then false when 'F' then date_diff('day', o_orderdate::date, date '1998-08-02') >= 30 else true end) as due, count(*) as n from orders group by 1"),
-    "f16_actionable_turns": (f16_actionable_turns, "select role, count(*) filter (where regexp_matches(lower(text), '[0-9]|https?://') or not regexp_matches(lower(text), 'please|thank')) as kept, count(*) as n from conversations where text is not null group by role"),
+    "f7_needs_first_visit": (f7_needs_first_visit, "select o_orderkey, o_orderkey % 4 <> 0 and (o_orderkey % 10 = 0 or o_orderkey % 9 in (0, 1, 2, 3, 4, 5, 8)) as due from orders"),
+    "f8_probe_again": (f8_probe_again, "select o_orderkey, case when o_orderkey % 5 in (3, 4) or o_orderkey % 7 = 0 then true when o_orderkey % 5 = 0 then false when o_orderkey % 5 = 1 then o_orderkey % 11 = 0 or timestamp '1998-08-02 00:00:00' - o_orderdate >= interval 30 day else true end as due from orders"),
+    "f16_actionable_turns": (f16_actionable_turns, "select o_orderkey, o_orderkey % 5 in (0, 3, 4) as kept from orders"),
     "j14_paired_arms": (j14_paired_arms, "with e as (select ts::date as day, event_type, count(*) as n from events group by all) select a.day, a.n as clicks, b.n as errors, a.n - b.n as gap from e a join e b on a.day = b.day where a.event_type = 'click' and b.event_type = 'error'"),
     "j15_cache_fill": (j15_cache_fill, "with c as (select o_orderdate::date as day, count(*) as n from orders where o_orderstatus = 'P' group by 1), f as (select o_orderdate::date as day, count(*) as n from orders group by 1) select day, n, 'cached' as origin from c union all select day, n, 'fetched' from f where day not in (select day from c)"),
     "j17_update_from": (j17_update_from, "select p_partkey, coalesce(q, p_size) as p_size from part left join (select l_partkey, max(l_quantity)::int as q from lineitem group by 1) on p_partkey = l_partkey"),
     "a3_run_summary": (a3_run_summary, "select event_type, count(*) as n, count(*) filter (where value > 100) as large, count(distinct user_id) as users, sum(floor(value)::bigint)::bigint as calls from events group by 1"),
     "a7_first_seen_types": (a7_first_seen_types, "with f as (select user_id, event_type, ts, event_id from events where user_id is not null and event_type is not null qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1) select user_id, string_agg(event_type, ',' order by ts, event_id) as types from f group by 1"),
-    "a10_weighted_axes": (a10_weighted_axes, f"select p_partkey, floor(({_AXES_SQL}) / {sum(AXES)}::double * 100.0::double + 0.5::double) / 100.0::double as mark from part"),
+    "a10_weighted_axes": (a10_weighted_axes, f"select p_partkey, floor(({_AXES_SQL}) / 8.8::double * 100.0::double + 0.5::double) / 100.0::double as mark from part"),
     "a11_earliest_deadline": (a11_earliest_deadline, "select o_orderkey, least((o_orderdate::date + 30)::date, s) as due from orders left join (select l_orderkey, min(l_shipdate::date) as s from lineitem group by 1) on o_orderkey = l_orderkey"),
     "w2_keep_newest_nulls_last": (w2_keep_newest_nulls_last, "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by value desc nulls last, ts desc nulls last, event_id desc nulls last) = 1"),
     "w5_latest_per_user": (w5_latest_per_user, "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"),
@@ -212,7 +210,7 @@ QUERIES: dict[str, Query] = {
     "d6_first_of_source": (d6_first_of_source, "select lang, source, min(doc_id) as doc_id, count(*) as n from documents group by all"),
     "d7_first_of_post": (d7_first_of_post, rf"select case when {_POST} is null then url else lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || ':' || {_POST} end as key, min(page_id) as page_id, count(*) as n from pages group by 1"),
     "d13_content_hash": (d13_content_hash, "select page_id, sha256(html) as sha from pages"),
-    "c21_iso_dates": (c21_iso_dates, "select day, count(*) as docs from (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))) as day from documents) group by day"),
+    "c21_iso_dates": (c21_iso_dates, "select day, count(*) as n from (select cast(o_orderdate::date as varchar) as day from orders union all select cast(o_orderdate::date + (o_orderkey % 3)::int as varchar) from orders where o_orderkey % 3 > 0) group by 1"),
     "c26_window_bounds": (c26_window_bounds, "select o_orderkey, (date_trunc('month', o_orderdate) - interval 2 month)::date as low, (date_trunc('month', o_orderdate) + interval 3 month)::date as high from orders"),
     "c28_compact_dates": (c28_compact_dates, "select o_orderkey, strftime(o_orderdate, '%Y%m%d') as compact, o_orderdate::date as day from orders"),
     "c30_calendar_links": (c30_calendar_links, "select o_orderkey, 'action=TEMPLATE&dates=' || strftime(o_orderdate, '%Y%m%d') || '/' || strftime(o_orderdate + interval 1 day, '%Y%m%d') || '&text=' || replace(url_encode(o_orderpriority), '%20', '+') as link from orders"),

@@ -64,12 +64,28 @@ def f9_t5_claim(spark: SparkSession, d: str) -> DataFrame:
     return ingest.claim(rows, now, 100).select("id", "status", F.col("attempts").cast("long").alias("attempts"))
 
 
-def t6_t7_transitions(spark: SparkSession, d: str) -> DataFrame:
+def t6_transitions(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     jobs = _jobs(spark, d).where("status = 'processing'").withColumn("available_at", F.col("finished_at"))
     return jobs.withColumns(ingest.after_failure(now, F.lit(3))).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("available_at").alias("last_available"))
 
 
+def t7_f10_reclaim(spark: SparkSession, d: str) -> DataFrame:
+    """All jobs; those begun over three hours ago and still processed are taken back."""
+    now = F.lit("2024-01-18 12:00:00").cast("timestamp")
+    jobs = _jobs(spark, d).withColumns({"started_at": F.col("finished_at"), "available_at": F.col("finished_at")})
+    return ingest.reclaimed(jobs, now).select("id", "status", "available_at", "finished_at")
+
+
+def t8_admin(spark: SparkSession, d: str) -> DataFrame:
+    """A retry of one in three jobs, and an abandonment of one in four, each over all jobs."""
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    jobs = _jobs(spark, d).withColumns({"available_at": F.col("finished_at"), "last_error": F.lit("e")})
+    again = ingest.retried(jobs, F.col("id") % 3 == 0, now).select("id", F.col("status").alias("retried"), F.col("outcome").alias("retry_outcome"), "last_error", "available_at")
+    gone = ingest.abandoned(jobs, F.col("id") % 4 == 0, now).select("id", F.col("status").alias("abandoned"), F.col("outcome").alias("abandon_outcome"), "finished_at")
+    return again.join(gone, "id")
+
+
 def c19_retry(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("event_type") == "error", "transient").when(F.col("event_type") == "view", "empty").when(F.col("event_type") == "click", "quota_exhausted").when(F.col("event_type") == "signup", "internal").otherwise("fatal")
     return table(spark, d, "events").select("event_id", ingest.retry_delay(code, F.col("event_id") % 5).cast("long").alias("minutes"))
@@ -108,7 +124,7 @@ def s22_replace_range(spark: SparkSession, d: str) -> DataFrame:
 
 def s23_diff_replace(spark: SparkSession, d: str) -> DataFrame:
     """Latest type of each user before and after the cut, as actions."""
-    old, new = (x.where("user_id % 7 <> {}".format(k)).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind")) for k, x in enumerate(_split(spark, d)))
+    old, new = (x.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind")) for x in _split(spark, d))
     return writes.diff_replace(old, new, ["user_id"], ["kind"])
 
 
@@ -125,13 +141,16 @@ QUERIES: dict[str, Query] = {
     "t3_j8_enqueue": (t3_enqueue, f"select c_custkey as job_key from customer where c_custkey not in (select job_key from ({_JOBS}) where status in ('queued', 'processing'))"),
     "t4_cooldown": (t4_cooldown, f"select c_custkey as job_key from customer where c_custkey not in (select job_key from ({_JOBS}) where status = 'completed' and finished_at > timestamp '2024-01-19 12:00:00')"),
     "f9_k2_t5_claim": (f9_t5_claim, "select event_id as id, 'processing' as status, event_id % 5 + 1 as attempts from events where event_type = 'view' or (event_type = 'error' and event_id % 5 < 3 and ts <= timestamp '2024-01-20 00:00:00') or (event_type = 'click' and ts < timestamp '2024-01-19 21:00:00') order by ts, event_id limit 100"),
-    "t6_t7_transitions": (t6_t7_transitions, f"select case when attempts < 3 then 'queued' else 'failed' end as status, count(*) as n, max(case when attempts < 3 then timestamp '2024-02-01 00:02:00' else finished_at end) as last_available from ({_JOBS}) where status = 'processing' group by 1"),
+    "t6_transitions": (t6_transitions, f"select case when attempts < 3 then 'queued' else 'failed' end as status, count(*) as n, max(case when attempts < 3 then timestamp '2024-02-01 00:02:00' else finished_at end) as last_available from ({_JOBS}) where status = 'processing' group by 1"),
+    "t7_f10_reclaim": (t7_f10_reclaim, "select event_id as id, case when stale and event_id % 5 < 3 then 'queued' when stale then 'failed' else status end as status, case when stale and event_id % 5 < 3 then timestamp '2024-01-18 12:00:00' else ts end as available_at, case when stale and event_id % 5 >= 3 then timestamp '2024-01-18 12:00:00' else ts end as finished_at from (select *, event_type = 'click' and ts < timestamp '2024-01-18 09:00:00' as stale, case event_type when 'view' then 'queued' when 'click' then 'processing' when 'error' then 'failed' else 'completed' end as status from events)"),
+    "t8_admin": (t8_admin, f"""with j as ({_JOBS}), a as (select distinct job_key from j where status in ('queued', 'processing')), r as (select j.*, case when id % 3 <> 0 then null when status <> 'failed' then 'not_failed' when a.job_key is not null then 'job_key_already_active' else 'queued' end as ro, case when id % 4 <> 0 then null when status in ('queued', 'processing') then 'failed' else 'not_active' end as ao from j left join a on j.job_key = a.job_key)
+      select id, case when ro = 'queued' then 'queued' else status end as retried, ro as retry_outcome, case when ro is distinct from 'queued' then 'e' end as last_error, case when ro = 'queued' then timestamp '2024-02-01 00:00:00' else finished_at end as available_at, case when ao = 'failed' then 'failed' else status end as abandoned, ao as abandon_outcome, case when ao = 'failed' then timestamp '2024-02-01 00:00:00' else finished_at end as finished_at from r"""),
     "c19_retry": (c19_retry, "select event_id, case event_type when 'error' then 30 when 'view' then 360 when 'click' then 1440 when 'signup' then case when event_id % 5 < 3 then 360 end end::bigint as minutes from events"),
     "f6_eligible": (f6_eligible, "select user_id, last_type not in ('error', 'view') or checked_at <= timestamp '2024-01-29 00:00:00' as eligible from (select user_id, ts as checked_at, event_type as last_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)"),
     "f11_j7_visible_rows": (f11_visible_rows, "select o_orderstatus, count(*) as n from orders where exists (select 1 from customer where c_custkey = o_custkey and c_nationkey = 3) group by 1"),
     "s20_d11_upsert": (s20_d11_upsert, "select user_id, event_type, arg_max(event_id, ts) as event_id, min(ts) as first_seen from events group by 1, 2"),
     "s21_insert_absent": (s21_insert_absent, f"select user_id, event_type, coalesce(min(event_id) filter (where ts < {_CUT}), min(event_id)) as event_id from events group by 1, 2"),
     "s22_replace_range": (s22_replace_range, "select ts::date as day, count(*) as n from events where ts::date not between date '2024-01-10' and date '2024-01-12' or event_type = 'purchase' group by 1"),
-    "s23_diff_replace": (s23_diff_replace, f"with o as (select user_id, arg_max(event_type, ts) as kind from events where ts < {_CUT} and user_id % 7 <> 0 group by 1), n as (select user_id, arg_max(event_type, ts) as kind from events where ts >= {_CUT} and user_id % 7 <> 1 group by 1) select coalesce(o.user_id, n.user_id) as user_id, n.kind, case when o.user_id is null then 'insert' when n.user_id is null then 'delete' when o.kind = n.kind then 'keep' else 'update' end as action from o full join n on o.user_id = n.user_id"),
+    "s23_diff_replace": (s23_diff_replace, f"with o as (select user_id, arg_max(event_type, ts) as kind from events where ts < {_CUT} group by 1), n as (select user_id, arg_max(event_type, ts) as kind from events where ts >= {_CUT} group by 1) select coalesce(o.user_id, n.user_id) as user_id, n.kind, case when o.user_id is null then 'insert' when n.user_id is null then 'delete' when o.kind = n.kind then 'keep' else 'update' end as action from o full join n on o.user_id = n.user_id"),
     "t10_debounce": (t10_debounce, None),
 }

@@ -133,10 +133,14 @@ def w3_w4_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w6_d10_event_winners(spark: SparkSession, d: str) -> DataFrame:
-    """Order spans that end on the same day of a customer collapse to the earliest."""
-    spans = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(_day("l_shipdate")).alias("start"), F.max(_day("l_shipdate")).alias("end"))
-    rows = table(spark, d, "orders").join(spans, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "start", F.when(F.col("end") > F.col("start"), F.col("end")).alias("end"))
-    return picks.event_winners(rows, "o_custkey", "start", "end", "o_orderkey")
+    """Order spans that end on the same day of a customer collapse to the earliest, with all their kinds; some ends are missing or before the start."""
+    spans = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(_day("l_shipdate")).alias("start"), F.max(_day("l_shipdate")).alias("last"))
+    end = F.when(F.col("o_orderkey") % 5 == 0, F.date_sub("start", 1)).when(F.col("last") > F.col("start"), F.col("last"))
+    kinds = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderstatus") == "F", F.array(F.lit("deadline"))).otherwise(F.array(F.lit("event")))
+    rows = table(spark, d, "orders").join(spans, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "start", end.alias("end"), kinds.alias("kinds"))
+    # one customer in three: ends by month, so that many of its spans meet
+    month = F.when(F.col("o_custkey") % 3 == 0, F.last_day("start")).otherwise(F.col("end"))
+    return picks.event_winners(rows.withColumn("end", month), "o_custkey", "start", "end", "o_orderkey", "kinds").withColumn("kinds", F.array_join("kinds", "+"))
 
 
 def w7_last_of_day(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +267,9 @@ QUERIES: dict[str, Query] = {
     "a14_best_signal": (a14_best_signal, "select * from (select user_id, event_type, sum(round(value * 100)::bigint)::bigint as cents from events group by all) qualify row_number() over (partition by user_id order by cents desc, event_type) = 1"),
     "w1_keep_newest": (w1_keep_newest, "select o_custkey, o_orderstatus, o_orderkey, o_orderdate::date as day from orders qualify row_number() over (partition by o_custkey, o_orderstatus order by o_orderdate::date desc, o_orderkey desc) = 1"),
     "w3_w4_latest": (w3_w4_latest, "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"),
-    "w6_d10_event_winners": (w6_d10_event_winners, f"select o_custkey, o_orderkey, first as start, \"end\" from (select o_custkey, o_orderkey, first, case when last > first then last end as \"end\" from orders join ({_SPANS}) on o_orderkey = l_orderkey) qualify row_number() over (partition by o_custkey, coalesce(\"end\", first) order by first, \"end\" is null, o_orderkey) = 1"),
+    "w6_d10_event_winners": (w6_d10_event_winners, f"""with e as (select o_custkey, o_orderkey, first as start, case when o_custkey % 3 = 0 then last_day(first) when o_orderkey % 5 = 0 then (first - interval 1 day)::date when last > first then last end as "end", case when o_orderkey % 11 = 0 then null when o_orderstatus = 'F' then 'deadline' else 'event' end as kind from orders join ({_SPANS}) on o_orderkey = l_orderkey),
+      k as (select *, case when "end" >= start then "end" else start end as last from e), m as (select o_custkey, last, min(o_orderkey) filter (where kind = 'deadline') as d1, min(o_orderkey) filter (where kind = 'event') as e1 from k group by all)
+      select o_custkey, o_orderkey, start, "end", case when kind is null then null when kind = 'deadline' then case when e1 is null then kind else 'deadline+event' end else case when d1 is null then kind else 'event+deadline' end end as kinds from k join m using (o_custkey, last) qualify row_number() over (partition by o_custkey, last order by start, "end" is null, o_orderkey) = 1"""),
     "w7_last_of_day": (w7_last_of_day, "select user_id, ts::date as day, max(event_id) as event_id from events group by 1, 2"),
     "w8_gaps": (w8_gaps, f"select o_custkey, o_orderkey, date_diff('day', lag(o_orderdate::date) over w, o_orderdate::date) as gap, (sum({_CENTS}) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding))::bigint as running_cents from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"),
     "w9_best_of_group": (w9_best_of_group, f"select o_custkey, o_orderkey, cents from (select *, {_CENTS} as cents, max({_CENTS}) over (partition by o_custkey) as top from orders) where cents * 10 >= top * 9 qualify row_number() over (partition by o_custkey order by o_orderpriority, cents desc, o_orderkey) = 1"),

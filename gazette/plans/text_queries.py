@@ -7,43 +7,56 @@ from pyspark.sql import functions as F
 
 from gazette.functions import checks, text as X, urls
 from gazette.operators import dedup
-from gazette.plans.base import Query, table
+from gazette.plans.base import Query, spread, table
 from gazette.plans.flagship import LATIN, best_document_per_source
 
-_STRIP = r"regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')"
+# Literal values, apart from those of the library, so that a wrong pattern there shows.
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DATE = "(?:20[0-9]{2}[.\\-/년]" + _BLANK + "*[0-9]{1,2}[.\\-/월]" + _BLANK + "*[0-9]{1,2}|(?:[0-9]{1,2}[./][0-9]{1,2}))"
+_MONEY = "[0-9][0-9,]*" + _BLANK + "*원"
+_PHONE = "(?:0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}|1[0-9]{2}|117)"
+_ACTION, _DOMAIN = "제출|신청|동의|납부|참여|작성|회신|응답|지참", "가정통신문|안내|학부모|학생"
+_STRIP = f"regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 
 
 def _score_sql(script: str) -> str:
     return f"""select doc_id, source, lang, t, case when length(t) = 0 then 0.0 else floor(greatest(0.0::double, least(100.0::double,
         least(length(t)::double / 2000.0::double, 1.0::double) * 30.0::double
         + least((length(regexp_replace(t, '[^' || '{script[1:-1]}' || ']', '', 'g'))::double / greatest(length(t)::double, 1.0::double)) / 0.45::double, 1.0::double) * 25.0::double
-        + case when regexp_matches(t, '{X.DATE}') then 8.0::double else 0.0::double end
-        + case when regexp_matches(t, '{X.PHONE}') then 6.0::double else 0.0::double end
-        + case when regexp_matches(t, '{X.MONEY}') then 6.0::double else 0.0::double end
-        + case when regexp_matches(t, '{X.ACTION}') then 10.0::double else 0.0::double end
-        + case when regexp_matches(t, '{X.DOMAIN}') then 10.0::double else 0.0::double end
+        + case when regexp_matches(t, '{_DATE}') then 8.0::double else 0.0::double end
+        + case when regexp_matches(t, '{_PHONE}') then 6.0::double else 0.0::double end
+        + case when regexp_matches(t, '{_MONEY}') then 6.0::double else 0.0::double end
+        + case when regexp_matches(t, '{_ACTION}') then 10.0::double else 0.0::double end
+        + case when regexp_matches(t, '{_DOMAIN}') then 10.0::double else 0.0::double end
         - least((length(t)::double - length(replace(t, '�', ''))::double) / greatest(length(t)::double, 1.0::double) / 0.03::double, 1.0::double) * 20.0::double)) * 100.0::double + 0.5::double)::double / 100.0::double end as score,
       length(regexp_replace(t, '[^' || '{script[1:-1]}' || ']', '', 'g')) as letters
       from (select doc_id, source, lang, {_STRIP} as t from documents where text is not null)"""
 
 
+_SCRIPTS = {"hangul": X.HANGUL, "latin": LATIN}
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").where("text is not null")).select("doc_id", X.text_quality("text", _SCRIPTS).alias("q"))
+
+
 def v1_text_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", X.quality_score("text").alias("hangul_score"), X.quality_score("text", LATIN).alias("latin_score"))
+    return _quality(spark, d).select("doc_id", F.col("q.hangul.score").alias("hangul_score"), F.col("q.latin.score").alias("latin_score"))
 
 
 def v2_low_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", X.is_low_quality("text").alias("low_hangul"), X.is_low_quality("text", LATIN).alias("low_latin"))
+    return _quality(spark, d).select("doc_id", F.col("q.hangul.low").alias("low_hangul"), F.col("q.latin.low").alias("low_latin"))
 
 
 def v3_quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", X.fragment_ratio("text").alias("ratio"), X.quality_gate("text", LATIN).alias("g")).select("doc_id", X.round_half_up(F.col("ratio"), 6).alias("fragment_ratio"), "g.needs_file", F.array_join("g.reasons", ",").alias("reasons"))
+    """A third of the texts as they are, others cut into short lines, with a divider or a heading, or as a nested table."""
+    made = F.expr("case pmod(doc_id, 6) when 0 then replace(text, '. ', '.\n') when 1 then replace(text, ' ', '\n') when 2 then concat(replace(text, ' ', '\n'), '\n|---|:-:|\n') when 3 then concat('#', replace(text, ' ', '\n')) when 4 then concat(text, '\n | a | --- | b |') else text end")
+    docs = spread(table(spark, d, "documents").where("text is not null")).select("doc_id", X.quality_gate(made, LATIN).alias("g"))
+    return docs.select("doc_id", "g.fragment_ratio", "g.needs_file", F.array_join("g.reasons", ",").alias("reasons"), F.col("g.headings").cast("long").alias("headings"), F.col("g.tables").cast("long").alias("tables"))
 
 
 def d1_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.fingerprint_groups(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return dedup.fingerprint_groups(spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")), "doc_id", "text")
 
 
 def d2_token_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +121,12 @@ _PAIRS_SQL = """select s.conv_id, s.turn, asked, said from (select conv_id, turn
 
 
 def v7_output_checks(spark: SparkSession, d: str) -> DataFrame:
-    issues = checks.output_issues("asked", "said")
-    return _pairs(spark, d).where("asked is not null and said is not null").select("conv_id", "turn", F.array_join(issues, ",").alias("issues"), checks.verdict(issues).alias("verdict"))
+    """Answers held against questions, with headings, lists, numbers, repeats and blanks added to some of either."""
+    pairs = _pairs(spark, d).where("asked is not null and said is not null")
+    asked = F.expr("asked || case conv_id % 4 when 0 then '\n# a\n## b\n- x\n1. y\n' when 1 then '\n회비 12,000 2024.5.14 0007' else repeat(' word', 50) end")
+    said = F.expr("case conv_id % 5 when 0 then ' ' when 1 then said || '\n# a\n- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again\n', 3) else said || ' 12 000' end")
+    issues = checks.output_issues(asked, said)
+    return pairs.select("conv_id", "turn", issues.alias("i")).select("conv_id", "turn", F.array_join("i", ",").alias("issues"), checks.verdict(F.col("i")).alias("verdict"))
 
 
 def v24_length_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -145,12 +162,28 @@ def c67_url_variants(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.posexplode(urls.variants("url")).alias("pos", "variant")).select("page_id", F.col("pos").cast("long").alias("pos"), "variant")
 
 
+_FILES = {
+    "head": "case page_id % 9 when 0 then '%PDF-1.7' when 1 then 'PK\x03\x04 xl/workbook.xml' when 2 then 'PK\x03\x04mimetypeapplication/hwp+zip' when 3 then 'PK\x03\x04 other' else html end".replace("\x03\x04", "' || chr(3) || chr(4) || '"),
+    "name": "case page_id % 7 when 0 then 'a.HWP' when 1 then 'b.jpeg' when 2 then 'c.xlsm' when 3 then 'd.htm' else 'e' || page_id end", "mime": "case page_id % 5 when 0 then 'text/html; charset=utf-8' when 1 then 'image/png' when 2 then 'application/x-PDF' end",
+}
+_HOSTS = {
+    "localhost": False, "127.0.0.1": False, "10.1.2.3:80": False, "192.168.0.1": False, "172.16.9.9": False, "172.32.0.1": True, "169.254.169.254": False, "100.64.0.1": False, "100.128.0.1": True, "0.0.0.0": False, "[::1]:8080": False, "[fd00::1]": False,
+    "[fe80::1]": False, "[::ffff:10.0.0.1]": False, "[2606:4700::1111]": True, "2130706433": False, "0x7f.1": False, "8.8.8.8": True, "user@10.0.0.1": False, "user:pw@example.com": True, "224.0.0.1": False, "example.10.com": True, "metadata.google.internal": False, "": False,
+}
+
+
 def s10_file_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").groupBy(urls.file_kind("html", "url").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Heads, names and declared types of files, one of each a page."""
+    rows = table(spark, d, "pages").selectExpr("page_id", *[f"{e} as {n}" for n, e in _FILES.items()])
+    return rows.select("page_id", urls.file_kind(F.col("head").cast("binary"), "name", "mime").alias("kind"))
 
 
 def s17_public_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").groupBy(urls.public_host("url").alias("public")).agg(F.count(F.lit(1)).alias("n"))
+    """The URL of each page with one of a list of hosts in place of its own, and in one of eleven another scheme."""
+    hosts = F.array(*[F.lit(h) for h in _HOSTS])
+    host = F.element_at(hosts, (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    url = F.concat(F.when(F.col("page_id") % 11 == 0, "ftp").otherwise("https"), F.lit("://"), host, F.lit("/a?b"))
+    return table(spark, d, "pages").select("page_id", urls.public_host(url).alias("public"))
 
 
 def c8_page_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -175,20 +208,28 @@ def a13_toxic_share(spark: SparkSession, d: str) -> DataFrame:
 
 _PART = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _DIGITS = f"list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(translate(text, '{X.FOREIGN_DIGITS}', '{X.ASCII_DIGITS}'), '{X.NUMBER}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 4), lambda x: case when regexp_matches(x, '^0+$') then '0' else regexp_replace(x, '^0+', '') end))"
-_FRAG = r"""(with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), lambda x: x <> '') as s from documents where text is not null)
+_FRAG = r"""(with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')), lambda x: x <> '') as s from documents where text is not null)
   select doc_id, case when len(s) = 0 then 0.0::double else len(list_filter(s, lambda x: length(x) < 12 and not regexp_matches(x, '^[#\-|*※☎○•□>]') and not regexp_matches(x, '[.!?:)）」』\]]$')))::double / len(s)::double end as ratio from l)"""
 
+_NUMBERS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(translate({0}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹๐๑๒๓๔๕๖๗๘๙', '012345678901234567890123456789'), '[0-9]{{1,3}}(?:[,. ][0-9]{{3}})+|[0-9]+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 4), lambda x: case when regexp_matches(x, '^0+$') then '0' else regexp_replace(x, '^0+', '') end))"""
+
 QUERIES: dict[str, Query] = {
     "flagship_best_document": (best_document_per_source, f"select source, doc_id, lang, score from ({_score_sql(LATIN)}) where not (length(t) < 20 or (letters < 10 and length(t) < 200) or score < 12) qualify row_number() over (partition by source order by score desc, doc_id) = 1"),
     "v1_text_quality": (v1_text_quality, f"select h.doc_id, h.score as hangul_score, l.score as latin_score from ({_score_sql(X.HANGUL)}) h join ({_score_sql(LATIN)}) l on h.doc_id = l.doc_id"),
     "v2_low_quality": (v2_low_quality, f"select h.doc_id, length(h.t) < 20 or (h.letters < 10 and length(h.t) < 200) or h.score < 12 as low_hangul, length(l.t) < 20 or (l.letters < 10 and length(l.t) < 200) or l.score < 12 as low_latin from ({_score_sql(X.HANGUL)}) h join ({_score_sql(LATIN)}) l on h.doc_id = l.doc_id"),
-    "v3_quality_gate": (v3_quality_gate, rf"""select f.doc_id, floor(ratio * 1000000.0::double + 0.5::double) / 1000000.0::double as fragment_ratio, flat or soup or low as needs_file, array_to_string(list_filter([case when flat then 'flattened' end, case when soup then 'nested_table' end, case when low then 'low_quality' end], lambda x: x is not null), ',') as reasons from (
-      select f.doc_id, ratio, not regexp_matches(text, '(?m)^#{{1,6}} ') and not regexp_matches(text, '(?m)^[ \t]*\|') and ratio > 0.40 as flat, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*\|') and not regexp_matches(x, '^[ \t]*\|[-\t |:]+\|[ \t]*$') and regexp_matches(x, '\|[ \t]*:?-{{3,}}:?[ \t]*\|'))) > 0 as soup,
-      length(t) < 20 or (letters < 10 and length(t) < 200) or score < 12 as low from {_FRAG} f join documents d on f.doc_id = d.doc_id join ({_score_sql(LATIN)}) q on f.doc_id = q.doc_id) f"""),
+    "v3_quality_gate": (v3_quality_gate, rf"""with m as (select doc_id, case doc_id % 6 when 0 then replace(text, '. ', '.' || chr(10)) when 1 then replace(text, ' ', chr(10)) when 2 then replace(text, ' ', chr(10)) || chr(10) || '|---|:-:|' || chr(10) when 3 then '#' || replace(text, ' ', chr(10)) when 4 then text || chr(10) || ' | a | --- | b |' else text end as text from documents where text is not null),
+      l as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x <> '') as s, {_STRIP} as t from m),
+      g as (select doc_id, len(list_filter(s, lambda x: x[1] = '#')) as headings, len(list_filter(s, lambda x: regexp_matches(x, '^\|[-|: \t]+\|$') and contains(x, '-'))) as tables,
+        floor(len(list_filter(s, lambda x: length(x) < 12 and not regexp_matches(x, '^[#\-|*※☎○•□>]') and not regexp_matches(x, '[.!?:)）」』\]]$')))::double / greatest(len(s), 1)::double * 1000.0::double + 0.5::double) / 1000.0::double as ratio,
+        len(list_filter(s, lambda x: x[1] = '|' and not (regexp_matches(x, '^\|[-|: \t]+\|$') and contains(x, '-')) and regexp_matches(x, '\|[ \t]*:?-{{3,}}:?[ \t]*\|'))) > 0 as soup, t from l),
+      q as (select *, length(t) < 20 or (length(regexp_replace(t, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) < 10 and length(t) < 200) or least(length(t)::double / 2000.0::double, 1.0::double) * 30.0::double + least(length(regexp_replace(t, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g'))::double / greatest(length(t)::double, 1.0::double) / 0.45::double, 1.0::double) * 25.0::double
+        + case when regexp_matches(t, '{_DATE}') then 8 else 0 end + case when regexp_matches(t, '{_PHONE}') then 6 else 0 end + case when regexp_matches(t, '{_MONEY}') then 6 else 0 end + case when regexp_matches(t, '{_ACTION}') then 10 else 0 end + case when regexp_matches(t, '{_DOMAIN}') then 10 else 0 end
+        - least((length(t)::double - length(replace(t, '\ufffd', ''))::double) / greatest(length(t)::double, 1.0::double) / 0.03::double, 1.0::double) * 20.0::double < 11.995 as low, headings = 0 and tables = 0 and ratio > 0.4 as flat from g)
+      select doc_id, ratio as fragment_ratio, flat or soup or low as needs_file, array_to_string(list_filter([case when flat then 'flattened' end, case when soup then 'nested_table' end, case when low then 'low_quality' end], lambda x: x is not null), ',') as reasons, headings, tables from q""".replace("\\ufffd", "\ufffd")),
     "d1_fingerprints": (d1_fingerprints, "with f as (select doc_id, case when k = '' then '' else substr(sha1(k), 1, 20) end as fingerprint from (select doc_id, regexp_replace(lower(text), '[^0-9A-Za-z가-힣]+', '', 'g') as k from documents where text is not null)) select doc_id, fingerprint, case when fingerprint = '' then doc_id else min(doc_id) over (partition by fingerprint) end as primary, case when fingerprint = '' then 1 else count(*) over (partition by fingerprint) end as copies from f"),
     "d2_token_sets": (d2_token_sets, f"select doc_id, len(t)::bigint as n_tokens, array_to_string(list_sort(t)[1:5], ' ') as first_tokens from (select doc_id, list_distinct(regexp_extract_all(lower(text), '{X.TOKEN}')) as t from documents where text is not null)"),
     "d9_exact_texts": (d9_exact_texts, "select sha256(text) as sha, min(doc_id) as doc_id, count(*) as copies from documents where length(text) >= 200 group by 1"),
-    "c1_collapse": (c1_collapse, r"select doc_id, sha256(c) as sha, length(c) as n from (select doc_id, trim(regexp_replace(text, '[\x09-\x0D\x20\x{A0}]+', ' ', 'g'), ' ') as c from documents where text is not null)"),
+    "c1_collapse": (c1_collapse, r"select doc_id, sha256(c) as sha, length(c) as n from (select doc_id, trim(regexp_replace(text, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') as c from documents where text is not null)"),
     "c2_clean_lines": (c2_clean_lines, r"select doc_id, len(k) as n_lines, sha256(array_to_string(k, chr(10))) as sha from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> '') as k from documents where text is not null)"),
     "c58_numbers": (c58_numbers, f"select doc_id, array_to_string(list_sort({_DIGITS}), ',') as numbers from documents where text is not null and len({_DIGITS}) > 0"),
     "c63_bucket": (c63_bucket, "select c_custkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(c_name, ''), lambda x: ascii(x)::bigint)), lambda h, x: (h * 31 + x) % 4294967296) as bucket from customer"),
@@ -196,7 +237,15 @@ QUERIES: dict[str, Query] = {
     "c66_corpus_tags": (c66_corpus_tags, "select doc_id, case when length(text) < 600 then 'short' when length(text) < 1600 then 'medium' else 'long' end as length_tag, case when n >= 10 then 'dense' when n >= 3 then 'some' else 'sparse' end as fact_tag from (select doc_id, text, len(regexp_extract_all(text, '[0-9]+')) as n from documents where text is not null)"),
     "c78_titles": (c78_titles, r"select doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[#*\-•> \t]+|[#*\-•> \t\r]+$', '', 'g')), lambda x: x <> '')[1], 1, 120) as title from documents where text is not null"),
     "v4_invented_numbers": (v4_invented_numbers, f"select conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(said, '[0-9]+')), lambda x: not list_contains(regexp_extract_all(asked, '[0-9]+'), x))), ',') as invented from ({_PAIRS_SQL})"),
-    "v7_output_checks": (v7_output_checks, None),
+    "v7_output_checks": (v7_output_checks, rf"""with p as ({_PAIRS_SQL}),
+      t as (select conv_id, turn, asked || case conv_id % 4 when 0 then chr(10) || '# a' || chr(10) || '## b' || chr(10) || '- x' || chr(10) || '1. y' || chr(10) when 1 then chr(10) || '회비 12,000 2024.5.14 0007' else repeat(' word', 50) end as s,
+        case conv_id % 5 when 0 then ' ' when 1 then said || chr(10) || '# a' || chr(10) || '- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again' || chr(10), 3) else said || ' 12 000' end as o from p where asked is not null and said is not null),
+      m as (select *, length(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as n, length(regexp_replace(o, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as m, len(regexp_extract_all(s, '(?m)^[ \t]{{0,3}}#{{1,6}}[ \t]+[^ \t\n]')) as hs, len(regexp_extract_all(o, '(?m)^[ \t]{{0,3}}#{{1,6}}[ \t]+[^ \t\n]')) as ho,
+        len(regexp_extract_all(s, '(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+[^ \t\n]')) as ls, len(regexp_extract_all(o, '(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+[^ \t\n]')) as lo, SIG_S as ns, SIG_O as no,
+        list_filter(list_transform(string_split(o, chr(10)), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: length(x) >= 20) as long from t),
+      i as (select conv_id, turn, case when m = 0 then ['empty_output'] else list_filter([case when regexp_matches(o, '[가-힣]{{2,}}') then 'hangul_leftover' end, case when n >= 200 and m < n * 0.4::double then 'too_short' end, case when hs >= 2 and ho < hs * 0.6::double then 'headings_lost' end,
+        case when ls >= 2 and lo < ls * 0.6::double then 'list_items_lost' end, case when len(list_filter(ns, lambda x: not list_contains(no, x))) > 0 then 'numbers_lost' end, case when len(list_filter(list_distinct(long), lambda x: len(list_filter(long, lambda y: y = x)) >= 3)) > 0 then 'repeated_line' end], lambda x: x is not null) end as i from m)
+      select conv_id, turn, array_to_string(i, ',') as issues, case when list_has_any(i, ['empty_output', 'hangul_leftover', 'too_short', 'numbers_lost']) then 'failed' when len(i) > 0 then 'warned' else 'passed' end as verdict from i""".replace("SIG_S", _NUMBERS.format("s")).replace("SIG_O", _NUMBERS.format("o"))),
     "v24_length_gate": (v24_length_gate, f"select conv_id, turn, length(said) > 3 * length(asked) as too_long, regexp_matches(said, ' {{30,}}') or length(said) > length(asked) * (case when length(asked) > 4000 then 1.6 else 2.6 end) + 400 as degenerate from ({_PAIRS_SQL})"),
     "v22_long_attachments": (v22_long_attachments, "select source, count(*) filter (where length(text) > 20000) as too_long, max(length(text)) as longest from documents group by source"),
     "v25_forbidden_words": (v25_forbidden_words, "select source, count(*) as n from documents where regexp_matches(lower(text), 'license|copyright') group by source"),
@@ -209,9 +258,9 @@ QUERIES: dict[str, Query] = {
       a as (select page_id, ['https://' || h || p, 'https://' || h || '/', 'https://' || o || p, 'https://' || o || '/', 'http://' || h || p, 'http://' || h || '/', 'http://' || o || p, 'http://' || o || '/'] as l from v),
       e as (select page_id, unnest(l) as variant, generate_subscripts(l, 1) as i from a), f as (select page_id, variant, min(i) as i from e group by all)
       select page_id, row_number() over (partition by page_id order by i) - 1 as pos, variant from f"""),
-    "s10_file_kinds": (s10_file_kinds, "select case when starts_with(ltrim(lower(substr(html, 1, 64))), '%pdf') then 'pdf' when starts_with(ltrim(lower(substr(html, 1, 64))), '<!doctype html') or starts_with(ltrim(lower(substr(html, 1, 64))), '<html') then 'html' else 'unknown' end as kind, count(*) as n from pages group by 1"),
-    "s17_public_hosts": (s17_public_hosts, rf"select lower(regexp_extract(url, '{_PART}', 1)) in ('http', 'https') and regexp_extract(url, '{_PART}', 2) <> '' and not regexp_matches(lower(regexp_extract(url, '{_PART}', 2)), '^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.)|\.(local|internal)$') as public, count(*) as n from pages group by 1"),
-    "c8_page_titles": (c8_page_titles, r"select page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\x09-\x0D\x20\x{A0}]+', ' ', 'g'), ' ') as title from pages"),
+    "s10_file_kinds": (s10_file_kinds, "select page_id, case when page_id % 9 = 0 or page_id % 5 = 2 then 'pdf' when page_id % 7 = 1 or page_id % 5 = 1 then 'image' when page_id % 9 = 2 then 'hwpx' when page_id % 7 = 0 then 'hwp' when page_id % 7 = 2 or page_id % 9 = 1 then 'xlsx' when page_id % 5 = 0 or page_id % 7 = 3 then 'html' else 'unknown' end as kind from pages"),
+    "s17_public_hosts": (s17_public_hosts, "select page_id, page_id % 11 <> 0 and page_id % 24 in (5, 8, 14, 17, 19, 21) as public from pages"),
+    "c8_page_titles": (c8_page_titles, r"select page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') as title from pages"),
     "c5_links": (c5_links, rf"""with l as (select distinct lower(regexp_extract(url, '{_PART}', 2)) as host, page_id, unnest(regexp_extract_all(html, '<a href="([^"#]*)"', 1)) as target from pages)
       select host, target, count(*) as pages from l where target <> '' and not regexp_matches(target, '^(javascript|mailto|tel):') group by all"""),
     "c73_richness": (c73_richness, "select page_id, len(regexp_extract_all(html, '<article|<table')) * 500 + least(length(regexp_replace(html, '<[^>]*>', '', 'g')), 5000) as richness from pages"),

@@ -61,6 +61,7 @@ def test_dates(spark):
 def test_output_checks(spark):
     src = "# A\n# B\n- x\n- y\n" + "text " * 60 + "cost 15,000"
     issues = one(spark, checks.output_issues("s", "o"), s=src, o="짧은 글")
-    assert issues == ["hangul_leftover", "too_short", "headings_lost", "items_lost", "numbers_lost"]
+    assert issues == ["hangul_leftover", "too_short", "headings_lost", "list_items_lost", "numbers_lost"]
+    assert one(spark, checks.output_issues("s", "o"), s=src, o=" \n") == ["empty_output"]
     assert one(spark, checks.verdict(checks.output_issues("s", "o")), s="hello", o="hola") == "passed"
     assert one(spark, checks.output_issues("s", "o"), s="a", o="\n".join(["this line is repeated often"] * 3)) == ["repeated_line"]

@@ -66,10 +66,42 @@ def test_summary_of_nothing(spark):
 
 
 def test_near_duplicates(spark):
-    long = " ".join(f"word{i}" for i in range(60))
-    df = spark.createDataFrame([(long, long + " more", True), (long, "other " * 60, False)], "a string, b string, want boolean")
-    got = df.select(dedup.near_duplicate(dedup.tokens("a"), dedup.tokens("b"), F.length("a"), F.length("b")).alias("x"), "want").collect()
-    assert [r["x"] for r in got] == [r["want"] for r in got]
+    words = ["word" + "abcdefghij"[i // 10] + "klmnopqrst"[i % 10] for i in range(60)]
+    long, half = " ".join(words), " ".join(words[:45])
+    rows = [(long, long + " more", True), (long, "other " * 60, False), (half, long + " x" * 9, True), (half + " 마감 12월 31일", long, False), (half + " 4.15", long + " 4월 15일", True), ("a b", "A, B!", True), ("", "", False), ("짧은 글", "다른 글", False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", dedup.profile("a").alias("a"), dedup.profile("b").alias("b"))
+    got = df.select(dedup.is_duplicate(F.col("a"), F.col("b")).alias("x"), dedup.is_duplicate(F.col("b"), F.col("a")).alias("y"), "want").collect()
+    assert [r["x"] for r in got] == [r["want"] for r in got] == [r["y"] for r in got]
+
+
+SOURCES = "notice_id string, order_index int, source_type string, raw_text string, status string"
+
+
+def roles_of(spark, rows):
+    got = dedup.assign_roles(spark.createDataFrame(rows, SOURCES)).orderBy("notice_id", "order_index").collect()
+    return [(r["source_role"], r["duplicate_of"], r["place"]) for r in got]
+
+
+def test_roles_of_sources(spark):
+    same = "가정통신문 동일 내용 " * 30
+    assert roles_of(spark, [("n", 0, "attachment_hwp", same, "success"), ("n", 1, "html_body", same, "success")]) == [("duplicate", 1, None), ("primary", None, 1)]
+    body = " ".join(f"낱말{i}" for i in range(50))
+    assert roles_of(spark, [("n", 0, "html_body", body, "success"), ("n", 1, "attachment_hwp", body + " 덧붙임" * 40, "success"), ("n", 2, "attachment_pdf", "전혀 다른 글", "success"), ("n", 3, "inline_image", "x", "failed"), ("n", 4, "html_body", " ", "success")]) == [
+        ("duplicate", 1, None), ("primary", None, 1), ("primary", None, 2), ("excluded", None, None), ("excluded", None, None)
+    ]
+
+
+def test_groups_are_never_merged(spark):
+    """The third source is a duplicate of the second alone, the fourth of the first and third: it joins the first group."""
+    a, b = [f"가{i}" for i in range(45)], [f"나{i}" for i in range(45)]
+    texts = [" ".join(a), " ".join(b), " ".join(b) + " 끝", " ".join([*a, *b])]
+    assert [r[:2] for r in roles_of(spark, [("n", i, "attachment", t, "success") for i, t in enumerate(texts)])] == [("duplicate", 3), ("duplicate", 2), ("primary", None), ("primary", None)]
+
+
+def test_winners_keep_the_kinds_of_those_that_go(spark):
+    rows = [("n", "2026-10-01", "2026-10-10", ["event"], 1), ("n", "2026-10-10", None, ["deadline"], 2), ("n", "2026-10-05", "2026-10-01", ["event"], 3), ("n", "2026-10-05", None, None, 4), (None, "2026-10-10", None, ["event"], 5), (None, "2026-10-10", None, ["event"], 6)]
+    got = picks.event_winners(spark.createDataFrame(rows, "n string, s string, e string, k array<string>, i int"), "n", "s", "e", "i", "k").orderBy("i").collect()
+    assert [(r["i"], r["k"]) for r in got] == [(1, ["event", "deadline"]), (3, ["event"]), (5, ["event"]), (6, ["event"])]
 
 
 def test_periods(spark):

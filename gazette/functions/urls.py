@@ -64,3 +64,26 @@ def file_kind(content: Column | str, name: Column | str, mime: Column | str) ->
         .when((suffix == "hwpx") | hwpx, "hwpx").when((suffix == "hwp") | raw.startswith("D0CF11E0"), "hwp").when(suffix.isin("xlsx", "xlsm") | (zipped & holds("xl/workbook.xml")), "xlsx")
         .when(said.contains("html") | suffix.isin("html", "htm"), "html").otherwise("unknown")
     )
+
+
+def resolve(base: Column | str, ref: Column | str) -> Column:
+    """A link as a whole URL, read from the page at base; without its fragment."""
+    r = F.regexp_replace(F.trim(col(ref)), "#.*$", "")
+    path = F.regexp_replace(F.when(part(base, 3) == "", "/").otherwise(part(base, 3)), "[^/]*$", "")
+    head = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    query = F.regexp_extract(r, r"\?.*$", 0)
+    steps = F.split(F.concat(F.when(r.startswith("/"), "").otherwise(path), F.regexp_replace(r, r"\?.*$", "")), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    return (
+        F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r).when(r.startswith("//"), F.concat(part(base, 1), F.lit(":"), r)).when(r == "", F.concat(head, part(base, 3), part(base, 4)))
+        .when(r.startswith("?"), F.concat(head, part(base, 3), r)).otherwise(F.concat(head, F.array_join(kept, "/"), ends, query))
+    )
+
+
+def page_links(html: Column | str, url: Column | str) -> Column:
+    """Distinct links of a page to its own host, whole and without fragments; none by script, mail or phone."""
+    refs = F.regexp_extract_all(col(html), F.lit(r"(?i)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    named = F.filter(F.transform(refs, F.trim), lambda r: ~r.rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
+    whole = F.transform(named, lambda r: resolve(url, r))
+    return F.array_distinct(F.filter(whole, lambda u: F.lower(part(u, 2)) == F.lower(part(url, 2))))

@@ -191,9 +191,11 @@ def c8_page_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c5_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of each host: how many pages name each target path."""
-    links = table(spark, d, "pages").select(F.lower(urls.part("url", 2)).alias("host"), "page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"#]*)"'), F.lit(1)))).alias("target"))
-    return links.where("target <> '' and not target rlike '^(javascript|mailto|tel):'").groupBy("host", "target").agg(F.count(F.lit(1)).alias("pages"))
+    """Links of each page to its own host, those of its source and others of every form, by host and target."""
+    more = F.lit("<a class=x href='../up?q=1#top'>a</a> <a href='sub/./page'>b</a> <A HREF=\"?p=2\">c</a> <a href='#x'>d</a> <a href='mailto:a@b'>e</a> <a href='https://other.example/'>f</a>")
+    pages = table(spark, d, "pages").select("url", "page_id", F.concat(F.coalesce("html", F.lit("")), more).alias("html")).where("url is not null")
+    links = pages.select(F.lower(urls.part("url", 2)).alias("host"), F.explode(urls.page_links("html", "url")).alias("target"))
+    return links.groupBy("host", "target").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def c73_richness(spark: SparkSession, d: str) -> DataFrame:
@@ -261,8 +263,10 @@ QUERIES: dict[str, Query] = {
     "s10_file_kinds": (s10_file_kinds, "select page_id, case when page_id % 9 = 0 or page_id % 5 = 2 then 'pdf' when page_id % 7 = 1 or page_id % 5 = 1 then 'image' when page_id % 9 = 2 then 'hwpx' when page_id % 7 = 0 then 'hwp' when page_id % 7 = 2 or page_id % 9 = 1 then 'xlsx' when page_id % 5 = 0 or page_id % 7 = 3 then 'html' else 'unknown' end as kind from pages"),
     "s17_public_hosts": (s17_public_hosts, "select page_id, page_id % 11 <> 0 and page_id % 24 in (5, 8, 14, 17, 19, 21) as public from pages"),
     "c8_page_titles": (c8_page_titles, r"select page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') as title from pages"),
-    "c5_links": (c5_links, rf"""with l as (select distinct lower(regexp_extract(url, '{_PART}', 2)) as host, page_id, unnest(regexp_extract_all(html, '<a href="([^"#]*)"', 1)) as target from pages)
-      select host, target, count(*) as pages from l where target <> '' and not regexp_matches(target, '^(javascript|mailto|tel):') group by all"""),
+    "c5_links": (c5_links, rf"""with u as (select page_id, html, regexp_extract(url, '{_PART}', 1) || '://' || regexp_extract(url, '{_PART}', 2) as head, regexp_extract(url, '{_PART}', 3) as path, lower(regexp_extract(url, '{_PART}', 2)) as host from pages where url is not null),
+      p as (select *, regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') as dir from u),
+      l as (select page_id, host, head || t as target from (select *, unnest(regexp_extract_all(coalesce(html, ''), '<a href="(/[^"#]*)"', 1)) as t from p) union all select page_id, host, head || regexp_replace(dir, '[^/]+/$', '') || 'up?q=1' from p union all select page_id, host, head || dir || 'sub/page' from p union all select page_id, host, head || path || '?p=2' from p)
+      select host, target, count(distinct page_id) as pages from l group by all"""),
     "c73_richness": (c73_richness, "select page_id, len(regexp_extract_all(html, '<article|<table')) * 500 + least(length(regexp_replace(html, '<[^>]*>', '', 'g')), 5000) as richness from pages"),
     "a13_toxic_share": (a13_toxic_share, "select source, floor((count(*) filter (where toxic = 1))::double / count(*)::double * 100.0::double * 10.0::double + 0.5::double) / 10.0::double as toxic_percent, count(*) as n from labels join documents using (doc_id) group by source"),
 }

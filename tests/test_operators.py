@@ -6,8 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from gazette.functions import urls
 from gazette.operators import calendar, dedup, ingest, picks, summary, writes
-from gazette.sources import feeds
+from gazette.sources import feeds, files
 from gazette.streaming import marks
 
 
@@ -123,3 +124,27 @@ def test_envelope(spark):
     df = feeds.envelope(spark.createDataFrame(rows, "body string, state_want string, n_want int"), "body", "meals")
     for r in df.collect():
         assert r["state"] == r["state_want"] and (None if r["rows"] is None else len(r["rows"])) == r["n_want"]
+
+
+def test_bytes_of_several_encodings(spark):
+    text = "가정통신문 안내"
+    rows = [(text.encode("utf-8"), text), (text.encode("cp949"), text), ("똠방각하".encode("cp949"), "똠방각하"), (b"\xff\xfe\xff", None), (None, None)]
+    got = [r["t"] for r in spark.createDataFrame(rows, "b binary, want string").select(files.decoded(F.col("b")).alias("t")).collect()]
+    assert got[:3] == [w for _, w in rows[:3]] and "\ufffd" in got[3] and got[4] is None
+
+
+def test_files_by_glob_and_appended_rows(spark, tmp_path):
+    for arm, n in (("base", 1), ("new", 2)):
+        (tmp_path / arm).mkdir()
+        (tmp_path / arm / "n1.json").write_text('{\n"status": "ok", "n": %d}' % n)
+    got = files.eval_files(spark, f"{tmp_path}/*/*.json", "status string, n int").orderBy("arm").collect()
+    assert [tuple(r) for r in got] == [("ok", 1, "base", "n1"), ("ok", 2, "new", "n1")]
+    for k in (1, 2):
+        files.append_rows(spark.createDataFrame([(k, "a")], "k int, p string"), f"{tmp_path}/table", ("p",))
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [1, 2]
+
+
+def test_links_are_resolved(spark):
+    cases = [("https://a.kr/x/y", "z", "https://a.kr/x/z"), ("https://a.kr/x/y", "../z?q#f", "https://a.kr/z?q"), ("https://a.kr", "b", "https://a.kr/b"), ("https://a.kr/x/y?p", "?q", "https://a.kr/x/y?q"), ("https://a.kr/x", "//b.kr/c", "https://b.kr/c"), ("https://a.kr/x/", "./", "https://a.kr/x/"), ("https://a.kr/x", "/../..", "https://a.kr/")]
+    rows = spark.createDataFrame(cases, "base string, ref string, want string").select(urls.resolve("base", "ref").alias("got"), "want").collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]

@@ -180,3 +180,26 @@ def invented_facts(summary: Column | str, source: Column | str) -> Column:
     money = F.array_distinct(F.regexp_extract_all(col(summary), F.lit(rf"[0-9][0-9,]*{_S}*원"), F.lit(0)))
     unknown = F.filter(money, lambda m: ~digits.contains(F.regexp_replace(m, "[^0-9]", "")))
     return F.array_sort(F.concat(days, unknown).cast(_NONE))
+
+
+#: Methods of extraction that are trusted most; fewest characters of a text; most pages and characters of an attachment.
+EXACT_METHODS, MIN_TEXT, MAX_PAGES, MAX_CHARS = ("html", "html_file", "hwp_ole_bodytext_filtered", "hwp_prv_text", "hwpx_xml", "pdf_pymupdf"), 20, 20, 20_000
+
+
+def source_status(status: Column, text: Column) -> Column:
+    """A success of hardly any text is none."""
+    return F.when((status == "success") & (F.char_length(strip(F.coalesce(text, F.lit("")))) < MIN_TEXT), "empty_or_unreadable").otherwise(status)
+
+
+def default_confidence(method: Column, status: Column, model_prefix: str = "model") -> Column:
+    return F.when(~status.isin("success", "partial_success"), 0.0).when(method.startswith(model_prefix), 0.72).when(method.isin(*EXACT_METHODS), 0.86).otherwise(0.65)
+
+
+def too_long(pages: Column, text: Column) -> Column:
+    """More pages than are worth cleaning, or as many characters where pages are not counted or few."""
+    return F.coalesce(pages > MAX_PAGES, F.lit(False)) | (F.char_length(F.coalesce(text, F.lit(""))) > MAX_CHARS)
+
+
+def earliest(*dates: Column) -> Column:
+    """The least of ISO dates of several origins (arrays); null if there are none."""
+    return F.array_min(F.array_distinct(F.filter(F.concat(*dates), lambda x: x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))))

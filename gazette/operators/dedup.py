@@ -19,12 +19,6 @@ def fingerprint_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return marked.join(least, "fingerprint", "left").select(id_col, "fingerprint", F.when(none, F.col(id_col)).otherwise(F.col("least")).alias("primary"), F.when(none, 1).otherwise(F.col("many")).alias("copies"))
 
 
-def overlap(a: Column | str, b: Column | str) -> Column:
-    """Sizes of intersection and union of two texts' tokens."""
-    x, y = tokens(a), tokens(b)
-    return F.struct(F.size(F.array_intersect(x, y)).alias("common"), F.size(F.array_union(x, y)).alias("either"))
-
-
 # Critical dates and amounts, and how far one type of source is trusted over another.
 CRITICAL = (
     r"[0-9]{4}\s*[.\-/년]\s*[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}|[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일|[0-9]{1,2}\s*[./]\s*[0-9]{1,2}",

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.functions.text import lines, round_half_up
+from gazette.functions.text import first_non_blank, lines, round_half_up
 from gazette.functions.dates import iso_dates
-from gazette.functions.notices import is_actionable
+from gazette.functions.notices import default_confidence, earliest, is_actionable, source_status
+from gazette.functions.records import title_key
 from gazette.operators import ingest
 from gazette.operators.summary import AXES, weighted_mark
 from gazette.plans.base import Query, table
 
 def f2_first_filled(spark: SparkSession, d: str) -> DataFrame:
     """The first of several fields that is not blank."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.char_length(F.coalesce(F.nullif(F.trim("text"), F.lit("")), "role")).cast("long").alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.char_length(first_non_blank("text", "role")).cast("long").alias("n"))
 
 
 def f7_needs_first_visit(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +77,12 @@ def a10_weighted_axes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a11_earliest_deadline(spark: SparkSession, d: str) -> DataFrame:
-    """Earliest day of an order over the days that several origins give."""
-    ships = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("ship"))
-    days = F.array_distinct(F.array_compact(F.array(F.date_add(F.to_date("o_orderdate"), 30), F.col("ship"))))
-    return table(spark, d, "orders").join(ships, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.array_min(days).alias("due"))
+    """Earliest whole date of an order over four origins, of which some give none or something else."""
+    iso = lambda days: F.expr(f"cast(cast(o_orderdate as date) + cast({days} as int) as string)")
+    none = F.array().cast("array<string>")
+    facts, translated = F.when(F.col("o_orderkey") % 2 == 0, F.array(iso("o_orderkey % 9"), F.lit("곧"))).otherwise(none), F.when(F.col("o_orderkey") % 3 == 0, F.array(iso("5"))).otherwise(none)
+    metadata, cards = F.array(F.when(F.col("o_orderkey") % 5 == 0, iso("1")).otherwise("5월 중")), F.when(F.col("o_orderkey") % 7 == 0, F.array(iso("3"), iso("5"))).otherwise(none)
+    return table(spark, d, "orders").select("o_orderkey", earliest(facts, translated, metadata, cards).alias("due"))
 
 
 def w2_keep_newest_nulls_last(spark: SparkSession, d: str) -> DataFrame:
@@ -174,16 +177,21 @@ def c45_squeezed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c62_deadlines_only(spark: SparkSession, d: str) -> DataFrame:
-    """Of customers with an urgent order only the urgent ones stay."""
+    """Of a notice about health checks with deadlines only these stay; rows without a notice are grouped by their title."""
     urgent = F.col("o_orderpriority").startswith("1")
-    rows = table(spark, d, "orders").withColumn("any", F.max(urgent).over(Window.partitionBy("o_custkey")))
-    return rows.where(~F.col("any") | urgent).select("o_orderkey", "o_custkey")
+    title = F.expr("case when o_custkey % 2 = 0 then ' 건강 검진 (' || o_custkey || ')' else '소풍 ' || o_custkey end")
+    group = F.coalesce(F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey").cast("string")), title_key(title))
+    rows = table(spark, d, "orders").withColumn("any", F.max(urgent).over(Window.partitionBy(group)))
+    return rows.where(~(F.col("any") & title_key(title).contains("건강검진")) | urgent).select("o_orderkey", "o_custkey")
 
 
 def c81_source_status(spark: SparkSession, d: str) -> DataFrame:
-    """A success of fewer than twenty characters is empty."""
-    n = F.char_length(F.trim(F.coalesce("text", F.lit(""))))
-    return table(spark, d, "documents").groupBy(F.when(n < 20, "empty").otherwise("success").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Statuses and confidences of texts by method."""
+    status = F.expr("case doc_id % 4 when 0 then 'failed' when 1 then 'partial_success' else 'success' end")
+    method = F.expr("case doc_id % 5 when 0 then 'model_ocr' when 1 then 'html' when 2 then 'hwpx_xml' else 'other' end")
+    text = F.when(F.col("doc_id") % 7 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))
+    final = source_status(status, text)
+    return table(spark, d, "documents").select("doc_id", final.alias("status"), default_confidence(method, final).alias("confidence"))
 
 
 _AXES_SQL = " + ".join(f"(floor(p_size::double / {i}.0::double)::bigint % 6)::double * {w}::double" for i, w in ((1, 1.0), (2, 1.0), (3, 0.8), (4, 0.8), (5, 0.7), (6, 0.8), (7, 0.7), (8, 2.0)))
@@ -200,7 +208,7 @@ QUERIES: dict[str, Query] = {
     "a3_run_summary": (a3_run_summary, "select event_type, count(*) as n, count(*) filter (where value > 100) as large, count(distinct user_id) as users, sum(floor(value)::bigint)::bigint as calls from events group by 1"),
     "a7_first_seen_types": (a7_first_seen_types, "with f as (select user_id, event_type, ts, event_id from events where user_id is not null and event_type is not null qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1) select user_id, string_agg(event_type, ',' order by ts, event_id) as types from f group by 1"),
     "a10_weighted_axes": (a10_weighted_axes, f"select p_partkey, floor(({_AXES_SQL}) / 8.8::double * 100.0::double + 0.5::double) / 100.0::double as mark from part"),
-    "a11_earliest_deadline": (a11_earliest_deadline, "select o_orderkey, least((o_orderdate::date + 30)::date, s) as due from orders left join (select l_orderkey, min(l_shipdate::date) as s from lineitem group by 1) on o_orderkey = l_orderkey"),
+    "a11_earliest_deadline": (a11_earliest_deadline, "select o_orderkey, cast(list_min(list_concat(case when o_orderkey % 2 = 0 then [o_orderdate::date + (o_orderkey % 9)::int] else [] end, case when o_orderkey % 3 = 0 then [o_orderdate::date + 5] else [] end, case when o_orderkey % 5 = 0 then [o_orderdate::date + 1] else [] end, case when o_orderkey % 7 = 0 then [o_orderdate::date + 3] else [] end)) as varchar) as due from orders"),
     "w2_keep_newest_nulls_last": (w2_keep_newest_nulls_last, "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by value desc nulls last, ts desc nulls last, event_id desc nulls last) = 1"),
     "w5_latest_per_user": (w5_latest_per_user, "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"),
     "w11_best_candidate": (w11_best_candidate, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice desc, o_orderkey) = 1"),
@@ -216,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "c30_calendar_links": (c30_calendar_links, "select o_orderkey, 'action=TEMPLATE&dates=' || strftime(o_orderdate, '%Y%m%d') || '/' || strftime(o_orderdate + interval 1 day, '%Y%m%d') || '&text=' || replace(url_encode(o_orderpriority), '%20', '+') as link from orders"),
     "c40_markers": (c40_markers, "select conv_id, turn, 'M' || lpad(i::varchar, 3, '0') as marker, length(line) as n from (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from conversations where text is not null)"),
     "c45_squeezed": (c45_squeezed, "select doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when regexp_matches(x, '^[ ]*[|]') then x else regexp_replace(x, '([^ ]) {3,}', '\\1 ', 'g') end), chr(10))) as sha from documents where text is not null"),
-    "c62_deadlines_only": (c62_deadlines_only, "select o_orderkey, o_custkey from orders o where o_orderpriority like '1%' or o_custkey not in (select o_custkey from orders where o_orderpriority like '1%')"),
-    "c81_source_status": (c81_source_status, "select case when length(trim(coalesce(text, ''), ' ')) < 20 then 'empty' else 'success' end as status, count(*) as n from documents group by 1"),
+    "c62_deadlines_only": (c62_deadlines_only, "select o_orderkey, o_custkey from orders o where o_orderpriority like '1%' or o_custkey % 2 = 1 or o_custkey not in (select o_custkey from orders where o_orderpriority like '1%')"),
+    "c81_source_status": (c81_source_status, r"""with s as (select doc_id, case doc_id % 4 when 0 then 'failed' when 1 then 'partial_success' else case when length(regexp_replace(coalesce(case when doc_id % 7 = 0 then substr(text, 1, 12) else text end, ''), '^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) < 20 then 'empty_or_unreadable' else 'success' end end as status from documents)
+      select doc_id, status, case when status not in ('success', 'partial_success') then 0.0::double when doc_id % 5 = 0 then 0.72::double when doc_id % 5 in (1, 2) then 0.86::double else 0.65::double end as confidence from s"""),
 }

@@ -181,8 +181,10 @@ def k1_top_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k4_home_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 by newest day, priority and key."""
-    return table(spark, d, "orders").orderBy(_day("o_orderdate").desc(), F.col("o_orderpriority").asc_nulls_last(), F.desc("o_orderkey")).limit(200).select("o_orderkey", "o_orderpriority")
+    """The first 200 by the day they were checked, else made, latest first; then by rank, missing ones last; then the newest."""
+    checked = F.when(F.col("o_orderkey") % 3 == 0, F.date_add(_day("o_orderdate"), 20))
+    rank = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 5)
+    return table(spark, d, "orders").orderBy(F.coalesce(checked, _day("o_orderdate")).desc(), rank.asc_nulls_last(), F.desc("o_orderdate"), F.desc("o_orderkey")).limit(200).select("o_orderkey", "o_orderpriority")
 
 
 def k7_name_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +279,7 @@ QUERIES: dict[str, Query] = {
     "w12_w13_corpus_pick": (w12_w13_corpus_pick, "select doc_id, lang, position, position % 3 = 0 as held_out from (select doc_id, lang, row_number() over (order by turn, lang) as position from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as turn from documents where lang is not null) order by turn, lang limit 120)"),
     "w14_post_ranks": (w14_post_ranks, "select l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as post_rank from lineitem"),
     "k1_top_orders": (k1_top_orders, "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50"),
-    "k4_home_order": (k4_home_order, "select o_orderkey, o_orderpriority from orders order by o_orderdate::date desc, o_orderpriority, o_orderkey desc limit 200"),
+    "k4_home_order": (k4_home_order, "select o_orderkey, o_orderpriority from orders order by case when o_orderkey % 3 = 0 then o_orderdate::date + 20 else o_orderdate::date end desc, case when o_orderkey % 4 > 0 then o_orderkey % 5 end asc nulls last, o_orderdate desc, o_orderkey desc limit 200"),
     "k7_name_rank": (k7_name_rank, "select p_partkey, p_name, rank from (select *, (case when p_name = 'small ring' then 0 when starts_with(p_name, 'small') then 1 when contains(p_name, 'small') then 2 else 3 end)::bigint as rank from part) order by rank, p_name, p_partkey limit 30"),
     "u1_u3_set_sizes": (u1_u3_set_sizes, "with k as (select distinct user_id, event_type from events), s as (select user_id, list(event_type) as a from k group by 1) select x.user_id, len(list_intersect(x.a, y.a)) as common, len(x.a) - len(list_intersect(x.a, y.a)) as missing, len(x.a) + len(y.a) - len(list_intersect(x.a, y.a)) as either from s x join s y on y.user_id = x.user_id + 1"),
     "c22_date_span": (c22_date_span, f"select l_orderkey, strftime(first, '%Y-%m-%d') as first, strftime(last, '%Y-%m-%d') as last from ({_SPANS}) where first <> last"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import checks, text as X, urls
+from gazette.functions.notices import too_long
 from gazette.operators import dedup
 from gazette.plans.base import Query, spread, table
 from gazette.plans.flagship import LATIN, best_document_per_source
@@ -134,7 +135,9 @@ def v24_length_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v22_long_attachments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(F.char_length("text") > 20000).alias("too_long"), F.max(F.char_length("text")).cast("long").alias("longest"))
+    """Attachments with too many pages, or characters where pages are not counted."""
+    pages = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 40)
+    return table(spark, d, "documents").select("doc_id", too_long(pages, F.col("text")).alias("too_long"))
 
 
 def v25_forbidden_words(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +252,7 @@ QUERIES: dict[str, Query] = {
         case when ls >= 2 and lo < ls * 0.6::double then 'list_items_lost' end, case when len(list_filter(ns, lambda x: not list_contains(no, x))) > 0 then 'numbers_lost' end, case when len(list_filter(list_distinct(long), lambda x: len(list_filter(long, lambda y: y = x)) >= 3)) > 0 then 'repeated_line' end], lambda x: x is not null) end as i from m)
       select conv_id, turn, array_to_string(i, ',') as issues, case when list_has_any(i, ['empty_output', 'hangul_leftover', 'too_short', 'numbers_lost']) then 'failed' when len(i) > 0 then 'warned' else 'passed' end as verdict from i""".replace("SIG_S", _NUMBERS.format("s")).replace("SIG_O", _NUMBERS.format("o"))),
     "v24_length_gate": (v24_length_gate, f"select conv_id, turn, length(said) > 3 * length(asked) as too_long, regexp_matches(said, ' {{30,}}') or length(said) > length(asked) * (case when length(asked) > 4000 then 1.6 else 2.6 end) + 400 as degenerate from ({_PAIRS_SQL})"),
-    "v22_long_attachments": (v22_long_attachments, "select source, count(*) filter (where length(text) > 20000) as too_long, max(length(text)) as longest from documents group by source"),
+    "v22_long_attachments": (v22_long_attachments, "select doc_id, (doc_id % 3 = 0 and doc_id % 40 > 20) or length(coalesce(text, '')) > 20000 as too_long from documents"),
     "v25_forbidden_words": (v25_forbidden_words, "select source, count(*) as n from documents where regexp_matches(lower(text), 'license|copyright') group by source"),
     "a15_fragments": (a15_fragments, f"select source, count(*) filter (where ratio > 0.4) as flattened, count(*) as n from {_FRAG} f join documents d on f.doc_id = d.doc_id group by source"),
     "a16_repeated_lines": (a16_repeated_lines, "with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line from documents) select doc_id, count(*) as repeated, max(n) as most from (select doc_id, line, count(*) as n from l where length(line) >= 20 group by all having count(*) >= 3) group by doc_id"),

@@ -25,4 +25,4 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_every_query_has_sql_but_those_named():
-    assert set(registry.queries()) - set(SQL) == {"v7_output_checks", "t10_debounce"}
+    assert set(registry.queries()) - set(SQL) == {"t10_debounce"}

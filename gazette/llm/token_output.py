@@ -21,7 +21,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.bpe import MISSES, byte_level_spec, pre_tokenizer
-from gazette.llm.shared import kept, release_memory, tidy
+from gazette.llm.shared import kept, release_memory
 
 #: Of the written files: bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -53,23 +52,29 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cache, plain, new = self.cache, {}, set()
-        for i, t in enumerate(texts):
-            if not any(s in t for s in self.special):
-                plain[i] = self.cut(t)
-                new.update(filterfalse(cache.__contains__, plain[i]))
-        if len(cache) >= LIBRARY_ENTRIES and len(new) > MISSES * max(sum(map(len, plain.values())), 10_000):
-            cache.clear()  # other texts than those that filled it
-            new = {p for pieces in plain.values() for p in pieces}
-        pieces, extra = list(new), {}
+        cache, get, rows, holes = self.cache, self.cache.get, [], []
+        for k, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                rows.append([array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()])
+                continue
+            pieces = self.cut(t)
+            rows.append(found := list(map(get, pieces)))  # each piece is looked up once; those not kept leave a hole
+            i = -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                holes.append((k, i, pieces[i]))
+        pieces, extra = list({p for _, _, p in holes}), {}
         for lo in range(0, len(pieces), 1024):
             some = pieces[lo : lo + 1024]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 extra[p] = array("i", e.ids).tobytes()
+        for k, i, p in holes:
+            rows[k][i] = extra[p]
+        if len(cache) >= LIBRARY_ENTRIES and len(holes) > MISSES * max(sum(map(len, rows)), 10_000):
+            cache.clear()  # other texts than those that filled it
         room = max(0, LIBRARY_ENTRIES - len(cache))
         cache.update((p, extra[p]) for p in pieces[:room])
-        get = cache.__getitem__ if len(pieces) <= room else lambda p: cache.get(p) or extra[p]
-        return [b"".join(map(get, plain[i])) if i in plain else array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts)]
+        return [b"".join(x) for x in rows]
 
 
 def _encoder(path: str) -> LibraryEncoder:
@@ -119,7 +124,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def id_digests(tokens: DataFrame, out_col: str = "ids_crc32") -> DataFrame:
     """doc_id, start, n_tokens and the unsigned CRC-32 of each document's ids as little-endian 32-bit integers."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)

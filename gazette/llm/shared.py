@@ -168,21 +168,20 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
     A polynomial modulo 2**64 would be cheaper, but strings that collide under every base are known.
     """
-    n = len(low)
-    sums = np.zeros(n + 1, np.uint64)
-    for lo in range(0, n, 1 << 18):  # in pieces that stay in cache
-        hi = min(n, lo + (1 << 18))
-        first = int(np.searchsorted(starts, lo, "right")) - 1
-        inside = starts[max(first, 0) : np.searchsorted(starts, hi)]
-        begun = np.zeros(hi - lo, np.int64)
-        begun[0] = lo - starts[first] if first >= 0 else 0
-        begun[1:] = 1
-        late = inside[inside > lo] - lo
-        begun[late] = 1 - np.diff(inside[inside > lo], prepend=starts[first] if first >= 0 else lo)
-        place = np.cumsum(begun).astype(np.uint64)
-        np.cumsum(mix(low[lo:hi].astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)), out=sums[lo + 1 : hi + 1])
-        sums[lo + 1 : hi + 1] += sums[lo]
-    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first, n = int(starts[0]), len(low)
+    sums = np.zeros(n - first + 1, np.uint64)
+    places = np.arange(n - first) - np.repeat(starts - first, np.diff(starts, append=n))  # from where the last word began
+    for lo in range(0, n - first, 1 << 16):  # in pieces that stay in cache
+        x = (places[lo : lo + (1 << 16)].astype(np.uint64) << np.uint64(8)) + low[first + lo : first + lo + (1 << 16)] + np.uint64(1)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        sums[lo + 1 : lo + 1 + len(x)] = x
+    np.cumsum(sums, out=sums)
+    return mix(sums[ends - first] - sums[starts - first] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -155,9 +155,13 @@ def row_score(text: Column | str, html: Column | str, in_chrome: Column) -> Colu
 BELL_WORDS, NOT_LINKS, SKIPPED = ("일과표", "일과 운영", "일과운영", "시정표", "등하교", "수업시간"), ("일시정지", "재생", "이전", "다음"), r"^(javascript:|#|mailto:|tel:)"
 
 
-def is_bell_candidate(text: Column | str, href: Column | str) -> Column:
-    t = collapse(text)
-    return (t != "") & (strip(href) != "") & ~strip(href).rlike(SKIPPED) & ~names_any(t, NOT_LINKS) & (F.char_length(t) <= 40)
+def bell_candidates(links: Column) -> Column:
+    """text and url of links (text, href, url) that may lead to a timetable, each pair once; those whose words say so first, else in page order."""
+    t = F.transform(links, lambda x: F.struct(collapse(x["text"]).alias("text"), strip(x["href"]).alias("href"), x["url"].alias("url")))
+    fit = F.filter(t, lambda x: (x["text"] != "") & (x["href"] != "") & ~x["href"].rlike(SKIPPED) & ~names_any(x["text"], NOT_LINKS) & (F.char_length(x["text"]) <= 40))
+    pairs = F.array_distinct(F.transform(fit, lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url"))))
+    ranked = F.array_sort(F.transform(pairs, lambda x, i: F.struct(F.when(names_any(x["text"], BELL_WORDS), 0).otherwise(1).alias("r"), i.alias("i"), x["text"].alias("text"), x["url"].alias("url"))))
+    return F.transform(ranked, lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))
 
 
 def disposition_name(c: Column | str) -> Column:

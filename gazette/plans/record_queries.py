@@ -58,6 +58,17 @@ def c4_c61_c76_pictures(spark: SparkSession, d: str) -> DataFrame:
 _C4 = f"""select id, 'https://s.kr/dir/b.png?v=1@2학년 일과표;https://s.kr/a/' || id || '.JPG@x' as pictures, case id % 4 when 0 then '건강검진1학년' when 1 then '알림소풍' else '소풍' end as key, replace("start"[6:10], '-', '/') || case when id % 3 = 0 then '–' || replace(end_[6:10], '-', '/') else '' end as label from ({made(_PICTURES)})"""
 
 
+def c76_bell_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a menu: a carousel's button, a script, a repeat, a long text, and timetables in some."""
+    b = rows(spark, d, {"own": f"case {K} % 3 when 0 then ' 학교  일과표 ' when 1 then '등하교 시간' else '식단' end", "path": f"'/p' || {NUM(K)}"})
+    link = lambda text, href: F.struct(text.alias("text"), href.alias("href"), F.concat(F.lit("https://s.kr"), href).alias("url"))
+    menu = F.array(link(F.lit("학생마당"), F.lit("/a")), link(F.lit("일시정지"), F.lit("/b")), link(F.lit("일과표"), F.lit("#top")), link(F.lit("학생마당"), F.lit("/a")), link(F.repeat(F.lit("가"), 41), F.lit("/c")), link(F.lit(" "), F.lit("/d")), link(F.col("own"), F.col("path")))
+    return b.select("id", F.array_join(F.transform(links.bell_candidates(menu), lambda x: F.concat_ws("@", x["text"], x["url"])), ";").alias("links"))
+
+
+_C76 = f"select {K} as id, case {K} % 3 when 0 then '학교 일과표@https://s.kr/p' || {K} || ';학생마당@https://s.kr/a' when 1 then '등하교 시간@https://s.kr/p' || {K} || ';학생마당@https://s.kr/a' else '학생마당@https://s.kr/a;식단@https://s.kr/p' || {K} end as links from orders"
+
+
 def t13_batches(spark: SparkSession, d: str) -> DataFrame:
     b = rows(spark, d, {"lang": f"case {K} % 4 when 0 then 'en' else 'vi' end", "phase": f"case {K} % 3 when 0 then 'complete' else 'pending' end", "one": f"case {K} % 5 when 0 then '' else {NUM(K + ' % 7')} end"})
     made_ = records.merged_batch(F.lit("vi"), F.array("one", "one"), F.when(F.col("id") % 11 > 0, F.col("lang")), F.array(F.lit("1"), F.lit("2")), F.array(F.lit("2")), F.col("phase"))
@@ -107,6 +118,6 @@ _V26 = """with c as (select c_nationkey as k, 'customers' as part, count(*) as n
 
 
 QUERIES: dict[str, Query] = {
-    "c15_c77_c79_c83_records": (c15_c77_c79_c83_records, _C15), "v16_v19_facts": (v16_v19_facts, _V16), "c4_c61_c76_pictures": (c4_c61_c76_pictures, _C4), "t13_batches": (t13_batches, _T13), "c75_w11_k8_menus": (c75_w11_k8_menus, _C75),
+    "c15_c77_c79_c83_records": (c15_c77_c79_c83_records, _C15), "v16_v19_facts": (v16_v19_facts, _V16), "c4_c61_c76_pictures": (c4_c61_c76_pictures, _C4), "c76_bell_links": (c76_bell_links, _C76), "t13_batches": (t13_batches, _T13), "c75_w11_k8_menus": (c75_w11_k8_menus, _C75),
     "a14_c12_signals": (a14_c12_c13_signals, _A14), "v26_audit": (v26_audit, _V26),
 }

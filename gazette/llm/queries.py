@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, decontaminate, html_main, jaccard_join, language_id, nearest, quality_crf, sharding, token_output, toxicity
+from gazette.llm import align, bpe, decontaminate, hard_negatives, html_main, jaccard_join, language_id, nearest, packing, quality_crf, sharding, token_output, toxicity
 from gazette.llm.shared import held_out, modest_batches, shared_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -93,6 +93,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies lie against each other in every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align_tokenizers(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each fiftieth vector and its nearest of the same label, the nearest of other labels that score a little lower."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.id_checksums(packing.write_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+    placed = packing.place(pieces)
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_jaccard_join": op2_jaccard_join,
@@ -104,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main": op8_html_main,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_align": op11_align,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pack": op13_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -282,12 +282,12 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     """
     coded = save(_coded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), a_path, b_path, block_bytes), "coded", compression="zstd")
     aligned = save(_aligned(coded.select(F.explode("segments").alias("segment")).distinct(), a_path, b_path), "alignments", compression="zstd")
-    met = coded.select("block", F.posexplode("segments").alias("place", "segment")).join(aligned, "segment").select("block", "place", "groups")
-    composed = save(coded.select("block", "ids", "sizes", "places").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_compose, _COMPOSED_DDL), "composed", compression="zstd")
+    met = coded.select("block", F.posexplode("segments").alias("place", "segment")).join(aligned, "segment").select(F.col("block").alias("of"), "place", "groups")
+    composed = save(coded.select("block", "ids", "sizes", "places").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(_compose, _COMPOSED_DDL), "composed", compression="zstd")
     drop_saved(coded, aligned)
     counts = composed.select(F.explode(F.arrays_zip(F.col("pairs").alias("pair"), F.col("documents").alias("n"))).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("count"))
     counts = save(counts, "pair-counts")
     highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
     rated = counts.join(highest, F.shiftright(counts["pair"], 32) == highest["a"]).select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    found = composed.select("block", F.posexplode("pairs").alias("place", "pair")).join(rated, "pair").select("block", "place", "count", "best")
-    return composed.drop("pairs", "documents").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_summed, _RESULT)
+    found = composed.select("block", F.posexplode("pairs").alias("place", "pair")).join(rated, "pair").select(F.col("block").alias("of"), "place", "count", "best")
+    return composed.drop("pairs", "documents").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_summed, _RESULT)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gazette.llm.shared import kept, release_memory
+from gazette.llm.shared import kept, refuse, release_memory
 
 #: How byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -152,18 +152,12 @@ def _more(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> p
     return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
 
-def _refuse(df: DataFrame, *names: str | None) -> None:
-    for c in names:
-        if c in df.columns:
-            raise ValueError(f"column {c} exists already; name another")
-
-
 def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", packed: bool = False, decoded_col: str | None = None) -> DataFrame:
     """Add ids_col: the text's ids as array<int>, or, packed, as little-endian unsigned 32-bit integers in binary.
 
     decoded_col, if named: the text that the ids decode to, in the same pass.
     """
-    _refuse(df, ids_col, decoded_col)
+    refuse(df, ids_col, decoded_col)
     names = [ids_col, *([decoded_col] if decoded_col else [])]
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *(T.StructField(c, T.StringType()) for c in names[1:])])
     at = df.columns.index(text_col)
@@ -187,7 +181,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col:
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add out_col: the text that ids_col (array<int>, or packed binary) stands for."""
-    _refuse(df, out_col)
+    refuse(df, out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
     at, packed = df.columns.index(ids_col), isinstance(df.schema[ids_col].dataType, T.BinaryType)
 

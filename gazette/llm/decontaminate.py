@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.shared import ALNUM_WORDS, byte_rows, drop_saved, save, tidy, word_hashes, words
+from gazette.llm.shared import ALNUM_WORDS, byte_rows, drop_saved, refuse, save, tidy, word_hashes, words
 
 BLOCK_BYTES = 4 << 20
 #: Windows that a text is held against at once.
@@ -175,8 +175,7 @@ def _probe(docs: DataFrame, text_col: str, hits_col: str, held: Broadcast[Window
 
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, hits_col: str = "hits") -> DataFrame:
     """Add hits_col: the number of words, the merged word spans [start, end) under windows, and the items they are of."""
-    if hits_col in docs.columns:
-        raise ValueError(f"column {hits_col} exists already; name another")
+    refuse(docs, hits_col)
     rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.shared import free_name, save, tidy
+from gazette.llm.shared import free_name, refuse, save, tidy
 
 SENT_KEYS = 500_000
 #: Elements by kind.
@@ -348,9 +348,7 @@ def _template_keys(pages: DataFrame, min_pages: int) -> DataFrame:
 
 def extract_main(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", min_pages: int = 5, decided_col: str | None = None) -> DataFrame:
     """Add text_col, the main text of each page, and decided_col if named: characters removed by_counts and by_rules."""
-    for c in (text_col, decided_col):
-        if c in pages.columns:
-            raise ValueError(f"column {c} exists already; name another")
+    refuse(pages, text_col, decided_col)
     spark = pages.sparkSession
     recurring = save(_template_keys(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), min_pages), "template-keys")
     names = pages.columns

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import fit_svm, sigmoid
-from gazette.llm.shared import held_out, tidy
+from gazette.llm.shared import held_out, refuse, tidy
 
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -156,9 +156,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """Add lang_col and score_col (0 to 1)."""
-    for c in (lang_col, score_col):
-        if c in docs.columns:
-            raise ValueError(f"column {c} exists already; name another")
+    refuse(docs, lang_col, score_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.bpe import byte_symbols
-from gazette.llm.shared import free_name, kept, release_memory, save
+from gazette.llm.shared import free_name, kept, refuse, release_memory, save
 
 #: Units that a sequence is counted in, and documents of a pattern at most.
 UNITS, FEW = 128, 4
@@ -112,11 +112,11 @@ class WordEncoder:
             before, after = word[:at], word[at + len(inner) :]
             if before.endswith(b"'"):
                 before, inner = b"", before + inner
-        if (before or after) and not inner.isascii():
+        if before or after:
             text = inner.decode()
-            if before and not text[0].isalpha():
+            if before and not text[0].isalnum():
                 before, inner = b"", before + inner
-            if after and not text[-1].isalpha():
+            if after and not (text[-1].lower() if text[-1] > "\x7f" else text[-1]).isalnum():  # a letter that is lowered to a letter and a mark ends in a mark
                 after, inner = b"", inner + after
         return [x for x in (before, inner, after) if x] if before or after else [inner]
 
@@ -369,9 +369,7 @@ def pack_histogram(histogram: dict[int, int], limit: int, units: int = UNITS, fe
 
 def place(pieces: DataFrame, limit: int = 4096, sequence_col: str = "sequence_id", offset_col: str = "offset") -> DataFrame:
     """pieces (of write_pieces, with or without ids) without part and nth, with the sequence that each goes to and its offset there."""
-    for c in (sequence_col, offset_col):
-        if c.lower() in (x.lower() for x in pieces.columns):
-            raise ValueError(f"column {c} exists already; name another")
+    refuse(pieces, sequence_col, offset_col)
     spark = pieces.sparkSession
     counts = save(pieces.groupBy(F.col("part").alias("p"), F.col("length").alias("n")).agg(F.count(F.lit(1)).alias("many")), "piece-counts")
     histogram = {r["n"]: r["many"] for r in counts.groupBy("n").agg(F.sum("many").alias("many")).collect()}  # a row a length, limit at most

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import sigmoid
-from gazette.llm.shared import sample_labels, tidy
+from gazette.llm.shared import refuse, sample_labels, tidy
 
 #: Bounds of the bins of each measure.
 SHARES = (0.001, 0.02, 0.06, 0.12, 0.2, 0.35, 0.6)
@@ -218,8 +218,7 @@ def quality(texts: list[str | None], field: LineField) -> np.ndarray:
 
 def score_quality(docs: DataFrame, field: LineField, text_col: str = "text", score_col: str = "quality") -> DataFrame:
     """Add score_col, from 0 to 1."""
-    if score_col in docs.columns:
-        raise ValueError(f"column {score_col} exists already; name another")
+    refuse(docs, score_col)
     held = docs.sparkSession.sparkContext.broadcast((field.weights, field.pair, field.scale))
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)

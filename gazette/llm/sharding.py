@@ -7,7 +7,7 @@ needs unsigned 64-bit arithmetic, which Spark's checked bigint lacks, so a key i
 
 Defined results: a null key is treated as key 0; equal keys, and so repeated rows, share a shard; an empty table
 gives an empty table. Slots number the rows of a shard from 0 without gaps in key order (ties by the further
-columns). A column to be added that exists already is refused; other columns pass, whatever their names.
+columns). A column to be added that exists already is refused, in whatever case it is written; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import free_name, save
+from gazette.llm.shared import free_name, refuse, save
 
 #: Multiplier of the generator, in halves.
 _MULTIPLIER = 2862933555777941757
@@ -62,8 +62,7 @@ def jump_hash(key: Column, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, key_col: str, shards: int, shard_col: str = "shard") -> DataFrame:
     """Add shard_col; one narrow projection, no shuffle."""
-    if shard_col in df.columns:
-        raise ValueError(f"column {shard_col} exists already; name another")
+    refuse(df, shard_col)
     return df.withColumn(shard_col, jump_hash(F.col(key_col), shards))
 
 
@@ -74,8 +73,7 @@ def number_slots(df: DataFrame, shard_col: str, order: list[str], slot_col: str
     written once and a row's slot is its place in its partition plus the rows of the shard before it. Only
     one count for each partition and shard meets in a window.
     """
-    if slot_col in df.columns:
-        raise ValueError(f"column {slot_col} exists already; name another")
+    refuse(df, slot_col)
     at, part = free_name(df, "_at"), free_name(df, "_part")
     n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(n, shard_col, *order).sortWithinPartitions(shard_col, *order)

@@ -66,6 +66,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def refuse(df: DataFrame, *names: str | None) -> None:
+    """Fail if df has a column that is to be added; Spark tells names apart without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    for name in names:
+        if name and name.lower() in taken:
+            raise ValueError(f"column {name} exists already; name another")
+
+
 #: Rows, and bytes, of whole texts that go to a Python worker at once; a row larger than that is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 

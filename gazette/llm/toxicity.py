@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.linear import fit_logistic, sigmoid
-from gazette.llm.shared import sample_labels, tidy
+from gazette.llm.shared import refuse, sample_labels, tidy
 
 #: Letters of the character model: a-z, the lower-case letters of Latin-1 and OE; then every other letter as one. 0 is a break.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "œ"
@@ -338,9 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity", restored_col: str | None = None, restoring: bool = True) -> DataFrame:
     """Add score_col, and restored_col if named: the lower-cased text with disguised spans read out; restoring=False scores texts as they are."""
-    for c in (score_col, restored_col):
-        if c in docs.columns:
-            raise ValueError(f"column {c} exists already; name another")
+    refuse(docs, score_col, restored_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     more = [T.StructField(score_col, T.DoubleType())] + ([T.StructField(restored_col, T.StringType())] if restored_col else [])
     schema = T.StructType([*docs.schema.fields, *more])

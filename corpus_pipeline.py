@@ -52,11 +52,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     modest_batches(spark)
     rows = save(jaccard_join.jaccard_groups(docs), "groups").where("doc_id is not null").groupBy("doc_id", "text_key", "group_key").agg(F.count(F.lit(1)).alias("many"))
     chosen = rows.where("group_key is not null").groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key", "many")).alias("least")).select("least.*")
-    chosen = chosen.unionByName(rows.where("group_key is null").drop("group_key")).toDF("_id", "_key", "_many")
-    met = docs.join(chosen, (docs["doc_id"] == chosen["_id"]) & (F.xxhash64(docs["text"]) == chosen["_key"]))
-    columns = [docs[c] for c in docs.columns]
-    once = met.where(chosen["_many"] == 1).select(*columns)
-    several = met.where(chosen["_many"] > 1).dropDuplicates(["_id", "_key"]).select(*columns)
+    chosen = chosen.unionByName(rows.where("group_key is null").drop("group_key"))
+    id_, key, many = (free_name(docs, c) for c in ("_id", "_key", "_many"))
+    met = docs.join(chosen.toDF(id_, key, many), (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)))
+    once = met.where(F.col(many) == 1).select(*docs.columns)
+    several = met.where(F.col(many) > 1).dropDuplicates([id_, key]).select(*docs.columns)
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 

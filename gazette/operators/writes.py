@@ -10,7 +10,7 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str, kee
     """Newest row of each key of either; of columns in keep_first the oldest value. One partial aggregation, no join."""
     rows = base.unionByName(changes)
     rest = [c for c in base.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(order)).alias("_r")
+    newest = F.max_by(F.struct(*rest), F.struct(order)).alias("_r")  # a struct is never null, so rows without an order count, as the lowest
     first = [F.min_by(c, F.col(order)).alias(f"_{c}") for c in keep_first or []]
     merged = rows.groupBy(*keys).agg(newest, *first)
     return merged.select(*keys, *[F.col(f"_{c}").alias(c) if c in (keep_first or []) else F.col(f"_r.{c}").alias(c) for c in rest])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.plans import board_queries, notice_queries, record_queries, review_queries, state_queries, table_queries, text_queries
+from gazette.plans import board_queries, notice_queries, record_queries, review_queries, sink_queries, state_queries, table_queries, text_queries
 
-_ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **state_queries.QUERIES, **board_queries.QUERIES, **notice_queries.QUERIES, **review_queries.QUERIES, **record_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **state_queries.QUERIES, **board_queries.QUERIES, **notice_queries.QUERIES, **review_queries.QUERIES, **record_queries.QUERIES, **sink_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

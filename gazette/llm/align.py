@@ -219,13 +219,24 @@ def _compose(coded: pa.Table, met: pa.Table) -> pa.Table:
     for at, text in zip(met.column("place").to_pylist(), met.column("groups").to_pylist(), strict=True):
         groups[at] = text
     known: dict[tuple[int, int], int] = {}
+    single: dict[str, int] = {}  # the pair of a group of one and one, by the group as written
     counts = np.zeros((len(groups), 4), np.int64)
     flat, times, begin = [], [], [0]
     for k, text in enumerate(groups):
         if text is not None:
-            *counts[k], pairs = links_of(text)
-            flat += [known.setdefault(p, len(known)) for p in pairs]
-            times += pairs.values()
+            if "," in text:
+                *counts[k], pairs = links_of(text)
+                flat += [known.setdefault(p, len(known)) for p in pairs]
+                times += pairs.values()
+            else:
+                each = text.split(";")
+                counts[k] = len(each)
+                for group in each:
+                    if (at := single.get(group)) is None:
+                        left, _, right = group.partition("|")
+                        at = single[group] = known.setdefault((int(left), int(right)), len(known))
+                    flat.append(at)
+                times += [1] * len(each)
         begin.append(len(flat))
     flat, times, begin = np.array(flat, np.int64), np.array(times, np.int64), np.array(begin)
     bad = np.array([g is None for g in groups] or [False])

@@ -44,7 +44,7 @@ from gazette.llm.bpe import byte_level_spec, byte_symbols
 from gazette.llm.shared import drop_saved, kept, release_memory, save, tidy
 
 #: Bytes of text of a block, and distinct segments that are aligned at once.
-BLOCK_BYTES, SEGMENTS = 24 << 20, 4_096
+BLOCK_BYTES, SEGMENTS = 32 << 20, 4_096
 #: Fixed value: what B writes for a space.
 SPACE = "▁"
 #: White space that a text may be cut before.

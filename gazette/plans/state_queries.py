@@ -152,5 +152,5 @@ QUERIES: dict[str, Query] = {
     "s21_insert_absent": (s21_insert_absent, f"select user_id, event_type, coalesce(min(event_id) filter (where ts < {_CUT}), min(event_id)) as event_id from events group by 1, 2"),
     "s22_replace_range": (s22_replace_range, "select ts::date as day, count(*) as n from events where ts::date not between date '2024-01-10' and date '2024-01-12' or event_type = 'purchase' group by 1"),
     "s23_diff_replace": (s23_diff_replace, f"with o as (select user_id, arg_max(event_type, ts) as kind from events where ts < {_CUT} group by 1), n as (select user_id, arg_max(event_type, ts) as kind from events where ts >= {_CUT} group by 1) select coalesce(o.user_id, n.user_id) as user_id, n.kind, case when o.user_id is null then 'insert' when n.user_id is null then 'delete' when o.kind = n.kind then 'keep' else 'update' end as action from o full join n on o.user_id = n.user_id"),
-    "t10_debounce": (t10_debounce, None),
+    "t10_debounce": (t10_debounce, "with recursive a as (select user_id, min(ts) as ts from events group by 1 union all select e.user_id, min(e.ts) as ts from a join events e on e.user_id = a.user_id and e.ts >= a.ts + interval 1 hour group by 1) select user_id, ts from a"),
 }

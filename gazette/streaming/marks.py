@@ -21,9 +21,11 @@ def start_marked_intake(stream: DataFrame, key: str, value: str, rows_path: str,
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read once: rows and marks are of the same read
         marks = spark.createDataFrame([], batch.select(key, F.col(value).alias("mark")).schema) if n == 0 else spark.read.parquet(f"{marks_path}/batch={n - 1}")
         above_marks(batch, marks, key, value).write.mode("overwrite").parquet(f"{rows_path}/batch={n}")
         advance_marks(batch, marks, key, value).write.mode("overwrite").parquet(f"{marks_path}/batch={n}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

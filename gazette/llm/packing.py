@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.bpe import byte_symbols
-from gazette.llm.shared import free_name, kept, refuse, release_memory, save
+from gazette.llm.shared import byte_rows, free_name, kept, refuse, release_memory, save
 
 #: Units that a sequence is counted in, and documents of a pattern at most.
 UNITS, FEW = 128, 4
@@ -55,7 +55,7 @@ SENT_RULES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids array<int>"
 ROWS = 128
 #: Words, and parts of words, whose ids a worker keeps at most; the share of words not kept that empties a full store of words.
-WORDS, PARTS, MISSES = 800_000, 500_000, 0.3
+WORDS, PARTS, MISSES = 700_000, 450_000, 0.3
 #: How the word-end vocabulary cleans and cuts a text. All white space goes, so words encode independently.
 _CLEAN = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -120,13 +120,12 @@ class WordEncoder:
                 after, inner = b"", inner + after
         return [x for x in (before, inner, after) if x] if before or after else [inner]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, in UTF-8, as little-endian 32-bit integers."""
         if not self.by_word:
-            return self._library(texts)
+            return self._library([t.decode() for t in texts])
         get, rows, holes, total = self.words.get, [], [], 0
-        for k, t in enumerate(texts):
-            data = t.encode()
+        for k, data in enumerate(texts):
             if b"<|" not in data:  # no special token's string; letters are lowered anyway, so that more words are known
                 data = data.lower()
             words = data.split()
@@ -170,7 +169,7 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
             for lo in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(lo, ROWS)
                 doc_ids, pieces, lists = batch.column(0).to_pylist(), [], []
-                for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(doc_ids, encoder.encode([b"" if t is None else t.tobytes() for t in byte_rows(batch.column(1))]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * limit)):
                         lists.append(ids[at : at + 4 * limit])
@@ -184,7 +183,7 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "part", "nth", "ids"])
         release_memory()
 
-    return save(rows.mapInArrow(run, PIECES), "pieces", compression="zstd")
+    return save(rows.mapInArrow(run, PIECES), "pieces", compression="snappy")
 
 
 def id_checksums(pieces: DataFrame, ids_col: str = "ids", out_col: str = "ids_crc32") -> DataFrame:

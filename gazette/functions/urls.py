@@ -84,6 +84,6 @@ def resolve(base: Column | str, ref: Column | str) -> Column:
 def page_links(html: Column | str, url: Column | str) -> Column:
     """Distinct links of a page to its own host, whole and without fragments; none by script, mail or phone."""
     refs = F.regexp_extract_all(col(html), F.lit(r"(?i)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    named = F.filter(F.transform(refs, F.trim), lambda r: ~r.rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
+    named = F.filter(F.transform(refs, lambda r: F.trim(r)), lambda r: ~r.rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
     whole = F.transform(named, lambda r: resolve(url, r))
     return F.array_distinct(F.filter(whole, lambda u: F.lower(part(u, 2)) == F.lower(part(url, 2))))

@@ -55,7 +55,9 @@ SENT_RULES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids array<int>"
 ROWS = 128
 #: Words, and parts of words, whose ids a worker keeps at most; the share of words not kept that empties a full store of words.
-WORDS, PARTS, MISSES = 700_000, 450_000, 0.3
+WORDS, PARTS, MISSES = 400_000, 250_000, 0.3
+#: Bytes of a row group of the written pieces: a writer holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 #: How the word-end vocabulary cleans and cuts a text. All white space goes, so words encode independently.
 _CLEAN = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -183,7 +185,7 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "part", "nth", "ids"])
         release_memory()
 
-    return save(rows.mapInArrow(run, PIECES), "pieces", compression="snappy")
+    return save(rows.mapInArrow(run, PIECES), "pieces", **{"compression": "snappy", "parquet.block.size": str(ROW_GROUP_BYTES)})
 
 
 def id_checksums(pieces: DataFrame, ids_col: str = "ids", out_col: str = "ids_crc32") -> DataFrame:

@@ -41,31 +41,31 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.bpe import byte_symbols
-from gazette.llm.shared import byte_rows, free_name, kept, refuse, release_memory, save
+from gazette.llm.shared import free_name, kept, refuse, release_memory, save
 
 #: Units that a sequence is counted in, and documents of a pattern at most.
 UNITS, FEW = 128, 4
 #: Rules that are broadcast at most; about 50 bytes each.
 SENT_RULES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids array<int>"
-ROWS = 128
-#: Words, and parts of words, whose ids a worker keeps at most; the share of words not kept that empties a full store of words.
-WORDS, PARTS, MISSES = 400_000, 250_000, 0.3
+#: Words, and parts of words, whose ids a worker keeps at most; the share of a batch's distinct words not kept that empties a full store of words.
+WORDS, PARTS, MISSES = 500_000, 250_000, 0.7
 #: Bytes of a row group of the written pieces: a writer holds one in memory.
 ROW_GROUP_BYTES = 16 << 20
 #: How the word-end vocabulary cleans and cuts a text. All white space goes, so words encode independently.
 _CLEAN = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
-_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS, _SPECIAL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "<|"
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, kept by words between ASCII white space, and by words without the marks around them."""
+    """Ids by the tokenizers library, kept by words between ASCII white space, and by words without the marks around them. Vocabularies that clean or cut texts otherwise get whole texts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -76,81 +76,85 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = (spec["normalizer"] or {}).get("normalizers") == _CLEAN and cut.get("pretokenizers", [{}])[0] == _CUT and not model.get("dropout") and all(t["content"].startswith("<|") for t in spec["added_tokens"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec["added_tokens"])
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.by_word = (spec["normalizer"] or {}).get("normalizers") == _CLEAN and cut.get("pretokenizers", [{}])[0] == _CUT and not model.get("dropout") and all(t["content"].startswith(_SPECIAL) for t in spec["added_tokens"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec["added_tokens"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.stand_ins = {b: c for c, b in byte_symbols().items()}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask(self, parts: list[bytes]) -> dict[bytes, bytes]:
+    def _ask(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts. One of Latin letters alone goes to the library's model at once: cleaning does no more than lower its letters, and nothing is cut."""
         out, others, merge, stand_ins = {}, [], self.tokenizer.model.tokenize, self.stand_ins
         for p in parts:
-            text = p.decode()
-            if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text:
-                out[p] = array("i", [x.id for x in merge(text.lower().encode().decode("latin-1").translate(stand_ins))]).tobytes()
+            if p.isalpha() and max(p) < "\u0180" and "\u0130" not in p:
+                out[p] = array("i", [x.id for x in merge(p.lower().encode().decode("latin-1").translate(stand_ins))]).tobytes()
             else:
                 others.append(p)
         for lo in range(0, len(others), 1024):
             some = others[lo : lo + 1024]
-            out.update(zip(some, self._library([p.decode() for p in some]), strict=True))
+            out.update(zip(some, self._library(some), strict=True))
         return out
 
-    def _parts(self, word: bytes) -> list[bytes]:
+    def _parts(self, word: str) -> list[str]:
         """The word without the ASCII marks before and after it, and these: the cut falls between a letter or digit and a mark.
 
         Marks before it stay if an apostrophe is their last, as 's and the like are one piece. Words with a special
         token's string stay whole.
         """
         inner = word.strip(_MARKS)
-        if not inner or (b"<|" in word and any(s in word for s in self.special)):
+        if not inner or (_SPECIAL in word and any(s in word for s in self.special)):
             return [word]
-        before, after = b"", b""
-        if len(inner) < len(word):
-            at = word.index(inner)
-            before, after = word[:at], word[at + len(inner) :]
-            if before.endswith(b"'"):
-                before, inner = b"", before + inner
-        if before or after:
-            text = inner.decode()
-            if before and not text[0].isalnum():
-                before, inner = b"", before + inner
-            if after and not (text[-1].lower() if text[-1] > "\x7f" else text[-1]).isalnum():  # a letter that is lowered to a letter and a mark ends in a mark
-                after, inner = b"", inner + after
-        return [x for x in (before, inner, after) if x] if before or after else [inner]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, in UTF-8, as little-endian 32-bit integers."""
-        if not self.by_word:
-            return self._library([t.decode() for t in texts])
-        get, rows, holes, total = self.words.get, [], [], 0
-        for k, data in enumerate(texts):
-            if b"<|" not in data:  # no special token's string; letters are lowered anyway, so that more words are known
-                data = data.lower()
-            words = data.split()
-            total += len(words)
-            rows.append(found := list(map(get, words)))
-            holes += [(k, i, words[i]) for i, x in enumerate(found) if x is None]
-        parts = {w: self._parts(w) for w in {w for _, _, w in holes}}
-        unseen = list({p for x in parts.values() for p in x} - self.parts.keys())
+        if len(inner) == len(word):
+            return [inner]
+        at = word.index(inner)
+        before, after = word[:at], word[at + len(inner) :]
+        if before and (before.endswith("'") or not inner[0].isalnum()):
+            before, inner = "", before + inner
+        if after and not (inner[-1].lower() if inner[-1] > "\x7f" else inner[-1]).isalnum():  # a letter that is lowered to a letter and a mark ends in a mark
+            after, inner = "", inner + after
+        return [x for x in (before, inner, after) if x]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self.words.get, words))
+        holes = [i for i, x in enumerate(found) if x is None]
+        parts = [self._parts(words[i]) for i in holes]
+        unseen = list({p for x in parts for p in x} - self.parts.keys())
         extra = self._ask(unseen)
         if len(self.parts) + len(extra) > PARTS:
-            keep = {p: self.parts[p] for x in parts.values() for p in x if p in self.parts}
+            keep = {p: self.parts[p] for x in parts for p in x if p in self.parts}
             self.parts.clear()  # the rare ones fill it anew, the frequent ones are kept as words
             self.parts.update(keep)
         self.parts.update(extra)
-        known = self.parts
-        whole = {w: known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for w, x in parts.items()}
-        for k, i, w in holes:
-            rows[k][i] = whole[w]
-        if len(self.words) >= WORDS and len(holes) > MISSES * max(total, 10_000):
+        known, whole = self.parts, {}
+        for i, x in zip(holes, parts, strict=True):
+            found[i] = whole[words[i]] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+        if len(self.words) >= WORDS and len(holes) > MISSES * max(len(words), 1_000):
             self.words.clear()  # other texts than those that filled it
         if (room := WORDS - len(self.words)) > 0:
             self.words.update(whole if len(whole) <= room else list(whole.items())[:room])
-        return [b"".join(x) for x in rows]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has. Each distinct word of the batch is looked up once."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            rows = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(rows), "<i4"), np.array([len(r) // 4 for r in rows], np.int64)
+        texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.ascii_lower(texts))  # letters are lowered anyway, but for special tokens
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        found, at = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = sizes[at]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)
+        values = np.frombuffer(b"".join(found), "<i4")[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return values, np.diff(edges)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -165,24 +169,25 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, end = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64), np.array([end_id], "<i4").tobytes()
+        part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         encoder = _encoder(vocab_path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(lo, ROWS)
-                doc_ids, pieces, lists = batch.column(0).to_pylist(), [], []
-                for doc_id, ids in zip(doc_ids, encoder.encode([b"" if t is None else t.tobytes() for t in byte_rows(batch.column(1))]), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                        lists.append(ids[at : at + 4 * limit])
-                        n = len(lists[-1]) // 4
-                        pieces.append((doc_id, k, at // 4, n, part, int(seen[n])))
-                        seen[n] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*pieces, strict=True), kinds, strict=True)]
-                sizes = np.cumsum([0, *(len(x) // 4 for x in lists)])
-                columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(lists), "<i4"))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "part", "nth", "ids"])
+        for batch in batches:
+            ids, counts = encoder.encode(batch.column(1))
+            values = np.full(len(ids) + len(counts), end_id, np.int32)
+            values[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            counts = counts + 1
+            pieces = -(-counts // limit)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(limit, counts[doc] - piece * limit)
+            order = np.argsort(length, kind="stable")  # pieces of one length are numbered in their order
+            first = np.searchsorted(length[order], length[order])
+            nth = np.empty(len(doc), np.int64)
+            nth[order] = np.arange(len(doc)) - first + seen[length[order]]
+            seen += np.bincount(length, minlength=limit + 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(values))
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * limit, pa.int64()), pa.array(length, pa.int32()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "part", "nth", "ids"])
         release_memory()
 
     return save(rows.mapInArrow(run, PIECES), "pieces", **{"compression": "snappy", "parquet.block.size": str(ROW_GROUP_BYTES)})

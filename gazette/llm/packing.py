@@ -47,15 +47,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.llm.bpe import byte_symbols
-from gazette.llm.shared import free_name, kept, refuse, release_memory, save
+from gazette.llm.shared import byte_rows, free_name, kept, refuse, release_memory, save, tidy
 
 #: Units that a sequence is counted in, and documents of a pattern at most.
 UNITS, FEW = 128, 4
 #: Rules that are broadcast at most; about 50 bytes each.
 SENT_RULES = 1_000_000
-PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids binary"
 #: Words, and parts of words, whose ids a worker keeps at most; the share of a batch's distinct words not kept that empties a full store of words.
-WORDS, PARTS, MISSES = 500_000, 250_000, 0.7
+WORDS, PARTS, MISSES = 400_000, 200_000, 0.7
 #: Bytes of a row group of the written pieces: a writer holds one in memory.
 ROW_GROUP_BYTES = 16 << 20
 #: How the word-end vocabulary cleans and cuts a text. All white space goes, so words encode independently.
@@ -163,7 +163,7 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece (from 0), start, length, part, nth and ids of each piece of each document, written to the shared folder."""
+    """doc_id, piece (from 0), start, length, part, nth and ids (little-endian 32-bit integers) of each piece of each document, written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
         encoder = _encoder(vocab_path)
         for batch in batches:
             ids, counts = encoder.encode(batch.column(1))
-            values = np.full(len(ids) + len(counts), end_id, np.int32)
+            values = np.full(len(ids) + len(counts), end_id, "<i4")
             values[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
             counts = counts + 1
             pieces = -(-counts // limit)
@@ -185,8 +185,9 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
             nth = np.empty(len(doc), np.int64)
             nth[order] = np.arange(len(doc)) - first + seen[length[order]]
             seen += np.bincount(length, minlength=limit + 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(values))
-            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * limit, pa.int64()), pa.array(length, pa.int32()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), lists]
+            offsets = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * limit, pa.int64()), pa.array(length, pa.int32()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), packed]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "part", "nth", "ids"])
         release_memory()
 
@@ -194,15 +195,14 @@ def write_pieces(docs: DataFrame, vocab_path: str, end_id: int, limit: int = 409
 
 
 def id_checksums(pieces: DataFrame, ids_col: str = "ids", out_col: str = "ids_crc32") -> DataFrame:
-    """ids_col replaced by the unsigned CRC-32 of its ids as little-endian unsigned 32-bit integers."""
+    """ids_col replaced by the unsigned CRC-32 of its bytes."""
     at = pieces.columns.index(ids_col)
     schema = T.StructType([*(f for f in pieces.schema.fields if f.name != ids_col), T.StructField(out_col, T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
-            data, offs = memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<i4")).cast("B"), lists.offsets.to_numpy().tolist()
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            crc = [zlib.crc32(x) for x in byte_rows(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(crc, pa.int64())], names=schema.names)
 
     return pieces.mapInArrow(run, schema)
@@ -392,6 +392,7 @@ def place(pieces: DataFrame, limit: int = 4096, sequence_col: str = "sequence_id
     at, n_at = numbered.columns.index(base), numbered.columns.index("length")
     schema = T.StructType([*(pieces.schema[c] for c in kept_columns), T.StructField(sequence_col, T.LongType()), T.StructField(offset_col, T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = held.value.where(batch.column(n_at).to_numpy(), batch.column(at).to_numpy())
@@ -414,6 +415,7 @@ def _placed_by_join(numbered: DataFrame, packing: Packing, base: str, sequence_c
 
 
 def assemble(placed: DataFrame, ids_col: str = "ids", sequence_col: str = "sequence_id", offset_col: str = "offset") -> DataFrame:
-    """sequence_id, ids of each whole sequence, and lengths of its pieces in order; a sequence is one group of a few pieces."""
+    """sequence_id, ids of each whole sequence, packed as those of pieces, and lengths of its pieces in order; a sequence is one group of a few pieces."""
     rows = placed.groupBy(sequence_col).agg(F.array_sort(F.collect_list(F.struct(F.col(offset_col).alias("at"), F.col(ids_col).alias("ids")))).alias("pieces"))
-    return rows.select(sequence_col, F.flatten("pieces.ids").alias("ids"), F.transform("pieces.ids", lambda x: F.size(x)).alias("lengths"))
+    whole = F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return rows.select(sequence_col, whole.alias("ids"), F.transform("pieces", lambda x: (F.octet_length(x["ids"]) / 4).cast("int")).alias("lengths"))

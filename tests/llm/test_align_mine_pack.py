@@ -205,10 +205,10 @@ def test_pieces_of_odd_rows_and_whole_sequences(spark, monkeypatch):
     check_packing([(r["length"], r["sequence_id"], r["offset"]) for r in rows], 32)
     library = Tokenizer.from_file(WORDS)
     whole = Counter(tuple([*library.encode(t or "", add_special_tokens=False).ids, 1]) for t in [*texts, "one two"])
-    assert sum(len(r["ids"]) for r in rows) == sum(len(t) * n for t, n in whole.items()) and all(r["length"] == len(r["ids"]) and r["start"] == 32 * r["piece"] for r in rows)
+    assert sum(len(r["ids"]) // 4 for r in rows) == sum(len(t) * n for t, n in whole.items()) and all(4 * r["length"] == len(r["ids"]) and r["start"] == 32 * r["piece"] for r in rows)
     sequences = {r["sequence_id"]: r for r in packing.assemble(placed).collect()}
     for r in rows:
-        assert sequences[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+        assert sequences[r["sequence_id"]]["ids"][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == r["ids"]
     monkeypatch.setattr(packing, "SENT_RULES", 0)
     again = packing.place(pieces, limit=32).select("doc_id", "piece", "length", "sequence_id", "offset").collect()
     assert sorted(map(str, map(tuple, again))) == sorted(str((r["doc_id"], r["piece"], r["length"], r["sequence_id"], r["offset"])) for r in rows)

@@ -9,7 +9,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.text import BLANK, col, collapse, strip
+from gazette.functions.html_tree import title_and_snippet
+from gazette.functions.text import BLANK, col, collapse, once, strip
 from gazette.functions.urls import part
 
 STRONG = ("가정통신문", "가정통신", "학부모통신문", "학교통신문")
@@ -124,11 +125,24 @@ def error_class(c: Column | str) -> Column:
     return first_rule([(name, names_any(F.lower(col(c)), terms)) for name, terms in ERRORS], "internal_error")
 
 
+# What a page of a log-in alone says, and what a board that anyone may read shows beside it.
+LOGIN_ONLY, DATED = "로그인후이용", r"\b20[0-9]{2}[.\-/][0-9]{1,2}[.\-/][0-9]{1,2}\b"
+OPEN_BOARD = ("게시판목록", "총", "작성일", "조회수", "등록일", "첨부파일", "selectboardlistajax", "fnview", "selectnttinfo", "boardcnts/view")
+LOOKED_AT, LOGIN_LOOKED_AT = 500, 2_000
+
+
 def access_failure(url: Column | str, status: Column | str, html: Column | str) -> Column:
-    """Why a page may not be read, or null."""
+    """Why a page may not be read, or null. Cues count in the URL, the title and the start of the text; what stands further below bars nothing."""
     u, h = F.lower(col(url)), F.lower(col(html))
-    t = F.concat_ws(" ", u, h)
-    barred = u.contains("mode=login") | (h.contains("loginpost.php") & h.contains("fm_xb_login")) | t.contains("authreaderror") | names_any(t, ("게시판 접근 권한", "권한이 없습니다", "로그인이 필요", "비공개 설정된 글", "authorization required"))
+
+    def barred(head: Column) -> Column:
+        seen = F.lower(F.concat_ws(" ", u, head["title"], F.substring(head["snippet"], 1, LOOKED_AT)))
+        compact = F.lower(F.regexp_replace(head["snippet"], BLANK + "+", ""))
+        alone = compact.contains(LOGIN_ONLY) & ~head["snippet"].rlike(DATED) & ~names_any(compact, OPEN_BOARD)
+        cues = seen.contains("authreaderror") | names_any(seen, ("게시판 접근 권한", "권한이 없습니다", "로그인이 필요", "비공개 설정된 글", "authorization required"))
+        return F.coalesce(u.contains("mode=login") | (h.contains("loginpost.php") & h.contains("fm_xb_login")) | cues | alone, F.lit(False))
+
+    barred = once(title_and_snippet(html, LOGIN_LOOKED_AT), barred)
     return first_rule([("unsupported_forbidden", col(status).isin(401, 403)), ("unsupported_external_dynamic", F.lower(part(url, 2)).contains("schoolbell-e.com")), ("unsupported_login_required", barred)])
 
 
@@ -182,3 +196,15 @@ def in_app_client(c: Column | str) -> Column:
     rules = [(name, names_any(ua, terms)) for name, terms, _ in CLIENTS]
     name = first_rule(rules)
     return F.struct(name.alias("name"), F.coalesce(name.isin(*[n for n, _, opens in CLIENTS if opens]), F.lit(False)).alias("opens"))
+
+
+# What shows that a page has attachments, what one mark is worth, and how many characters count at most.
+ATTACHMENT_MARKS = ("serverFileObj", "serverFileObjArray", "DEXT5UPLOAD.AddUploadedFile", "atchFileId", "fileSn", "fn_egov_downFile", "downFile.do", "파일첨부", "다운로드")
+MARK_WORTH, PLAIN_MOST = 500, 5_000
+
+
+def richness(html: Column | str, content_type: Column | str) -> Column:
+    """How much an answer holds, by marks of attachments and by text; 0 for what is not HTML, null for null."""
+    page, kind = col(html), F.lower(F.coalesce(col(content_type), F.lit("")))
+    marks = sum((F.floor((F.char_length(page) - F.char_length(F.replace(page, F.lit(m), F.lit("")))) / len(m)) for m in ATTACHMENT_MARKS), F.lit(0))
+    return F.when(page.isNull(), None).when(kind.contains("text/html"), marks * MARK_WORTH + F.least(F.char_length(strip(F.regexp_replace(page, "<[^>]+>", " "))), F.lit(PLAIN_MOST))).otherwise(0).cast("long")

@@ -137,7 +137,7 @@ def sound_links(c: Column | str) -> Column:
         starts = F.lit(False)
         for head in ("http://", "https://", "mailto:", "tel:", "www.", "/", "#"):
             starts = starts | url.startswith(head)
-        bad = url.rlike(r"[\s가-힣ㄱ-ㆎ]") | (F.translate(url, BAD_IN_LINK, "") != url) | (F.char_length(url) > 2000)
+        bad = url.rlike(r"[\s가-힣㄰-㆏]") | (F.translate(url, BAD_IN_LINK, "") != url) | (F.char_length(url) > 2000)
         sound = starts & ~bad & ~label.contains("\n") & ~label.contains("[")
         clean = strip(F.regexp_replace(F.regexp_replace(label, r"\s+", " "), r"\s*#{1,6}\s*", " "))
         return F.when(sound, link).when(clean != "", clean).otherwise(url)

@@ -75,6 +75,19 @@ def repaired_json(c: Column | str) -> Column:
     return F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)\\(?!u[0-9a-fA-F]{4}|[\"\\/bfnrt])", r"$1\\\\")
 
 
+def _parsed(text: Column, control_characters: bool) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, or null: as the only element of an array."""
+    array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "variant", {"allowUnquotedControlChars": str(control_characters).lower()})
+    return F.when(F.try_variant_get(array, "$[1]", "variant").isNull(), F.try_variant_get(array, "$[0]", "variant"))
+
+
+def answer_object(c: Column | str) -> Column:
+    """The object of a model's answer as compact JSON, keys by name: the answer as it is, else what its outer braces hold, else that with lone backslashes doubled. Null where that is no object."""
+    inner = F.nullif(F.regexp_extract(col(c), r"(?s)\{.*\}", 0), F.lit(""))
+    found = F.coalesce(_parsed(col(c), False), _parsed(inner, True), _parsed(repaired_json(c), True))
+    return F.when(F.schema_of_variant(found).startswith("OBJECT"), F.to_json(found))
+
+
 def corpus_tags(c: Column | str) -> Column:
     """kind, length, facts, tone, time and sensitivity of a text for a corpus."""
     t, n = col(c), F.char_length(col(c))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -16,15 +17,16 @@ WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x16
 HANGUL = "[가-힣]"
 KEPT = "[0-9A-Za-z가-힣]+"
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
-DATE = rf"(?:20[0-9]{{2}}[./\-년]{BLANK}*[0-9]{{1,2}}[./\-월]{BLANK}*[0-9]{{1,2}}|(?:[0-9]{{1,2}}[./][0-9]{{1,2}}))"
+DATE = rf"(?:20[0-9]{{2}}[.\-/년]{BLANK}*[0-9]{{1,2}}[.\-/월]{BLANK}*[0-9]{{1,2}}|(?:[0-9]{{1,2}}[./][0-9]{{1,2}}))"
 PHONE = r"(?:0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}|1[0-9]{2}|117)"
 MONEY = rf"[0-9][0-9,]*{BLANK}*원"
 ACTION = "제출|신청|동의|납부|참여|작성|회신|응답|지참"
 DOMAIN = "가정통신문|안내|학부모|학생"
 SPACE = BLANK + "+"
-NUMBER = "[0-9]{1,3}(?:[,. ][0-9]{3})+|[0-9]+"
-FOREIGN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹๐๑๒๓๔๕๖๗๘๙"
-ASCII_DIGITS = "012345678901234567890123456789"
+NUMBER = "[0-9]{1,3}(?:[,.\u00a0 ][0-9]{3})+|[0-9]+"
+#: Every digit of every script, superscripts and the like included, and the ASCII digit of its value.
+FOREIGN_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isdigit())
+ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in FOREIGN_DIGITS)
 
 
 def col(c: Column | str) -> Column:

@@ -28,11 +28,15 @@ def post_id(c: Column | str, keys: tuple[str, ...] = ("post", "id", "page")) ->
 
 
 def variants(c: Column | str) -> Column:
-    """The URL and its root with either scheme, with and without www; first seen first."""
-    bare, path = F.regexp_replace(F.lower(part(c, 2)), r"^www\.", ""), F.concat(part(c, 3), part(c, 4))
-    hosts = [F.lower(part(c, 2)), F.when(F.lower(part(c, 2)).startswith("www."), bare).otherwise(F.concat(F.lit("www."), bare))]
-    urls = [F.concat(F.lit(f"{s}://"), h, p) for s in ("https", "http") for h in hosts for p in (path, F.lit("/"))]
-    return F.array_distinct(F.array(*urls))
+    """The URL with its own scheme, then the other of http and https; each with its own authority, then with www. added or taken off; each followed by its root if the path is not empty. Each once; what is no URL stays."""
+    u = col(c)
+    scheme, host = F.lower(part(u, 1)), part(u, 2)
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1), "#$", ""), r"\?(?=#|$)", "")
+    other = F.when(scheme == "https", "http").when(scheme == "http", "https")
+    turned = F.when(host.startswith("www."), F.regexp_replace(host, r"^www\.", "")).otherwise(F.concat(F.lit("www."), host))
+    deep = ~part(u, 3).isin("", "/")
+    made = [F.when(ok, F.concat(s, F.lit("://"), h, end)) for s in (scheme, other) for h in (host, turned) for end, ok in ((rest, F.lit(True)), (F.lit("/"), deep))]
+    return F.when((scheme == "") | (host == ""), F.array(u)).otherwise(F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull())))
 
 
 # Addresses that are private, of the machine or the link, shared, for documentation, for many, or reserved.

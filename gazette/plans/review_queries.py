@@ -43,6 +43,19 @@ def c59_c66_c82_c2_c50(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Read alike by Spark and DuckDB: turns as models answer, whole, fenced, with a lone backslash, as a list, cut off, and without braces.
+_MODEL = """case conv_id % 7 when 0 then '{"said": "' || replace(replace(replace(text, chr(92), ''), chr(34), ''), chr(10), ' ') || '", "turn": ' || turn || '}' when 1 then '```json' || chr(10) || '{"turn": ' || turn || '}' || chr(10) || '```'
+  when 2 then 'Here: {"said": "' || chr(92) || 'm ' || replace(replace(replace(substr(text, 1, 40), chr(92), ''), chr(34), ''), chr(10), ' ') || '"} ok' when 3 then '[{"a": ' || turn || '}, {"b": 2}]' when 4 then '{"a": ' || turn || ', "b": [1' when 5 then '{"a": 1} and {"b": ' || turn || '}' else text end"""
+
+
+def c59_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The object of each turn, read as a model's answer."""
+    return table(spark, d, "conversations").select("conv_id", "turn", review.answer_object(F.expr(_MODEL)).alias("object")).where("object is not null")
+
+
+_C59_ANSWERS = f"""with m as (select conv_id, turn, {_MODEL} as said from conversations), i as (select *, nullif(regexp_extract(said, '(?s)[{{].*[}}]', 0), '') as inner_ from m),
+  p as (select conv_id, turn, case when json_valid(said) then said when json_valid(inner_) then inner_ else replace(inner_, chr(92) || 'm', chr(92) || chr(92) || 'm') end as j from i) select conv_id, turn, json(j)::varchar as object from p where json_valid(j) and json_type(j) = 'OBJECT'"""
+
 _C59 = f"""select id, case id % 4 when 0 then '{{"a": "x' || chr(92) || chr(92) || 'm' || id || '"}}' when 1 then said when 3 then said end as json, case id % 3 when 0 then '안내-field-trip-' || id when 1 then 'notice-' || id else substr(title, 1, 32) end as slug,
   substr('Traceback line ' || id || repeat(' x', 500), 1, 800) as error, case id % 5 when 0 then 'meal-menu/short/meal-heavy/routine/no-deadline/neutral' when 1 then 'general-notice/short/date-and-fee-heavy/routine/absolute-dates/neutral' when 2 then 'event-consent-form/short/action-heavy/urgent/no-deadline/neutral' when 3 then 'meal-menu/short/meal-heavy/urgent/no-deadline/critical-allergen' else 'general-notice/medium/low/routine/no-deadline/neutral' end as tags,
   '제목 ' || id || chr(10) || '본문 끝' as clean, case id % 3 when 0 then '앞' || chr(10) || '일시' || chr(10) || '5월 ' || id || chr(10) || chr(10) || '뒤' when 1 then table_ else '하나' || chr(10) end as tables from ({made({k: v.replace("{{", "{").replace("}}", "}") for k, v in _ANSWERS.items()})})"""
@@ -123,6 +136,6 @@ _F12 = f"select {K} as id, case {K} % 3 when 0 then 'notice_id=' || {K} || '&tar
 
 
 QUERIES: dict[str, Query] = {
-    "v13_v14_v15_values": (v13_v14_v15_values, _V13), "c2_c50_c59_c66_c82_texts": (c59_c66_c82_c2_c50, _C59), "v20_budgets": (v20_budgets, _V20), "s16_archives": (s16_archives, _S16), "d8_attachments": (d8_attachments, _D8), "s9_pages": (s9_pages, _S9), "v23_arms": (v23_arms, _V23),
+    "c59_answers": (c59_answers, _C59_ANSWERS), "v13_v14_v15_values": (v13_v14_v15_values, _V13), "c2_c50_c59_c66_c82_texts": (c59_c66_c82_c2_c50, _C59), "v20_budgets": (v20_budgets, _V20), "s16_archives": (s16_archives, _S16), "d8_attachments": (d8_attachments, _D8), "s9_pages": (s9_pages, _S9), "v23_arms": (v23_arms, _V23),
     "k5_calendar_order": (k5_calendar_order, _K5), "f12_f14_visible": (f12_f14_visible, _F12),
 }

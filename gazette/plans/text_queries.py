@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import checks, text as X, urls
+from gazette.functions import checks, links, text as X, urls
 from gazette.functions.notices import too_long
 from gazette.operators import dedup
 from gazette.plans.base import Query, spread, table
@@ -80,8 +82,12 @@ def c2_clean_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(kept).cast("long").alias("n_lines"), F.sha2(F.array_join(kept, "\n").cast("binary"), 256).alias("sha"))
 
 
+# Read alike by Spark and DuckDB: each text is followed by its length in thousands, grouped by a separator of several kinds, in digits of several scripts.
+_GROUPED = "text || case doc_id % 7 when 0 then '' else ' ' || translate(cast(length(text) as varchar(9)) || case doc_id % 5 when 0 then ',' when 1 then '.' when 2 then chr(160) when 3 then ' ' else chr(39) end || '000', '0123456789', case doc_id % 4 when 0 then '०१२३४५६७८९' when 1 then '０１２３４５６７８９' when 2 then '٠١٢٣٤٥٦٧٨٩' else '0123456789' end) end"
+
+
 def c58_numbers(spark: SparkSession, d: str) -> DataFrame:
-    found = X.significant_numbers("text")
+    found = X.significant_numbers(F.expr(_GROUPED))
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(found), ",").alias("numbers")).where("numbers <> ''")
 
 
@@ -125,7 +131,7 @@ def v7_output_checks(spark: SparkSession, d: str) -> DataFrame:
     """Answers held against questions, with headings, lists, numbers, repeats and blanks added to some of either."""
     pairs = _pairs(spark, d).where("asked is not null and said is not null")
     asked = F.expr("asked || case conv_id % 4 when 0 then '\n# a\n## b\n- x\n1. y\n' when 1 then '\n회비 12,000 2024.5.14 0007' else repeat(' word', 50) end")
-    said = F.expr("case conv_id % 5 when 0 then ' ' when 1 then said || '\n# a\n- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again\n', 3) else said || ' 12 000' end")
+    said = F.expr("case conv_id % 5 when 0 then ' ' when 1 then said || '\n# a\n- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again\n', 3) else said || ' 12' || chr(160) || '000' end")
     issues = checks.output_issues(asked, said)
     return pairs.select("conv_id", "turn", issues.alias("i")).select("conv_id", "turn", F.array_join("i", ",").alias("issues"), checks.verdict(F.col("i")).alias("verdict"))
 
@@ -161,8 +167,12 @@ def c14_post_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.post_id("url").alias("post_id"))
 
 
+# Read alike by Spark and DuckDB: whole, without its path, with a fragment and a capital in the authority, and by a scheme that has no other.
+_KINDS = "case page_id % 5 when 0 then url when 1 then split_part(url, '/', 1) || '//' || split_part(url, '/', 3) when 2 then replace(split_part(url, '#', 1), '://', '://WWW.') || '#top' when 3 then split_part(url, '/', 3) else 'ftp://' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4) end"
+
+
 def c67_url_variants(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.posexplode(urls.variants("url")).alias("pos", "variant")).select("page_id", F.col("pos").cast("long").alias("pos"), "variant")
+    return table(spark, d, "pages").select("page_id", F.posexplode(urls.variants(F.expr(_KINDS))).alias("pos", "variant")).select("page_id", F.col("pos").cast("long").alias("pos"), "variant")
 
 
 _FILES = {
@@ -201,9 +211,13 @@ def c5_links(spark: SparkSession, d: str) -> DataFrame:
     return links.groupBy("host", "target").agg(F.count(F.lit(1)).alias("pages"))
 
 
+# Read alike by Spark and DuckDB: marks of attachments in some of the pages, and what the answers say that they are.
+_MARKED = "html || case page_id % 5 when 0 then repeat('<a onclick=serverFileObjArray[0]>다운로드</a>', cast(page_id % 4 as int)) when 1 then '<p>파일첨부 atchFileId=1&fileSn=2 downFile.do' when 2 then 'DEXT5UPLOAD.AddUploadedFile(fn_egov_downFile)<>' else '' end"
+_SAID = "case page_id % 6 when 0 then 'application/pdf' when 1 then 'TEXT/HTML' when 2 then null else 'text/html; charset=utf-8' end"
+
+
 def c73_richness(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.char_length(F.regexp_replace("html", "<[^>]*>", ""))
-    return table(spark, d, "pages").select("page_id", (F.regexp_count("html", F.lit("<article|<table")) * 500 + F.least(plain, F.lit(5000))).cast("long").alias("richness"))
+    return table(spark, d, "pages").select("page_id", links.richness(F.expr(_MARKED), F.expr(_SAID)).alias("richness"))
 
 
 def a13_toxic_share(spark: SparkSession, d: str) -> DataFrame:
@@ -212,11 +226,12 @@ def a13_toxic_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PART = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_DIGITS = f"list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(translate(text, '{X.FOREIGN_DIGITS}', '{X.ASCII_DIGITS}'), '{X.NUMBER}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 4), lambda x: case when regexp_matches(x, '^0+$') then '0' else regexp_replace(x, '^0+', '') end))"
 _FRAG = r"""(with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')), lambda x: x <> '') as s from documents where text is not null)
   select doc_id, case when len(s) = 0 then 0.0::double else len(list_filter(s, lambda x: length(x) < 12 and not regexp_matches(x, '^[#\-|*※☎○•□>]') and not regexp_matches(x, '[.!?:)）」』\]]$')))::double / len(s)::double end as ratio from l)"""
 
-_NUMBERS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(translate({0}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹๐๑๒๓๔๕๖๗๘๙', '012345678901234567890123456789'), '[0-9]{{1,3}}(?:[,. ][0-9]{{3}})+|[0-9]+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 4), lambda x: case when regexp_matches(x, '^0+$') then '0' else regexp_replace(x, '^0+', '') end))"""
+# Digits by their value in the Unicode table, which the engine of the SQL does not know beyond their class.
+_ANY_DIGIT = [chr(c) for c in range(128, 0x110000) if unicodedata.digit(chr(c), None) is not None]
+_NUMBERS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(translate({0}, 'FROM', 'TO'), '[0-9]{{1,3}}(?:[,. \x{{A0}}][0-9]{{3}})+|[0-9]+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 4), lambda x: case when regexp_matches(x, '^0+$') then '0' else regexp_replace(x, '^0+', '') end))""".replace("FROM", "".join(_ANY_DIGIT)).replace("TO", "".join(str(unicodedata.digit(c)) for c in _ANY_DIGIT))
 
 QUERIES: dict[str, Query] = {
     "flagship_best_document": (best_document_per_source, f"select source, doc_id, lang, score from ({_score_sql(LATIN)}) where not (length(t) < 20 or (letters < 10 and length(t) < 200) or score < 12) qualify row_number() over (partition by source order by score desc, doc_id) = 1"),
@@ -236,7 +251,7 @@ QUERIES: dict[str, Query] = {
     "d9_exact_texts": (d9_exact_texts, "select sha256(text) as sha, min(doc_id) as doc_id, count(*) as copies from documents where length(text) >= 200 group by 1"),
     "c1_collapse": (c1_collapse, r"select doc_id, sha256(c) as sha, length(c) as n from (select doc_id, trim(regexp_replace(text, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') as c from documents where text is not null)"),
     "c2_clean_lines": (c2_clean_lines, r"select doc_id, len(k) as n_lines, sha256(array_to_string(k, chr(10))) as sha from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> '') as k from documents where text is not null)"),
-    "c58_numbers": (c58_numbers, f"select doc_id, array_to_string(list_sort({_DIGITS}), ',') as numbers from documents where text is not null and len({_DIGITS}) > 0"),
+    "c58_numbers": (c58_numbers, f"select doc_id, array_to_string(list_sort(n), ',') as numbers from (select doc_id, {_NUMBERS.format(_GROUPED)} as n from documents where text is not null) where len(n) > 0"),
     "c63_bucket": (c63_bucket, "select c_custkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(c_name, ''), lambda x: ascii(x)::bigint)), lambda h, x: (h * 31 + x) % 4294967296) as bucket from customer"),
     "c65_redact": (c65_redact, r"select page_id, substr(regexp_replace(regexp_replace(url || '&key=abc123', '(key|token|authorization)=[^&\s]+', '\1=***', 'gi'), 'bearer [A-Za-z0-9._\-]+', 'bearer ***', 'gi'), 1, 400) as safe from pages"),
     "c66_corpus_tags": (c66_corpus_tags, "select doc_id, case when length(text) < 600 then 'short' when length(text) < 1600 then 'medium' else 'long' end as length_tag, case when n >= 10 then 'dense' when n >= 3 then 'some' else 'sparse' end as fact_tag from (select doc_id, text, len(regexp_extract_all(text, '[0-9]+')) as n from documents where text is not null)"),
@@ -244,7 +259,7 @@ QUERIES: dict[str, Query] = {
     "v4_invented_numbers": (v4_invented_numbers, f"select conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(said, '[0-9]+')), lambda x: not list_contains(regexp_extract_all(asked, '[0-9]+'), x))), ',') as invented from ({_PAIRS_SQL})"),
     "v7_output_checks": (v7_output_checks, rf"""with p as ({_PAIRS_SQL}),
       t as (select conv_id, turn, asked || case conv_id % 4 when 0 then chr(10) || '# a' || chr(10) || '## b' || chr(10) || '- x' || chr(10) || '1. y' || chr(10) when 1 then chr(10) || '회비 12,000 2024.5.14 0007' else repeat(' word', 50) end as s,
-        case conv_id % 5 when 0 then ' ' when 1 then said || chr(10) || '# a' || chr(10) || '- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again' || chr(10), 3) else said || ' 12 000' end as o from p where asked is not null and said is not null),
+        case conv_id % 5 when 0 then ' ' when 1 then said || chr(10) || '# a' || chr(10) || '- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again' || chr(10), 3) else said || ' 12' || chr(160) || '000' end as o from p where asked is not null and said is not null),
       m as (select *, length(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as n, length(regexp_replace(o, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as m, len(regexp_extract_all(s, '(?m)^[ \t]{{0,3}}#{{1,6}}[ \t]+[^ \t\n]')) as hs, len(regexp_extract_all(o, '(?m)^[ \t]{{0,3}}#{{1,6}}[ \t]+[^ \t\n]')) as ho,
         len(regexp_extract_all(s, '(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+[^ \t\n]')) as ls, len(regexp_extract_all(o, '(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+[^ \t\n]')) as lo, SIG_S as ns, SIG_O as no,
         list_filter(list_transform(string_split(o, chr(10)), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: length(x) >= 20) as long from t),
@@ -258,10 +273,10 @@ QUERIES: dict[str, Query] = {
     "a16_repeated_lines": (a16_repeated_lines, "with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line from documents) select doc_id, count(*) as repeated, max(n) as most from (select doc_id, line, count(*) as n from l where length(line) >= 20 group by all having count(*) >= 3) group by doc_id"),
     "c9_canonical_urls": (c9_canonical_urls, rf"select page_id, regexp_replace(lower(regexp_extract(url, '{_PART}', 1)) || '://' || lower(regexp_extract(url, '{_PART}', 2)) || regexp_extract(url, '{_PART}', 3) || regexp_extract(url, '{_PART}', 4), '[/.,;]+$', '') as canonical from pages"),
     "c14_post_ids": (c14_post_ids, rf"select page_id, coalesce(nullif(regexp_extract(url, '[?&]post=([0-9]+)', 1), ''), nullif(regexp_extract(url, '[?&]id=([0-9]+)', 1), ''), nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), nullif(regexp_extract(p, '/view/([0-9]+)', 1), ''), nullif(regexp_extract(p, '([0-9]+)/?$', 1), '')) as post_id from (select page_id, url, regexp_extract(url, '{_PART}', 3) as p from pages)"),
-    "c67_url_variants": (c67_url_variants, rf"""with u as (select page_id, lower(regexp_extract(url, '{_PART}', 2)) as h, regexp_extract(url, '{_PART}', 3) || regexp_extract(url, '{_PART}', 4) as p from pages),
-      v as (select page_id, h, p, case when starts_with(h, 'www.') then regexp_replace(h, '^www\.', '') else 'www.' || h end as o from u),
-      a as (select page_id, ['https://' || h || p, 'https://' || h || '/', 'https://' || o || p, 'https://' || o || '/', 'http://' || h || p, 'http://' || h || '/', 'http://' || o || p, 'http://' || o || '/'] as l from v),
-      e as (select page_id, unnest(l) as variant, generate_subscripts(l, 1) as i from a), f as (select page_id, variant, min(i) as i from e group by all)
+    "c67_url_variants": (c67_url_variants, rf"""with u as (select page_id, {_KINDS} as url from pages), w as (select *, split_part(url, '://', 1) as s, split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) as h from u where contains(url, '://')), x as (select *, substr(url, length(s) + length(h) + 4) as p from w),
+      y as (select *, case s when 'https' then 'http' when 'http' then 'https' end as t, case when h[1:4] = 'www.' then h[5:] else 'www.' || h end as o, not starts_with(p, '/') or regexp_matches(p, '^/(?:[?#]|$)') as flat from x),
+      l as (select page_id, [s || '://' || h || p, case when not flat then s || '://' || h || '/' end, s || '://' || o || p, case when not flat then s || '://' || o || '/' end, t || '://' || h || p, case when not flat then t || '://' || h || '/' end, t || '://' || o || p, case when not flat then t || '://' || o || '/' end] as l from y union all select page_id, [url] from u where not contains(url, '://')),
+      e as (select page_id, unnest(l) as variant, generate_subscripts(l, 1) as i from l), f as (select page_id, variant, min(i) as i from e where variant is not null group by all)
       select page_id, row_number() over (partition by page_id order by i) - 1 as pos, variant from f"""),
     "s10_file_kinds": (s10_file_kinds, "select page_id, case when page_id % 9 = 0 or page_id % 5 = 2 then 'pdf' when page_id % 7 = 1 or page_id % 5 = 1 then 'image' when page_id % 9 = 2 then 'hwpx' when page_id % 7 = 0 then 'hwp' when page_id % 7 = 2 or page_id % 9 = 1 then 'xlsx' when page_id % 5 = 0 or page_id % 7 = 3 then 'html' else 'unknown' end as kind from pages"),
     "s17_public_hosts": (s17_public_hosts, "select page_id, page_id % 11 <> 0 and page_id % 24 in (5, 8, 14, 17, 19, 21) as public from pages"),
@@ -270,6 +285,7 @@ QUERIES: dict[str, Query] = {
       p as (select *, regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') as dir from u),
       l as (select page_id, host, head || t as target from (select *, unnest(regexp_extract_all(coalesce(html, ''), '<a href="(/[^"#]*)"', 1)) as t from p) union all select page_id, host, head || regexp_replace(dir, '[^/]+/$', '') || 'up?q=1' from p union all select page_id, host, head || dir || 'sub/page' from p union all select page_id, host, head || path || '?p=2' from p)
       select host, target, count(distinct page_id) as pages from l group by all"""),
-    "c73_richness": (c73_richness, "select page_id, len(regexp_extract_all(html, '<article|<table')) * 500 + least(length(regexp_replace(html, '<[^>]*>', '', 'g')), 5000) as richness from pages"),
+    "c73_richness": (c73_richness, rf"""select page_id, case when contains(coalesce(lower(t), ''), 'text/html') then (len(regexp_extract_all(h, 'serverFileObj|DEXT5UPLOAD\.AddUploadedFile|atchFileId|fileSn|fn_egov_downFile|downFile\.do|파일첨부|다운로드')) + len(regexp_extract_all(h, 'serverFileObjArray'))) * 500
+      + least(length(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')), 5000) else 0 end as richness from (select page_id, {_MARKED} as h, {_SAID} as t from pages)"""),
     "a13_toxic_share": (a13_toxic_share, "select source, floor((count(*) filter (where toxic = 1))::double / count(*)::double * 100.0::double * 10.0::double + 0.5::double) / 10.0::double as toxic_percent, count(*) as n from labels join documents using (doc_id) group by source"),
 }

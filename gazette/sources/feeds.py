@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gazette.functions.links import feed_link
+from gazette.functions.text import blank_to_null, col, first_non_blank, once
 
 _ITEM = "title string, link string, guid string, pubDate string, description string"
 RSS = f"channel struct<title: string, item: array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split() for x in _ITEM.split(', ')))}>>>"
@@ -20,6 +24,50 @@ def rss_items(df: DataFrame, body: str) -> DataFrame:
     return parsed.select(*kept, F.inline("_x.channel.item"))
 
 
+#: An item of an RSS 2.0 feed with its attachments, and the text of an item that is no XML.
+POST = "title string, link string, guid string, pubDate string, description string, file array<struct<fileNm: string, dwldUrl: string>>"
+BROKEN = "_corrupt_record"
+
+
+def _filled(value: Column) -> Column:
+    return once(value, lambda v: F.when(v != "", v))
+
+
+def posts(items: DataFrame, feed: Column | str) -> DataFrame:
+    """Items (columns of POST, others pass) as posts: title, link, guid, published_at, body_html and attachments (name, url), blanks as null.
+
+    A link is that of the item, else its guid, as a whole URL of the feed's host; items without a title or such a
+    link, and attachments without a name or a URL of that host, are left out.
+    """
+    feed = col(feed)
+    other = [c for c in items.columns if c not in ("title", "link", "guid", "pubDate", "description", "file")]
+    files = F.transform(F.coalesce("file", F.array().cast("array<struct<fileNm: string, dwldUrl: string>>")), lambda f: F.struct(blank_to_null(f["fileNm"]).alias("name"), _filled(feed_link(F.coalesce(f["dwldUrl"], F.lit("")), feed)).alias("url")))
+    found = items.withColumn("_link", first_non_blank("link", "guid")).select(
+        *other, blank_to_null("title").alias("title"), _filled(feed_link(F.col("_link"), feed)).alias("link"), blank_to_null("guid").alias("guid"), blank_to_null("pubDate").alias("published_at"),
+        blank_to_null("description").alias("body_html"), F.filter(files, lambda f: f["name"].isNotNull() & f["url"].isNotNull()).alias("attachments"),
+    )
+    return found.where("title is not null and link is not null")
+
+
+def rss_posts(df: DataFrame, body: str, feed: Column | str) -> DataFrame:
+    """Posts of RSS 2.0 bodies, one a row; a body that is no feed has none."""
+    kept = [c for c in df.columns if c != body]
+    parsed = df.withColumns({"_x": F.from_xml(F.col(body), F.lit(f"channel struct<item: array<{T.StructType.fromDDL(POST).simpleString()}>>")), "_feed": col(feed)})
+    return posts(parsed.select(*kept, "_feed", F.inline("_x.channel.item")), "_feed").drop("_feed")
+
+
+def rss_file_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of all feed files of a path, and in BROKEN the text of those that are no XML, which spoil no other item.
+
+    Files are split where items end, so one of any size is read by many tasks.
+    """
+    ends = "</item>"
+    chunks = spark.read.option("lineSep", ends).text(path)
+    item = F.regexp_extract("value", r"(?s)<item(?:\s[^>]*)?>.*$", 0)
+    parsed = F.from_xml(F.concat(item, F.lit(ends)), F.lit(f"{POST}, {BROKEN} string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return chunks.where(item != "").select(parsed.alias("x")).select("x.*")
+
+
 def json_items(df: DataFrame, body: str) -> DataFrame:
     kept = [c for c in df.columns if c != body]
     rows = df.withColumn("_x", F.from_json(F.col(body), JSON_FEED)).select(*kept, F.inline("_x.items"))

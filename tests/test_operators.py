@@ -118,6 +118,29 @@ def test_feeds(spark):
     assert tuple(feeds.json_items(spark.createDataFrame([("f", body)], "feed string, body string"), "body").select("title", "description").first()) == ("x", "d")
 
 
+GYO = "https://school.gyo6.net/gacheon/na/ntt/selectRssFeed.do?mi=119615&bbsId=39051"
+ITEM = "<item><title>2학기 안내</title><link>school.gyo6.net/gacheon/gacheon/na/ntt/selectNttInfo.do?nttSn=777&amp;mi=119615</link><pubDate>Mon, 24 Aug 2026 06:13:47 +0900</pubDate><guid isPermaLink='false'>777</guid><file><fileNm>리플릿.pdf</fileNm><dwldUrl>school.gyo6.net/gacheon/common/nttFileDownload.do?fileKey=e3dead</dwldUrl></file><file><fileNm> </fileNm><dwldUrl>/x</dwldUrl></file><file><fileNm>b</fileNm><dwldUrl>https://evil.example.com/a</dwldUrl></file></item>"
+OTHERS = "<item><title></title><link>school.gyo6.net/x</link></item><item><title>t</title><link>https://evil.example.com/a</link></item><item><title>by guid</title><guid>/g/1</guid></item>"
+
+
+def test_posts_of_a_feed(spark):
+    rss = f"<?xml version='1.0'?><rss version='2.0'><channel><title>가천초</title>{ITEM}{OTHERS}</channel></rss>"
+    df = spark.createDataFrame([(1, GYO, rss), (2, GYO, "<html><body>error</body></html>"), (3, GYO, None)], "n int, feed string, body string")
+    got = feeds.rss_posts(df, "body", "feed").orderBy("title").collect()
+    assert [(r["n"], r["title"], r["link"], r["guid"], r["published_at"], [tuple(a) for a in r["attachments"]]) for r in got] == [
+        (1, "by guid", "https://school.gyo6.net/g/1", "/g/1", None, []),
+        (1, "2학기 안내", "https://school.gyo6.net/gacheon/na/ntt/selectNttInfo.do?nttSn=777&mi=119615", "777", "Mon, 24 Aug 2026 06:13:47 +0900", [("리플릿.pdf", "https://school.gyo6.net/gacheon/common/nttFileDownload.do?fileKey=e3dead")]),
+    ][::-1]
+
+
+def test_feed_files_tell_broken_items(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(f"<rss><channel>{ITEM}<item><title>cut &am</title><link>/x</link></item>\n{OTHERS}</channel></rss>")
+    rows = feeds.rss_file_items(spark, str(tmp_path)).cache()
+    assert rows.count() == 5 and rows.where(F.col(feeds.BROKEN).isNotNull()).count() == 1
+    got = feeds.posts(rows.where(F.col(feeds.BROKEN).isNull()).drop(feeds.BROKEN), F.lit(GYO))
+    assert sorted((r["title"], len(r["attachments"])) for r in got.collect()) == [("2학기 안내", 1), ("by guid", 0)]
+
+
 def test_envelope(spark):
     good = '{"meals":[{"head":[{"RESULT":{"CODE":"INFO-000","MESSAGE":"ok"}}]},{"row":[{"A":"1"}]}]}'
     rows = [(good, "ok", 1), ('{"RESULT":{"CODE":"ERROR-337","MESSAGE":"q"}}', "quota", None), ('{"RESULT":{"CODE":"INFO-200","MESSAGE":"none"}}', "ok", 0), ('{"RESULT":{"CODE":"ERROR-300","MESSAGE":"x"}}', "error", None)]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def composed(c: Column | str) -> Column:
+    """Text in Unicode's form NFC: letters with marks, and Hangul, as one code point each. Texts go to workers in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return run(col(c))
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), the value being computed a single time however often it is used."""
     return F.transform(F.array(value), use)[0]

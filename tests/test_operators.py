@@ -105,6 +105,17 @@ def test_winners_keep_the_kinds_of_those_that_go(spark):
     assert [(r["i"], r["k"]) for r in got] == [(1, ["event", "deadline"]), (3, ["event"]), (5, ["event"]), (6, ["event"])]
 
 
+def test_event_cards(spark):
+    d = datetime.date(2026, 9, 1)
+    events = spark.createDataFrame([(1, "n", "raw", d, None, ["event"], "gym"), (2, "n", "raw", d, d, ["deadline"], "x"), (3, None, "own", d, None, None, None), (4, "gone", "left", d, None, None, "hall")], "id int, notice_id string, title string, event_date date, end_date date, event_kinds array<string>, location string")
+    notices = spark.createDataFrame([("n", "# Notice", None, {"vi": "tóm tắt"})], "id string, title string, summary string, summaries map<string,string>")
+    told = spark.createDataFrame([("n", "vi", "", "phòng", None), ("n", "ko", "제목", None, "글"), (None, "vi", "x", "x", "x"), ("gone", "vi", "Tiêu đề", "", "bản")], "notice_id string, target_language string, translated_title string, translated_location string, translated_text string")
+    got = calendar.event_cards(events, notices, told, "vi", "?").orderBy("id").select("id", "event_kinds", "display_title", "source_title", "location", "pending").collect()
+    assert [tuple(r) for r in got] == [(2, ["deadline", "event"], "tóm tắt", "# Notice", "phòng", True), (3, None, "own", "own", None, False), (4, None, "Tiêu đề", "left", "hall", False)]
+    got = calendar.event_cards(events, notices, told, "ko", "?").orderBy("id").select("display_title", "pending").collect()
+    assert [tuple(r) for r in got] == [("Notice", False), ("own", False), ("left", False)]
+
+
 def test_periods(spark):
     rows = [("ok", 1, 540, 580), ("ok", 2, 590, 630), ("bad", 1, 540, 580), ("bad", 2, 570, 620)]
     assert pairs(calendar.period_errors(spark.createDataFrame(rows, "g string, period int, start_min int, end_min int"), "g")) == [("bad", False), ("ok", True)]

@@ -179,6 +179,19 @@ def quality_gate(c: Column | str, script: str = HANGUL, limit: float = 0.40) ->
     return once(filled, lambda f: once(signals(f), judged))
 
 
+# Fixed value: one cell that comes four times or more in a row.
+REPEATED_CELL = r"(\|[^|\n]*[가-힣A-Za-z0-9]{2,}[^|\n]*)\1{3,}"
+
+
+def gate_signals(c: Column | str, tag: Column | str) -> Column:
+    """What a gate tells besides its reasons: the tag, whether that is a fallback, characters, the share of empty cells in rows of tables, and whether cells repeat. None of them asks for the source file by itself."""
+    t = col(c)
+    rows = F.filter(F.transform(lines(t), strip), lambda x: x.startswith("|") & ~(x.rlike(r"^\|[-|: \t]+\|$") & x.contains("-")))
+    cells = F.flatten(F.transform(rows, lambda x: F.split(F.btrim(x, F.lit("|")), r"\|")))
+    share = lambda z: F.when(F.size(z) == 0, 0.0).otherwise(round_half_up(F.size(F.filter(z, lambda x: strip(x) == "")).cast("double") / F.size(z).cast("double"), 3))
+    return F.struct(col(tag).alias("tag"), (col(tag) == "FALLBACK").alias("fallback"), F.char_length(t).alias("chars"), once(cells, share).alias("table_empty_ratio"), t.rlike(REPEATED_CELL).alias("repeat_junk"))
+
+
 def degenerate(out: Column | str, source: Column | str) -> Column:
     """Runs of 30 spaces, or far longer than the source."""
     n = F.char_length(col(source)).cast("double")

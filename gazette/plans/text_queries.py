@@ -91,6 +91,16 @@ def c58_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(found), ",").alias("numbers")).where("numbers <> ''")
 
 
+# Read alike by Spark and DuckDB: rows of tables after each text, with empty cells, a divider, and one cell four times.
+_TABLED = "text || case doc_id % 5 when 0 then chr(10) || '| time | |' || chr(10) || '|---|---|' || chr(10) || '|same|same|same|same|' when 1 then chr(10) || '  | ' || lang || ' |  | ' || cast(length(text) as varchar(9)) || ' ||' when 2 then chr(10) || '||' || chr(10) || '|' || substr(text, 1, 9) || '|' when 3 then chr(10) || '|same|same|same|' else '' end"
+
+
+def v3_gate_signals(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").where("text is not null"))
+    g = docs.select("doc_id", X.gate_signals(F.expr(_TABLED), F.when(F.col("lang") == "de", "FALLBACK").otherwise("ok")).alias("g"))
+    return g.select("doc_id", "g.fallback", F.col("g.chars").cast("long").alias("chars"), "g.table_empty_ratio", "g.repeat_junk")
+
+
 def c63_bucket(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", X.bucket31("c_name").alias("bucket"))
 
@@ -257,6 +267,9 @@ QUERIES: dict[str, Query] = {
     "c66_corpus_tags": (c66_corpus_tags, "select doc_id, case when length(text) < 600 then 'short' when length(text) < 1600 then 'medium' else 'long' end as length_tag, case when n >= 10 then 'dense' when n >= 3 then 'some' else 'sparse' end as fact_tag from (select doc_id, text, len(regexp_extract_all(text, '[0-9]+')) as n from documents where text is not null)"),
     "c78_titles": (c78_titles, r"select doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[#*\-•> \t]+|[#*\-•> \t\r]+$', '', 'g')), lambda x: x <> '')[1], 1, 120) as title from documents where text is not null"),
     "v4_invented_numbers": (v4_invented_numbers, f"select conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(said, '[0-9]+')), lambda x: not list_contains(regexp_extract_all(asked, '[0-9]+'), x))), ',') as invented from ({_PAIRS_SQL})"),
+    "v3_gate_signals": (v3_gate_signals, f"""with t as (select doc_id, lang, text, {_TABLED} as md from documents where text is not null), r as (select *, list_filter(list_transform(string_split(md, chr(10)), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x[1] = '|' and not (regexp_matches(x, '^[|][-|: \t]+[|]$') and contains(x, '-'))) as rows from t),
+      c as (select *, flatten(list_transform(rows, lambda x: string_split(trim(x, '|'), '|'))) as cells from r)
+      select doc_id, coalesce(lang = 'de', false) as fallback, length(md) as chars, case when len(cells) = 0 then 0.0::double else floor(len(list_filter(cells, lambda x: regexp_replace(x, '{_BLANK}+', '', 'g') = ''))::double / len(cells)::double * 1000.0::double + 0.5::double) / 1000.0::double end as table_empty_ratio, doc_id % 5 = 0 as repeat_junk from c"""),
     "v7_output_checks": (v7_output_checks, rf"""with p as ({_PAIRS_SQL}),
       t as (select conv_id, turn, asked || case conv_id % 4 when 0 then chr(10) || '# a' || chr(10) || '## b' || chr(10) || '- x' || chr(10) || '1. y' || chr(10) when 1 then chr(10) || '회비 12,000 2024.5.14 0007' else repeat(' word', 50) end as s,
         case conv_id % 5 when 0 then ' ' when 1 then said || chr(10) || '# a' || chr(10) || '- x' when 2 then '안내 ' || said when 3 then repeat('this line is said again' || chr(10), 3) else said || ' 12' || chr(160) || '000' end as o from p where asked is not null and said is not null),

@@ -77,6 +77,13 @@ def test_gate(spark):
     assert g["needs_file"] and "flattened" in g["reasons"]
 
 
+def test_gate_signals(spark):
+    g = one(spark, text.gate_signals("t", F.lit("FALLBACK")), t="글\n| a |  |\n|---|---|\n||\n| 자습 | 자습 | 자습 | 자습 |")
+    assert (g["fallback"], g["chars"], g["table_empty_ratio"], g["repeat_junk"]) == (True, 45, 0.286, True)
+    g = one(spark, text.gate_signals("t", F.lit("ok")), t="no table")
+    assert (g["fallback"], g["table_empty_ratio"], g["repeat_junk"]) == (False, 0.0, False)
+
+
 def test_urls(spark):
     assert one(spark, urls.canonical("u"), u="HTTPS://Ex.org/A/?q=1#top") == "https://ex.org/A/?q=1"
     assert one(spark, urls.post_id("u"), u="http://a.b/view/77?x=1") == "77"

@@ -188,6 +188,22 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_nearest_tells_rows_apart_within_tight_clusters(spark):
+    rng = np.random.default_rng(3)
+    n = 12_000
+    x = (rng.standard_normal((12, 64))[rng.integers(0, 12, n)] + 0.02 * rng.standard_normal((n, 64))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nearest.nearest(df, F.col("vec_id") % 100 == 0, k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits, y = 0, x.astype(float)
+    for q in range(0, n, 100):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(n), -s))[:20]) & got[q])
+    assert hits / (20 * len(got)) >= 0.98
+
+
 def test_nearest_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]

@@ -174,11 +174,11 @@ def month_days(c: Column | str) -> Column:
 
 
 def invented_facts(summary: Column | str, source: Column | str) -> Column:
-    """Dates (by month and day) and amounts of money of a summary that its source lacks, sorted."""
+    """Dates (by month and day) and amounts of money of a summary that its source lacks, sorted. An amount is there if a whole number of the source has its digits."""
     days = F.array_except(month_days(summary), month_days(source))
-    digits = F.regexp_replace(col(source), "[^0-9]", "")
+    numbers = F.regexp_extract_all(F.regexp_replace(col(source), "(?<=[0-9]),(?=[0-9])", ""), F.lit("[0-9]+"), F.lit(0))
     money = F.array_distinct(F.regexp_extract_all(col(summary), F.lit(rf"[0-9][0-9,]*{_S}*원"), F.lit(0)))
-    unknown = F.filter(money, lambda m: ~digits.contains(F.regexp_replace(m, "[^0-9]", "")))
+    unknown = once(numbers, lambda known: F.filter(money, lambda m: ~F.array_contains(known, F.regexp_replace(m, "[^0-9]", ""))))
     return F.array_sort(F.concat(days, unknown).cast(_NONE))
 
 

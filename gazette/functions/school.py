@@ -27,6 +27,10 @@ def shifted(periods: Column, minutes: Column) -> Column:
 
 def with_overrides(periods: Column, offset: Column, pause: Column, lunch: Column) -> Column:
     """Periods begun offset later, with other breaks and another lunch where these are not null; lessons keep their length."""
+    return once(periods, lambda p: _overridden(p, offset, pause, lunch))
+
+
+def _overridden(periods: Column, offset: Column, pause: Column, lunch: Column) -> Column:
     at = F.array_position(F.transform(periods, lambda p: p["period"]), LUNCH_AFTER).cast("int")
     lunch_at = F.when((at > 0) & (at < F.size(periods)), at).otherwise(-1)
 
@@ -44,6 +48,10 @@ def with_overrides(periods: Column, offset: Column, pause: Column, lunch: Column
 
 def extended(periods: Column, last: Column) -> Column:
     """Periods up to last: those that the table lacks are as long as its last one, ten minutes apart."""
+    return once(periods, lambda p: _extended(p, last))
+
+
+def _extended(periods: Column, last: Column) -> Column:
     tail = F.element_at(periods, -1)
     long = tail["end_min"] - tail["start_min"]
     more = F.transform(F.sequence(F.lit(1), last - tail["period"]), lambda k: F.struct((tail["period"] + k).alias("period"), (tail["end_min"] + k * EXTRA_GAP + (k - 1) * long).alias("start_min"), (tail["end_min"] + k * (EXTRA_GAP + long)).alias("end_min")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazette.functions.review import is_admin_date, is_foreign, is_forbidden
-from gazette.functions.text import BLANK, blank_to_null, col, strip
+from gazette.functions.text import BLANK, blank_to_null, col, once, strip
 from gazette.functions.urls import resolve
 
 _S = BLANK
@@ -101,7 +101,7 @@ def page_images(html: Column | str, url: Column | str) -> Column:
     found = F.transform(tags, lambda t: F.struct(strip(F.coalesce(F.nullif(attribute(t, "src"), F.lit("")), attribute(t, "data-src"))).alias("src"), strip(attribute(t, "alt")).alias("alt")))
     whole = F.transform(F.filter(found, lambda x: (x["src"] != "") & ~x["src"].startswith("data:")), lambda x: F.struct(resolve(url, x["src"]).alias("url"), x["alt"].alias("alt")))
     fit = F.filter(whole, lambda x: F.lower(x["url"]).rlike(IMAGE) & ~F.lower(x["url"]).rlike(DECORATION))
-    first = F.filter(fit, lambda x, i: ~F.array_contains(F.transform(F.slice(fit, F.lit(1), i), lambda y: y["url"]), x["url"]))
+    first = once(fit, lambda f: F.filter(f, lambda x, i: ~F.array_contains(F.transform(F.slice(f, F.lit(1), i), lambda y: y["url"]), x["url"])))
     ranked = F.array_sort(F.transform(first, lambda x, i: F.struct(F.when(F.concat(x["alt"], F.lit(" "), x["url"]).rlike(HINTS), 0).otherwise(1).alias("r"), i.alias("i"), x["url"].alias("url"), x["alt"].alias("alt"))))
     return F.transform(ranked, lambda x: F.struct(x["url"].alias("url"), x["alt"].alias("alt")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.text import col
+from gazette.functions.text import col, once
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
@@ -72,7 +72,10 @@ def file_kind(content: Column | str, name: Column | str, mime: Column | str) ->
 
 def resolve(base: Column | str, ref: Column | str) -> Column:
     """A link as a whole URL, read from the page at base; without its fragment."""
-    r = F.regexp_replace(F.trim(col(ref)), "#.*$", "")
+    return once(F.regexp_replace(F.trim(col(ref)), "#.*$", ""), lambda r: _resolved(base, r))
+
+
+def _resolved(base: Column | str, r: Column) -> Column:
     path = F.regexp_replace(F.when(part(base, 3) == "", "/").otherwise(part(base, 3)), "[^/]*$", "")
     head = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     query = F.regexp_extract(r, r"\?.*$", 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.text import BLANK, col, lines, once, strip
+from gazette.functions.text import BLANK, col, lines, once, parts, strip
 
 _S = BLANK
 # What is masked, in this order, with the letter of its tokens; tables, lines that begin with a bar, come first.
@@ -46,7 +46,7 @@ def _masked_tables(c: Column) -> Column:
 
 def _masked_kind(m: Column, kind: str, pattern: str) -> Column:
     """The matches of a pattern become tokens, numbered on from the store's size."""
-    found, rest = F.regexp_extract_all(m["text"], F.lit(pattern), F.lit(0)), F.split(m["text"], pattern, -1)
+    found, rest = F.regexp_extract_all(m["text"], F.lit(pattern), F.lit(0)), parts(m["text"], pattern)
     n = F.size(m["store"])
     text = F.array_join(F.transform(rest, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(f"⟦{kind}"), (n + i - 1).cast("string"), F.lit("⟧"), x))), "")
     return F.struct(text.alias("text"), F.concat(m["store"], found).alias("store"))
@@ -93,10 +93,12 @@ def without_board_lines(c: Column | str) -> Column:
     labels = "|".join(BOARD_LABELS)
 
     def step(s: Column, line: Column) -> Column:
-        bare = F.regexp_replace(strip(line), rf"^[-*•·]{_S}+", "")
-        label = bare.isin(*BOARD_LABELS) & ~s["skip"]
-        meta = (F.char_length(bare) <= 40) & bare.rlike(rf"^{_S}*(?:{labels})(?:{_S}*[:：]|{_S}+){_S}*[^\s]")
-        return F.struct(F.when(s["skip"] | label | meta, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"), label.alias("skip"))
+        def judged(bare: Column) -> Column:
+            meta = (F.char_length(bare) <= 40) & bare.rlike(rf"^{_S}*(?:{labels})(?:{_S}*[:：]|{_S}+){_S}*[^\s]")
+            return F.struct((bare.isin(*BOARD_LABELS) & ~s["skip"]).alias("label"), meta.alias("meta"))
+
+        told = once(F.regexp_replace(strip(line), rf"^[-*•·]{_S}+", ""), judged)
+        return once(told, lambda x: F.struct(F.when(s["skip"] | x["label"] | x["meta"], s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"), x["label"].alias("skip")))
 
     return strip(F.regexp_replace(F.aggregate(lines(c), start, step, lambda s: F.array_join(s["kept"], "\n")), "\n{3,}", "\n\n"))
 
@@ -133,23 +135,25 @@ def sound_links(c: Column | str) -> Column:
     t = col(c)
 
     def fixed(link: Column) -> Column:
-        label, url = F.regexp_extract(link, _LINK, 1), F.regexp_extract(link, _LINK, 2)
+        return once(F.struct(link.alias("link"), F.regexp_extract(link, _LINK, 1).alias("label"), F.regexp_extract(link, _LINK, 2).alias("url")), lambda x: sound(x["link"], x["label"], x["url"]))
+
+    def sound(link: Column, label: Column, url: Column) -> Column:
         starts = F.lit(False)
         for head in ("http://", "https://", "mailto:", "tel:", "www.", "/", "#"):
             starts = starts | url.startswith(head)
         bad = url.rlike(r"[\s가-힣㄰-㆏]") | (F.translate(url, BAD_IN_LINK, "") != url) | (F.char_length(url) > 2000)
-        sound = starts & ~bad & ~label.contains("\n") & ~label.contains("[")
+        good = starts & ~bad & ~label.contains("\n") & ~label.contains("[")
         clean = strip(F.regexp_replace(F.regexp_replace(label, r"\s+", " "), r"\s*#{1,6}\s*", " "))
-        return F.when(sound, link).when(clean != "", clean).otherwise(url)
+        return F.when(good, link).otherwise(once(clean, lambda c: F.when(c != "", c).otherwise(url)))
 
-    found, rest = F.regexp_extract_all(t, F.lit(_LINK), F.lit(0)), F.split(t, _LINK, -1)
-    return F.array_join(F.transform(rest, lambda x, i: F.when(i == 0, x).otherwise(F.concat(fixed(F.get(found, i - 1)), x))), "")
+    found = F.transform(F.regexp_extract_all(t, F.lit(_LINK), F.lit(0)), fixed)
+    return once(found, lambda f: F.array_join(F.transform(parts(t, _LINK), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get(f, i - 1), x))), ""))
 
 
 def links_of(c: Column | str) -> Column:
     """URLs and mail addresses of a source, those written together apart, closing signs and field names of the word processor cut off."""
-    runs = F.flatten(F.transform(F.regexp_extract_all(col(c), F.lit(MASKED[1][1]), F.lit(0)), lambda x: F.split(x, "(?=https?://)")))
-    urls = F.transform(runs, lambda x: F.regexp_replace(F.split(x, "HWP[A-Z_]{4,}")[0], r"[.,)】\] ]+$", ""))
+    runs = F.flatten(F.transform(F.regexp_extract_all(col(c), F.lit(MASKED[1][1]), F.lit(0)), lambda x: F.when(F.locate("http", x, 2) > 0, F.split(x, "(?=https?://)")).otherwise(F.array(x))))
+    urls = F.transform(runs, lambda x: F.regexp_replace(F.regexp_replace(x, "(?s)HWP[A-Z_]{4,}.*", ""), r"[.,)】\] ]+$", ""))
     mails = F.transform(F.regexp_extract_all(col(c), F.lit(MASKED[0][1]), F.lit(0)), lambda x: F.regexp_replace(F.regexp_replace(x, ".*HWP[A-Z_]{4,}", ""), r"[.,)】\] ]+$", ""))
     return F.array_distinct(F.concat(F.filter(urls, lambda x: (F.char_length(x) > 7) & x.rlike(r"^(?:https?://|www\.)")), F.filter(mails, lambda x: x.contains("@") & (F.char_length(x) > 5))))
 
@@ -157,4 +161,4 @@ def links_of(c: Column | str) -> Column:
 def with_links(out: Column | str, source: Column | str) -> Column:
     """out, with the links of source that it lacks listed at the end."""
     lost = F.array_sort(F.filter(links_of(source), lambda x: ~col(out).contains(x)))
-    return F.concat(col(out), F.when(F.size(lost) > 0, F.concat(F.lit("\n\n## 관련 링크\n"), F.array_join(F.transform(lost, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise(""))
+    return F.concat(col(out), once(lost, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("\n\n## 관련 링크\n"), F.array_join(F.transform(x, lambda y: F.concat(F.lit("- "), y)), "\n"))).otherwise("")))

@@ -49,6 +49,20 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: A private character that stands for a match while a text is cut.
+CUT = "\ue000"
+
+
+def parts(c: Column | str, pattern: str) -> Column:
+    """What lies between the matches of a pattern, empty ends included.
+
+    Spark compiles the pattern of a split for every text and that of a replacement once, so matches become one
+    character at which the text is split; a text that holds this character is split by the pattern itself.
+    """
+    t = col(c)
+    return F.when(t.contains(CUT), F.split(t, pattern, -1)).otherwise(F.split(F.regexp_replace(t, pattern, CUT), CUT, -1))
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITE))
 

@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """For narrow rows and work that is heavy for each: dealt to all cores whatever the scan's splits and row groups are. Select the columns needed first."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy for each row: a scan of fewer splits than there are cores is dealt to all of them; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

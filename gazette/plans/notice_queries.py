@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gazette.functions import facts, links, locales, notices, refine, school
 from gazette.functions import text as X
 from gazette.operators import dedup
-from gazette.plans.base import Query, spread, table
+from gazette.plans.base import Query, dealt, spread, table
 
 # Parts of texts, read by both engines.
 K = "o_orderkey"
@@ -21,7 +21,8 @@ NUM = "cast({} as string)".format
 
 
 def rows(spark: SparkSession, d: str, exprs: dict[str, str]) -> DataFrame:
-    return table(spark, d, "orders").selectExpr(f"{K} as id", *[f"{e} as {n}" for n, e in exprs.items()])
+    used = [c for c in table(spark, d, "orders").columns if c == K or any(c in e for e in exprs.values())]
+    return dealt(table(spark, d, "orders").select(*used)).selectExpr(f"{K} as id", *[f"{e} as {n}" for n, e in exprs.items()])
 
 
 def made(exprs: dict[str, str]) -> str:

@@ -31,7 +31,7 @@ def test_costly_values_are_computed_once(spark):
     assert _plan(df.select(records.page_images("html", F.lit("https://s.kr/")).alias("x"))).count("<img") == 1
     laid = school.with_overrides(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda p: F.struct(p.alias("period"), (p * 60).alias("start_min"), (p * 60 + 50).alias("end_min"))), F.col("n"), F.col("n"), F.col("n"))
     assert _plan(df.select(laid.alias("x"))).count("sequence(1, 3") == 1
-    assert df.select(refine.sound_links("t")).first()[0] == "a https://x.kr ![c](/d)"
+    assert df.select(refine.sound_links("t")).first()[0] == "a [](https://x.kr) ![c](/d)"
 
 
 def test_rows_are_dealt_to_all_cores(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions.text import BLANK, col, fingerprint, strip, tokens
+from gazette.functions.text import BLANK, col, fingerprint, hashed, kept_runs, once, strip, tokens_of_runs
 
 
 def fingerprint_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,6 +25,8 @@ CRITICAL = (
     r"[0-9][0-9,]*\s*원",
 )
 MIN_CHARS, MIN_TOKENS = 120, 40
+#: Any character that is no white space: told at the first one, without a trimmed copy.
+FILLED = "[^" + BLANK[1:]
 TYPE_PRIORITY = {"attachment_hwp": 90, "attachment_hwpx": 88, "attachment_pdf": 82, "html_body": 70, "direct_file": 65, "attachment_xlsx": 60, "attachment_image": 50, "inline_image": 45, "attachment": 35}
 
 
@@ -38,29 +40,32 @@ def profile(text: Column | str, own_fingerprint: Column | None = None) -> Column
     """What the comparison of two sources needs of each text, computed once."""
     text = col(text)
     numbers = F.array_distinct(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit("[0-9]+"), F.lit(0)))
-    return F.struct(
-        (fingerprint(text) if own_fingerprint is None else own_fingerprint).alias("fingerprint"), tokens(text).alias("tokens"),
-        F.char_length(strip(text)).alias("chars"), critical_numbers(text).alias("critical"), numbers.alias("numbers"),
-    )
+
+    def judged(runs: Column) -> Column:
+        own = hashed(F.array_join(runs, "")) if own_fingerprint is None else own_fingerprint
+        return F.struct(own.alias("fingerprint"), tokens_of_runs(runs).alias("tokens"), F.char_length(strip(text)).alias("chars"), critical_numbers(text).alias("critical"), numbers.alias("numbers"))
+
+    return once(kept_runs(text), judged)
 
 
 def is_duplicate(a: Column, b: Column) -> Column:
     """Whether two profiles are of one content: equal fingerprints; texts of 120 characters or more that are similar to
     0.9 by tokens; or the smaller set, of 40 tokens or more, held to 0.85 by the larger, unless only it has a critical number."""
-    common, either = F.size(F.array_intersect(a["tokens"], b["tokens"])), F.size(F.array_union(a["tokens"], b["tokens"]))
     same = (a["fingerprint"] != "") & (a["fingerprint"] == b["fingerprint"])
-    similar = (a["chars"] >= MIN_CHARS) & (b["chars"] >= MIN_CHARS) & (either > 0) & (common * 10 >= either * 9)
-    a_smaller, least = F.size(a["tokens"]) <= F.size(b["tokens"]), F.least(F.size(a["tokens"]), F.size(b["tokens"]))
+    a_smaller, least, both = F.size(a["tokens"]) <= F.size(b["tokens"]), F.least(F.size(a["tokens"]), F.size(b["tokens"])), F.size(a["tokens"]) + F.size(b["tokens"])
     lost = lambda x, y: F.size(F.array_except(x["critical"], y["numbers"])) > 0
-    held = (least >= MIN_TOKENS) & (common * 20 >= least * 17) & ~F.when(a_smaller, lost(a, b)).otherwise(lost(b, a))
-    return F.coalesce(same, F.lit(False)) | similar | held
+
+    def by_tokens(common: Column) -> Column:
+        either = both - common  # tokens are distinct
+        similar = (a["chars"] >= MIN_CHARS) & (b["chars"] >= MIN_CHARS) & (either > 0) & (common * 10 >= either * 9)
+        return similar | ((least >= MIN_TOKENS) & (common * 20 >= least * 17) & ~F.when(a_smaller, lost(a, b)).otherwise(lost(b, a)))
+
+    return F.coalesce(same, F.lit(False)) | once(F.size(F.array_intersect(a["tokens"], b["tokens"])), by_tokens)
 
 
-def duplicate_pairs(sources: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """group, a, b: orders of the pairs of a group's sources, a before b, that are duplicates. Groups are the sources of one notice: few."""
-    rows = sources.select(F.col(group).alias("g"), F.col(order).alias("i"), profile(text).alias("p"))
-    left, right = rows.toDF("g", "a", "pa"), rows.toDF("g", "b", "pb")
-    return left.join(right, "g").where(F.col("a") < F.col("b")).where(is_duplicate(F.col("pa"), F.col("pb"))).select(F.col("g").alias(group), "a", "b")
+def duplicate_pairs(items: Column | str) -> Column:
+    """Array of struct of a and b: orders of the pairs of a group's sources, a before b, that are duplicates. items: array of struct of i (order) and p (profile)."""
+    return F.flatten(F.transform(items, lambda a: F.transform(F.filter(items, lambda b: (a["i"] < b["i"]) & is_duplicate(a["p"], b["p"])), lambda b: F.struct(a["i"].alias("a"), b["i"].alias("b")))))
 
 
 def assign_roles(sources: DataFrame, group: str = "notice_id", order: str = "order_index", text: str = "raw_text", kind: str = "source_type", status: str = "status", priority: dict[str, int] | None = None) -> DataFrame:
@@ -68,14 +73,14 @@ def assign_roles(sources: DataFrame, group: str = "notice_id", order: str = "ord
 
     Each source joins the first group that has a duplicate of it; groups are never merged, which makes this a fold
     over the sources of a notice in their order. Of each group the best stands for it: among texts of 0.9 of the longest
-    or more a body, else the highest priority, then the longest. Sources of other groups' notices never meet.
+    or more a body, else the highest priority, then the longest. Sources of other groups' notices never meet. Each
+    text is read once; its profile goes to its notice's row, where the pairs are judged.
     """
-    ok = col(text).isNotNull() & (strip(text) != "") & col(status).isin("success", "partial_success")
+    ok = col(text).isNotNull() & col(text).rlike(FILLED) & col(status).isin("success", "partial_success")
     ranks = F.coalesce(F.create_map(*[F.lit(x) for kv in (priority or TYPE_PRIORITY).items() for x in kv])[F.col(kind)], F.lit(0))
     rows = sources.withColumn("_ok", ok)
-    pairs = duplicate_pairs(rows.where("_ok"), group, order, text).groupBy(group).agg(F.collect_set(F.struct("a", "b")).alias("_pairs"))
-    item = F.struct(F.col(order).alias("i"), ranks.alias("rank"), F.char_length(text).alias("n"), (F.col(kind) == "html_body").alias("body"))
-    items = rows.where("_ok").groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("_items")).join(pairs, group, "left")
+    item = F.struct(F.col(order).alias("i"), ranks.alias("rank"), F.char_length(text).alias("n"), (F.col(kind) == "html_body").alias("body"), profile(text).alias("p"))
+    items = rows.where("_ok").groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("_items")).withColumn("_pairs", duplicate_pairs("_items"))
     none = F.array().cast("array<array<int>>")
 
     def place(groups: Column, x: Column) -> Column:

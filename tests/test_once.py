@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gazette.functions import notices, records, refine, school
-from gazette.functions.text import CUT, parts
+from gazette.functions.text import CUT, kept_runs, kept_text, parts, tokens, tokens_of_runs
+from gazette.operators import dedup
 from gazette.plans.notice_queries import rows
 
 
@@ -36,3 +37,18 @@ def test_costly_values_are_computed_once(spark):
 
 def test_rows_are_dealt_to_all_cores(spark, sf_dir):
     assert rows(spark, sf_dir, {"n": "o_orderkey % 3"}).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_kept_text_is_what_cutting_all_else_leaves(spark):
+    df = spark.createDataFrame([(t,) for t in ["A b-C! 가나 É9", "", "--- !", "x", "\U0001d400aİB", None]], "t string")
+    for r in df.select(kept_text("t").alias("got"), F.regexp_replace(F.lower("t"), "[^0-9A-Za-z가-힣]+", "").alias("want"), tokens("t").alias("tokens"), tokens_of_runs(kept_runs("t")).alias("of_runs")).collect():
+        assert r["got"] == r["want"] and r["tokens"] == r["of_runs"]
+    assert "regexp_replace(" not in _plan(df.select(kept_text("t")))  # a negated class is slow
+
+
+def test_sources_are_profiled_once_and_never_joined_with_each_other(spark):
+    word = " ".join(f"word{i}" for i in range(60))
+    rows = [(n, i, "html_body", t, "success") for n in (1, 2) for i, t in enumerate([word, word + " more", "other"])]
+    out = dedup.assign_roles(spark.createDataFrame(rows, "notice_id long, order_index int, source_type string, raw_text string, status string"))
+    assert _plan(out).count("sha1(") == 1
+    assert [(r["source_role"], r["duplicate_of"], r["place"]) for r in out.where("notice_id = 2").orderBy("order_index").collect()] == [("primary", None, 1), ("duplicate", 0, None), ("primary", None, 2)]

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.text import BLANK, col, fingerprint, hashed, kept_runs, once, strip, tokens_of_runs
+from gazette.operators.folders import shared_folder
 
 
 def fingerprint_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, fingerprint, primary: the least id with the same non-empty fingerprint. The group is aggregated, not collected.
 
-    The empty fingerprint is judged after the join: a filter on it would make the texts be hashed once more.
+    Fingerprints go to the shared folder first: both sides of the join, and what it filters, read them and not the texts.
     """
-    marked = df.select(F.col(id_col), fingerprint(text_col).alias("fingerprint"))
+    hashed_texts, path = df.select(F.col(id_col), fingerprint(text_col).alias("fingerprint")), shared_folder(df.sparkSession, "fingerprints")
+    hashed_texts.write.parquet(path)
+    marked = df.sparkSession.read.schema(hashed_texts.schema).parquet(path)
     least = marked.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("many"))
     none = F.col("fingerprint") == ""
     return marked.join(least, "fingerprint", "left").select(id_col, "fingerprint", F.when(none, F.col(id_col)).otherwise(F.col("least")).alias("primary"), F.when(none, 1).otherwise(F.col("many")).alias("copies"))

@@ -52,3 +52,10 @@ def test_sources_are_profiled_once_and_never_joined_with_each_other(spark):
     out = dedup.assign_roles(spark.createDataFrame(rows, "notice_id long, order_index int, source_type string, raw_text string, status string"))
     assert _plan(out).count("sha1(") == 1
     assert [(r["source_role"], r["duplicate_of"], r["place"]) for r in out.where("notice_id = 2").orderBy("order_index").collect()] == [("primary", None, 1), ("duplicate", 0, None), ("primary", None, 2)]
+
+
+def test_texts_are_hashed_once_for_their_groups(spark):
+    df = spark.createDataFrame([(5, "A b"), (3, "ab!"), (4, "-"), (2, ""), (6, "c")], "doc_id long, text string")
+    out = dedup.fingerprint_groups(df, "doc_id", "text")
+    assert "sha1(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["primary"], r["copies"]) for r in out.collect()) == [(2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 3, 2), (6, 6, 1)]

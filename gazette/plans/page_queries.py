@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import html_tree, links
-from gazette.plans.base import Query, spread, table
+from gazette.plans.base import Query, modest_batches, spread, table
 
 # Read alike by Spark and DuckDB: the article becomes a box of one of several kinds, or gets an empty one before it.
 _BOX = """case page_id % 6 when 0 then replace(replace(html, '<article>', '<div class="x conts">'), '</article>', '</div>') when 1 then replace(replace(html, '<article>', '<div class="board_view">'), '</article>', '</div><div class="file">attached</div>')
@@ -28,19 +28,25 @@ def _grid_source(dialect: str) -> str:
     return f"case when page_id % 2 = 1 then replace(replace({inner}, '<nav>', '<table><tr><td>menu<table><tr><td>'), '</nav>', '</td></tr></table></td></tr></table>') else {inner} end"
 
 
+def _pages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Whole pages for work in Python."""
+    modest_batches(spark)
+    return spread(table(spark, d, "pages").select(*columns))
+
+
 def c3_body(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    pages = _pages(spark, d, "page_id", "html")
     return pages.select("page_id", html_tree.body_text(F.expr(_BOX)).alias("body"))
 
 
 def c8_heads(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    pages = _pages(spark, d, "page_id", "html")
     return pages.select("page_id", html_tree.title_and_snippet("html", 300).alias("h")).select("page_id", "h.title", "h.snippet")
 
 
 def c51_grids(spark: SparkSession, d: str) -> DataFrame:
     """A row for each row of each grid, its cells joined by bars."""
-    pages = spread(table(spark, d, "pages").select("page_id", "url", "html"))
+    pages = _pages(spark, d, "page_id", "url", "html")
     grids = pages.select("page_id", F.explode(html_tree.table_grids(F.expr(_grid_source("spark")))).alias("grid"))
     return grids.select("page_id", F.posexplode("grid").alias("row", "cells")).select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
@@ -53,7 +59,7 @@ _STATUS = "case page_id % 10 when 0 then 403 when 1 then 200 else null end"
 
 
 def c16_barred(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(table(spark, d, "pages").select("page_id", "url", "html"))
+    pages = _pages(spark, d, "page_id", "url", "html")
     return pages.select("page_id", links.access_failure(F.expr(_ASKED), F.expr(_STATUS), F.expr(_CUED)).alias("failure"))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.text import col
+from gazette.functions.text import col, once
 from gazette.functions.urls import part, resolve
 
 
@@ -118,24 +118,30 @@ def detect_family(url: Column | str, html: Column | str, links: Column) -> Colum
     """Struct of key, confidence and signals: the family of the greatest sum of scores, the first seen of equal ones; unknown without a signal. links: array of URLs."""
     u = col(url)
     text = F.concat_ws(" ", u, F.substring(F.coalesce(col(html), F.lit("")), 1, PAGE_CHARS), F.array_join(F.slice(links, 1, LINKS), " "))
-    found = matched(SIGNALS, {"host": _host(u), "text": text})
-    # Each rule that holds carries its family's sum and first rank; the best of them is of the best family.
-    rated = F.transform(found, lambda r: F.struct(F.aggregate(F.filter(found, lambda o: o["family"] == r["family"]), F.lit(0), lambda a, o: a + o["score"]).alias("sum"), (-r["rank"]).alias("early"), r["family"].alias("key")))
-    best = F.array_max(rated)
-    signals = F.slice(F.transform(F.filter(found, lambda r: r["family"] == best["key"]), lambda r: r["signal"]), 1, TOLD)
-    none = F.size(found) == 0
-    return F.struct(
-        F.when(none, "unknown").otherwise(best["key"]).alias("key"), F.when(none, 0.0).otherwise(F.least(best["sum"] / F.lit(float(WHOLE)), F.lit(MOST))).alias("confidence"),
-        F.when(none, F.array().cast("array<string>")).otherwise(signals).alias("signals"),
-    )
+
+    def judged(found: Column) -> Column:
+        # Each rule that holds carries its family's sum and first rank; the best of them is of the best family.
+        rated = F.transform(found, lambda r: F.struct(F.aggregate(F.filter(found, lambda o: o["family"] == r["family"]), F.lit(0), lambda a, o: a + o["score"]).alias("sum"), (-r["rank"]).alias("early"), r["family"].alias("key")))
+        return once(F.array_max(rated), lambda best: told(found, best))
+
+    def told(found: Column, best: Column) -> Column:
+        signals = F.slice(F.transform(F.filter(found, lambda r: r["family"] == best["key"]), lambda r: r["signal"]), 1, TOLD)
+        none = F.size(found) == 0
+        return F.struct(
+            F.when(none, "unknown").otherwise(best["key"]).alias("key"), F.when(none, 0.0).otherwise(F.least(best["sum"] / F.lit(float(WHOLE)), F.lit(MOST))).alias("confidence"),
+            F.when(none, F.array().cast("array<string>")).otherwise(signals).alias("signals"),
+        )
+
+    # The page's text is cut out once and each rule tried once, however often they are used.
+    return once(F.struct(_host(u).alias("host"), text.alias("text")), lambda x: once(matched(SIGNALS, {"host": x["host"], "text": x["text"]}), judged))
 
 
 def parser_family(board_url: Column | str, html: Column | str, key: Column) -> Column:
     """How a board is read: the first of PARSERS that holds, else generic."""
     u = col(board_url)
     text = F.concat_ws(" ", u, F.substring(F.coalesce(col(html), F.lit("")), 1, PARSER_CHARS))
-    found = matched(PARSERS, {"host": _host(u), "url": u, "path": part(u, 3), "text": text, "cms": key})
-    return F.coalesce(F.try_element_at(found, F.lit(1))["family"], F.lit("generic"))
+    fields = F.struct(_host(u).alias("host"), u.alias("url"), part(u, 3).alias("path"), text.alias("text"), key.alias("cms"))
+    return once(fields, lambda x: F.coalesce(F.try_element_at(matched(PARSERS, {n: x[n] for n in ("host", "url", "path", "text", "cms")}), F.lit(1))["family"], F.lit("generic")))
 
 
 def _coded(c: Column) -> Column:

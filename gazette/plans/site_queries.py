@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import site_rules as R
-from gazette.plans.base import Query, table
+from gazette.plans.base import Query, spread, table
 
 # Read alike by Spark and DuckDB: a page's own address on the hosts and paths of several kinds of board software, by its language, number and path.
 _TAIL = "split_part(url, '/', 4) || '/' || split_part(url, '/', 5)"
@@ -17,7 +17,7 @@ _HTML = "case when page_id % 5 = 0 then html || 'selectNttList.do nttInfoBtn' wh
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.expr(_URL).alias("url"), F.expr(_HTML).alias("html"))
+    return spread(table(spark, d, "pages").select("page_id", "url", "html")).select("page_id", F.expr(_URL).alias("url"), F.expr(_HTML).alias("html"))
 
 
 def c12_c13_families(spark: SparkSession, d: str) -> DataFrame:

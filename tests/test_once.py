@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.functions import notices, records, refine, school
+from gazette.functions import notices, records, refine, review, school, site_rules
 from gazette.functions.text import CUT, kept_runs, kept_text, parts, tokens, tokens_of_runs
 from gazette.operators import dedup
 from gazette.plans.notice_queries import rows
@@ -59,3 +59,11 @@ def test_texts_are_hashed_once_for_their_groups(spark):
     out = dedup.fingerprint_groups(df, "doc_id", "text")
     assert "sha1(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["doc_id"], r["primary"], r["copies"]) for r in out.collect()) == [(2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 3, 2), (6, 6, 1)]
+
+
+def test_a_page_is_cut_once_for_its_family_and_once_for_its_parser(spark):
+    df = spark.createDataFrame([("https://a.cnems.kr/boardCnts/view.do", "boardCnts/list.do goView"), (None, None)], "url string, html string")
+    p = df.withColumn("cms", site_rules.detect_family("url", "html", F.array().cast("array<string>")))
+    p = p.select("cms.key", F.size("cms.signals").alias("n"), site_rules.parser_family("url", "html", F.col("cms.key")).alias("parser"))
+    assert _plan(p).count(f", {site_rules.PAGE_CHARS})") == 1 and _plan(p).count(f", {site_rules.PARSER_CHARS})") == 1
+    assert [tuple(r) for r in p.collect()] == [("cnems_boardcnts", 2, "boardcnts_like"), ("unknown", 0, "generic")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.links import first_rule, names_any
 from gazette.functions.notices import yearless_dates
-from gazette.functions.text import BLANK, col, lines, once, strip
+from gazette.functions.text import BLANK, KEPT, col, lines, once, spaced, strip
 
 _S = BLANK
 # Words about a date that say that it is one of administration, or one of a schedule; who signs; what may not be brought.
@@ -100,13 +100,13 @@ def corpus_tags(c: Column | str) -> Column:
 
 
 def slug(title: Column | str, fallback: Column, cut: int = 32) -> Column:
-    bare = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(col(title), F.lit("")), "[^0-9A-Za-z가-힣]+", "-")), "^-+|-+$", "")
+    bare = F.lower(F.array_join(F.regexp_extract_all(F.coalesce(col(title), F.lit("")), F.lit(KEPT), F.lit(0)), "-"))
     return F.regexp_replace(F.coalesce(F.nullif(F.substring(bare, 1, cut), F.lit("")), fallback), "^-+|-+$", "")
 
 
 def error_line(c: Column | str, cut: int = 800) -> Column:
     """An error's text on one line."""
-    return F.substring(strip(F.regexp_replace(col(c), _S + "+", " ")), 1, cut)
+    return F.substring(strip(spaced(c)), 1, cut)
 
 
 def clean_lines(c: Column | str, noise: tuple[str, ...]) -> Column:
@@ -124,13 +124,15 @@ def collapsed_tables(c: Column | str) -> Column:
 
     def ended(s: Column) -> Column:
         rows = F.filter(s["block"], lambda x: ~(x.rlike(rf"^{_S}*\|[-|:\s]+\|{_S}*$") & x.contains("-")))
-        filled = F.transform(rows, lambda x: F.filter(cells(x), lambda y: y != ""))
-        total = F.aggregate(rows, F.lit(0), lambda a, x: a + F.size(cells(x)))
+        read = once(F.transform(rows, cells), lambda all_: F.struct(F.aggregate(all_, F.lit(0), lambda a, x: a + F.size(x)).alias("total"), F.transform(all_, lambda x: F.filter(x, lambda y: y != "")).alias("filled")))
+        return F.when(F.size(s["block"]) == 0, s["out"]).otherwise(once(read, lambda r: F.concat(s["out"], laid(s["block"], r["total"], r["filled"]))))
+
+    def laid(block: Column, total: Column, filled: Column) -> Column:
         full = F.aggregate(filled, F.lit(0), lambda a, x: a + F.size(x))
         widest = F.coalesce(F.array_max(F.transform(filled, F.size)), F.lit(0))
         layout = (widest <= 2) & (((total - full) * 5 >= F.greatest(total, F.lit(1)) * 2) | (widest <= 1))
         flat = F.concat(F.transform(F.filter(filled, lambda x: F.size(x) > 0), lambda x: F.array_join(x, " ")), F.array(F.lit("")))
-        return F.when(F.size(s["block"]) == 0, s["out"]).otherwise(F.concat(s["out"], F.when(layout, flat).otherwise(s["block"])))
+        return F.when(layout, flat).otherwise(block)
 
     def step(s: Column, line: Column) -> Column:
         bar = line.rlike(rf"^{_S}*\|")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gazette.functions import notices, records, refine, review, school, site_rules
-from gazette.functions.text import CUT, kept_runs, kept_text, parts, tokens, tokens_of_runs
+from gazette.functions.text import CUT, SPACE, kept_runs, kept_text, parts, strip, tokens, tokens_of_runs
 from gazette.operators import dedup
 from gazette.plans.notice_queries import rows
 
@@ -67,3 +67,13 @@ def test_a_page_is_cut_once_for_its_family_and_once_for_its_parser(spark):
     p = p.select("cms.key", F.size("cms.signals").alias("n"), site_rules.parser_family("url", "html", F.col("cms.key")).alias("parser"))
     assert _plan(p).count(f", {site_rules.PAGE_CHARS})") == 1 and _plan(p).count(f", {site_rules.PARSER_CHARS})") == 1
     assert [tuple(r) for r in p.collect()] == [("cnems_boardcnts", 2, "boardcnts_like"), ("unknown", 0, "generic")]
+
+
+def test_texts_of_answers_by_the_faster_patterns(spark):
+    texts = ["a b", " a  b\t", " a 　b\n c", "  ", "", "a\x1cb \x1f c", "[안내] İK Trip--#1 -", "---", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(review.error_line("t").alias("got"), F.substring(strip(F.regexp_replace("t", SPACE, " ")), 1, 800).alias("want"), review.slug("t", F.lit("-x-")).alias("slug"), F.regexp_replace(F.lower(F.regexp_replace("t", "[^0-9A-Za-z가-힣]+", "-")), "^-+|-+$", "").alias("bare")).collect()
+    for r in got:
+        assert r["got"] == r["want"] and r["slug"] == (r["bare"] or "x")
+    assert _plan(df.select(review.collapsed_tables("t"))).count("split(") <= 6
+    assert "[^0-9A-Za-z" not in _plan(df.select(review.slug("t", F.lit("x"))))

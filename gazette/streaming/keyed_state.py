@@ -1,7 +1,8 @@
 """Folds over the rows of a key as stream state: debounce, lockout, and high-water marks.
 
 Each keeps one small state variable a key with ``transformWithState``, in RocksDB (``use_rocksdb``), so state grows with keys
-and not with rows. Rows of a key within one micro-batch are folded in order of time; across
+and not with rows. Rows come one by one and not as a frame a key, as most keys have few in a micro-batch, and each asks the store once.
+Rows of a key within one micro-batch are folded in order of time; across
 micro-batches they are taken as they come, so a stream that is replayed in order of time gives what the batch form gives, however it
 is cut into batches and however often it is restarted. The debounce sets a timer for each accepted trigger: once the
 watermark is past the gap, the next trigger is accepted anyway, and the key's state is dropped.
@@ -12,10 +13,11 @@ Rows with a null key or time take no part, as in the batch forms.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,12 +31,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch, whose size the trigger bounds."""
-    frames = list(rows)
-    return pd.concat(frames, ignore_index=True).sort_values(by, kind="stable") if frames else pd.DataFrame()
-
-
 class Debounce(StatefulProcessor):
     """Accepts a trigger if the key's last accepted one is ``gap`` microseconds before it at least."""
 
@@ -44,21 +40,20 @@ class Debounce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "micros long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        was, out = last, []
-        for t in _in_order(rows, ["micros"])["micros"]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        was = self.last.get()
+        last = was[0] if was else None
+        for t in sorted(r[-1] for r in rows):  # a key's rows of one micro-batch, whose size the trigger bounds
             if last is None or t - last >= self.gap:
-                last = int(t)
-                out.append(last)
-        if last != was:
+                last = t
+                yield Row(key=key[0], micros=t)
+        if was is None or last != was[0]:
             self.last.update((last,))
             self.handle.registerTimer(-(-(last + self.gap) // 1000))
-        if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "micros": out})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and -(-(self.last.get()[0] + self.gap) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        last = self.last.get()
+        if last and -(-(last[0] + self.gap) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         yield from ()
 
@@ -85,17 +80,17 @@ class Lockout(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("attempts", "failed int, closed_until long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        failed, closed = self.state.get() if self.state.exists() else (0, None)
-        some, outcomes = _in_order(rows, ["micros", "ord"]), []
-        for t, right in zip(some["micros"], some["ok"], strict=True):
-            outcome, failed, closed = lockout_step(failed, closed, int(t), bool(right), self.most, self.closed_for)
-            outcomes.append(outcome)
-        if failed == 0 and closed is None:
-            self.state.clear()  # as good as no state
-        else:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        was = self.state.get()
+        now = failed, closed = tuple(was) if was else (0, None)
+        for _, t, order, right in sorted(rows, key=itemgetter(1, 2)):  # a key's rows of one micro-batch, whose size the trigger bounds
+            outcome, failed, closed = lockout_step(failed, closed, t, right, self.most, self.closed_for)
+            yield Row(key=key[0], micros=t, ord=order, outcome=outcome)
+        if (failed, closed) == (0, None):
+            if was:
+                self.state.clear()  # as good as no state
+        elif (failed, closed) != now:
             self.state.update((failed, closed))
-        yield pd.DataFrame({"key": some["key"], "micros": some["micros"], "ord": some["ord"], "outcome": outcomes})
 
     def close(self) -> None:
         pass
@@ -107,14 +102,15 @@ class AboveMark(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "value long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get()[0] if self.mark.exists() else None
-        top = mark
-        for some in rows:  # no order is needed, so a micro-batch's rows are not held
-            number = some["number"]
-            if number.notna().any():
-                top = int(number.max()) if top is None else max(top, int(number.max()))
-            yield some[number.isna() | (number > mark)] if mark is not None else some
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        was = self.mark.get()
+        top = mark = was[0] if was else None
+        for row in rows:  # no order is needed, so a micro-batch's rows are not held
+            number = row[-1]
+            if number is not None and (top is None or number > top):
+                top = number
+            if number is None or mark is None or number > mark:
+                yield row
         if top is not None and top != mark:
             self.mark.update((top,))
 
@@ -126,7 +122,7 @@ def debounced(stream: DataFrame, key: str, at: str, gap_seconds: int = 10, delay
     """key and at of accepted triggers of a stream; triggers more than ``delay`` behind the latest are late and do not count."""
     kinds = dict(stream.dtypes)
     rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
-    out = rows.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(Debounce(gap_seconds * 1_000_000), f"key {kinds[key]}, micros long", "Append", "EventTime")
+    out = rows.withWatermark("at", delay).groupBy("key").transformWithState(Debounce(gap_seconds * 1_000_000), f"key {kinds[key]}, micros long", "Append", "EventTime")
     return out.select(F.col("key").alias(key), F.timestamp_micros("micros").cast(kinds[at]).alias(at))
 
 
@@ -134,14 +130,14 @@ def lockouts(stream: DataFrame, key: str, at: str, ok: str, order: str, most: in
     """key, at, order and outcome of each attempt of a stream. order: tells attempts of one time apart."""
     kinds = dict(stream.dtypes)
     rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.col(order).alias("ord"), F.coalesce(F.col(ok), F.lit(False)).alias("ok"))
-    out = rows.groupBy("key").transformWithStateInPandas(Lockout(most, closed_seconds * 1_000_000), f"key {kinds[key]}, micros long, ord {kinds[order]}, outcome string", "Append", "None")
+    out = rows.groupBy("key").transformWithState(Lockout(most, closed_seconds * 1_000_000), f"key {kinds[key]}, micros long, ord {kinds[order]}, outcome string", "Append", "None")
     return out.select(F.col("key").alias(key), F.timestamp_micros("micros").cast(kinds[at]).alias(at), F.col("ord").alias(order), "outcome")
 
 
 def above_marks_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
     """The rows of a stream that ``ingest.above_marks`` keeps of each micro-batch, marks being those of the micro-batches before."""
     rows = stream.where(F.col(key).isNotNull()).withColumn("number", F.col(value).cast("long"))
-    return rows.groupBy(F.col(key)).transformWithStateInPandas(AboveMark(), rows.schema, "Append", "None").drop("number")
+    return rows.groupBy(F.col(key)).transformWithState(AboveMark(), rows.schema, "Append", "None").drop("number")
 
 
 def lockouts_batch(df: DataFrame, key: str, at: str, ok: str, order: str, most: int = FAILURES, closed_seconds: int = CLOSED_SECONDS) -> DataFrame:

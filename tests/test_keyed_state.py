@@ -6,6 +6,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gazette.operators import ingest
@@ -92,3 +93,45 @@ def test_state_of_a_debounced_key_is_dropped_after_the_gap(spark, replay):
     df = spark.createDataFrame([(i, who, at(t), True) for i, (who, t) in enumerate([("a", 0), ("a", 3), ("b", 7300), ("b", 7301), ("a", 7400), ("c", 20000), ("a", 20001)])], "id long, who string, at timestamp, ok boolean")
     got = replay(df, [slices(7000, 7350, 10000)[:2], slices(7000, 7350, 10000)[2:]], lambda s: keyed_state.debounced(s, "who", "at", 10, delay="1 minute"))
     assert sorted((r["who"], r["at"]) for r in got.collect()) == [("a", at(0)), ("a", at(7400)), ("a", at(20001)), ("b", at(7300)), ("c", at(20000))]
+
+
+class Store:
+    """Stands for a state variable and its handle, and counts what is asked of it."""
+
+    def __init__(self, value=None):
+        self.value, self.asked, self.timers = value, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def clear(self):
+        self.asked.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def fed(processor, store, rows):
+    processor.init(store)
+    return [tuple(r) for r in processor.handleInputRows(("k",), iter(rows), None)]
+
+
+def test_each_key_takes_rows_and_asks_the_store_once():
+    store = Store((5,))
+    assert fed(keyed_state.Debounce(10), store, [Row("k", None, 30), Row("k", None, 16), Row("k", None, 15)]) == [("k", 15), ("k", 30)]
+    assert store.asked == ["get", "update"] and store.value == (30,) and len(store.timers) == 1
+    store = Store((7,))
+    assert fed(keyed_state.AboveMark(), store, [Row("k", 7), Row("k", None), Row("k", 9), Row("k", 8)]) == [("k", None), ("k", 9), ("k", 8)]
+    assert store.asked == ["get", "update"] and store.value == (9,)
+    store = Store()
+    assert fed(keyed_state.Lockout(2, 10), store, [Row("k", 3, 1, False), Row("k", 1, 0, True), Row("k", 3, 2, False), Row("k", 4, 3, True)]) == [("k", 1, 0, "ok"), ("k", 3, 1, "invalid"), ("k", 3, 2, "invalid"), ("k", 4, 3, "locked")]
+    assert store.asked == ["get", "update"] and store.value == (2, 13)

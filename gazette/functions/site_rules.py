@@ -65,8 +65,8 @@ PARSERS = (
     Rule("xboard_like", 0, "", (_of("text", "board.php"), _of("text", "mode=view"))),
     Rule("sen_like", 0, "", (_of("text", "subMenu.do"), _of("text", "nttId", "bbsId"))),
 )
-# The whole score, the characters of a page that are looked at, links that are, and signals that are told.
-WHOLE, MOST, PAGE_CHARS, PARSER_CHARS, LINKS, TOLD = 120, 0.99, 120_000, 80_000, 80, 4
+# The whole score, the most that is given, and signals that are told.
+WHOLE, MOST, TOLD = 120, 0.99, 4
 # Query keys of detail pages; of boards in PHP also these; values of mode, keys and paths of detail pages among links.
 DETAIL_KEYS, PHP_KEYS, ITEM_KEYS = ("nttSn", "nttId", "articleId", "boardSeq", "seq", "number", "num"), ("mode", "queryencode"), ("dk_id",)
 DETAIL_MODES = ("downpost", "view", "read", "detail", "viewpost")
@@ -115,9 +115,9 @@ def _host(url: Column) -> Column:
 
 
 def detect_family(url: Column | str, html: Column | str, links: Column) -> Column:
-    """Struct of key, confidence and signals: the family of the greatest sum of scores, the first seen of equal ones; unknown without a signal. links: array of URLs."""
+    """Struct of key, confidence and signals: the family of the greatest sum of scores, the first seen of equal ones; unknown without a signal. The whole page and all links (array of URLs) are looked at."""
     u = col(url)
-    text = F.concat_ws(" ", u, F.substring(F.coalesce(col(html), F.lit("")), 1, PAGE_CHARS), F.array_join(F.slice(links, 1, LINKS), " "))
+    text = F.concat_ws(" ", u, F.coalesce(col(html), F.lit("")), F.array_join(links, " "))
 
     def judged(found: Column) -> Column:
         # Each rule that holds carries its family's sum and first rank; the best of them is of the best family.
@@ -132,14 +132,14 @@ def detect_family(url: Column | str, html: Column | str, links: Column) -> Colum
             F.when(none, F.array().cast("array<string>")).otherwise(signals).alias("signals"),
         )
 
-    # The page's text is cut out once and each rule tried once, however often they are used.
+    # The page's text is put together once and each rule tried once, however often they are used.
     return once(F.struct(_host(u).alias("host"), text.alias("text")), lambda x: once(matched(SIGNALS, {"host": x["host"], "text": x["text"]}), judged))
 
 
 def parser_family(board_url: Column | str, html: Column | str, key: Column) -> Column:
-    """How a board is read: the first of PARSERS that holds, else generic."""
+    """How a board is read: the first of PARSERS that holds on the whole page, else generic."""
     u = col(board_url)
-    text = F.concat_ws(" ", u, F.substring(F.coalesce(col(html), F.lit("")), 1, PARSER_CHARS))
+    text = F.concat_ws(" ", u, F.coalesce(col(html), F.lit("")))
     fields = F.struct(_host(u).alias("host"), u.alias("url"), part(u, 3).alias("path"), text.alias("text"), key.alias("cms"))
     return once(fields, lambda x: F.coalesce(F.try_element_at(matched(PARSERS, {n: x[n] for n in ("host", "url", "path", "text", "cms")}), F.lit(1))["family"], F.lit("generic")))
 

@@ -56,9 +56,9 @@ _MADE = ", ".join(
 _LISTS = f"""select page_id, url, path, list_filter(list_distinct_in_order, lambda x: x is not null) as lists from (select *, [case when contains(path, '/view/') then head || rtrim(split_part(path, '/view/', 1), '/') || '/' end, ntt, cnts, case when php <> url then php end, case when cms <> url then cms end, url] as list_distinct_in_order
   from (select *, {_MADE} from (select *, regexp_extract(url, '^[a-z]+://[^/]*') as head, split_part(split_part(url, '?', 2), '&', 1) as b, split_part(split_part(url, '?', 2), '&', 2) as c, split_part(split_part(url, '?', 2), '&', 3) as d from ({_P}))))"""
 QUERIES: dict[str, Query] = {
-    "c12_c13_families": (c12_c13_families, f"""with p as materialized ({_P}), t as (select *, url || ' ' || substr(html, 1, 120000) || ' ' as text, '' as cms from p), hit as materialized ({_HIT.format(t='t', rules=_rule_rows(R.SIGNALS))}),
+    "c12_c13_families": (c12_c13_families, f"""with p as materialized ({_P}), t as (select *, url || ' ' || html || ' ' as text, '' as cms from p), hit as materialized ({_HIT.format(t='t', rules=_rule_rows(R.SIGNALS))}),
       best as (select * from (select page_id, family, sum(score) as total, min(rank) as early, string_agg(signal, '; ' order by rank) filter (where nth <= 4) as signals from (select *, row_number() over (partition by page_id, family order by rank) as nth from hit) group by 1, 2) qualify row_number() over (partition by page_id order by total desc, early) = 1),
-      k as (select p.*, coalesce(b.family, 'unknown') as cms, round(least(coalesce(b.total, 0) / 120.0::double, 0.99), 6) as confidence, coalesce(b.signals, '') as signals, p.url || ' ' || substr(html, 1, 80000) as text from p left join best b using (page_id)), parse as ({_HIT.format(t='k', rules=_rule_rows(R.PARSERS))})
+      k as (select p.*, coalesce(b.family, 'unknown') as cms, round(least(coalesce(b.total, 0) / 120.0::double, 0.99), 6) as confidence, coalesce(b.signals, '') as signals, p.url || ' ' || html as text from p left join best b using (page_id)), parse as ({_HIT.format(t='k', rules=_rule_rows(R.PARSERS))})
       select page_id, cms as key, confidence, signals, coalesce((select arg_min(family, rank) from parse where parse.page_id = k.page_id), 'generic') as parser from k"""),
     "c69_lists": (c69_lists, f"""select page_id, unnest(range(len(lists)))::int as at, unnest(lists) as list_url, coalesce(regexp_matches(url, '[?&]mode=(?i:downpost|view|read|detail|viewpost)(?:&|$)') or regexp_matches(url, '(?i)[?&]dk_id=[^&]') or regexp_matches(path, '(?i)/view/[0-9]+/?$') or regexp_matches(lower(path), '(?:selectnttinfo\\.do|boardcnts/view\\.do)$'), false) as detail
       from (select page_id, url, path, list_filter(lists, lambda x, i: list_position(lists, x) = i) as lists from ({_LISTS}))"""),

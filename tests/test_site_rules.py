@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gazette.functions import site_rules as R
+from gazette.plans import site_queries
+from tests.compare import rows as rows_of
 
 
 def column(spark, rows, make, schema="a string, b string, c string"):
@@ -23,6 +26,28 @@ def test_families(spark):
     ]
 
 
+def test_whole_pages_and_all_links_are_looked_at(spark):
+    far, links = "x" * 130_000, " ".join(f"http://x/{i}" for i in range(90))
+    rows = [("https://h.kr/", far + "selectNttList.do", ""), ("https://h.kr/", "", links + " http://x/xboard/board.php?a"), ("https://h.kr/", far + "nttInfoBtn", "")]
+    assert [g["key"] for g in column(spark, rows, lambda d: R.detect_family("a", "b", F.split("c", " ")))] == ["select_ntt", "gen_xboard", "unknown"]
+    assert column(spark, rows, lambda d: R.parser_family("a", "b", F.lit("unknown"))) == ["generic", "generic", "select_ntt_like"]
+
+
+def test_query_of_families_reads_long_pages_whole(spark, tmp_path):
+    page = "<html>" + "<p>long page</p>" * 8_500
+    rows = [(i, f"https://h.kr/a/{i}", page) for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    run, sql = site_queries.QUERIES["c12_c13_families"]
+    df = run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(sql)
+    columns = [c[0] for c in want.description]
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows_of(columns, want.fetchall())
+    assert {(r["key"], r["parser"]) for r in df.where("page_id in (10, 20)").collect()} == {("select_ntt", "select_ntt_like")}
+
+
 def test_parser_families(spark):
     rows = [
         ("https://h/c2zHome/x", "", "jbedu", "gen_c2z_home_like"), ("https://h/x", "", "use", "slash_view_like"), ("https://h/M0104/", "", "sen", "slash_view_like"), ("https://h/x", "href=/view/12", "sen", "slash_view_like"), ("https://h/x", "", "dge", "select_ntt_like"),
